@@ -1,0 +1,44 @@
+"""Same-frame neighbour join without comparing everybody with everybody."""
+
+from pyspark.sql import Column, DataFrame, functions as F
+
+
+def frame_neighbours(users: DataFrame, keep: list[str], reach: float, by: str, near: Column) -> DataFrame:
+    """Unordered pairs (a, b) of one frame, a before b by ``ord``, that satisfy ``near``.
+
+    ``near`` must imply a ground distance under ``reach`` x the size of the
+    pair's larger (``by='larger'``) or smaller (``'smaller'``) member. Sizes
+    fall into octaves; each octave has a grid with cells of its largest reach.
+    The member that sets the reach is put into its own cell and the eight
+    around it, the other one looks up its single cell, so a pair meets once.
+    """
+    level = F.greatest(F.lit(0), F.floor(F.log2("size"))).cast("int")
+    top = 14
+    base = users.select("video_id", "frame_idx", "ord", "px", "py", "size", *keep).withColumn("lvl", level)
+    side = lambda lv: F.pow(F.lit(2.0), lv + 1) * reach
+    home = (base.withColumn("gx", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
+                                                        lambda d: F.floor(F.col("px") / side(F.col("lvl"))) + d)))
+            .withColumn("gy", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
+                                                    lambda d: F.floor(F.col("py") / side(F.col("lvl"))) + d))))
+    levels = (F.sequence(F.col("lvl"), F.greatest(F.col("lvl"), F.lit(top))) if by == "larger"
+              else F.sequence(F.lit(0), F.col("lvl")))
+    probe = (base.withColumn("glvl", F.explode(levels))
+             .withColumn("gx", F.floor(F.col("px") / side(F.col("glvl"))))
+             .withColumn("gy", F.floor(F.col("py") / side(F.col("glvl")))))
+    cols = ["ord", "px", "py", "size", *keep]
+    h = home.select("video_id", "frame_idx", "gx", "gy", F.col("lvl").alias("glvl"), *[F.col(c).alias("h_" + c) for c in cols])
+    p = probe.select("video_id", "frame_idx", "gx", "gy", "glvl", F.col("lvl").alias("p_lvl"),
+                     *[F.col(c).alias("p_" + c) for c in cols])
+    met = h.join(p, ["video_id", "frame_idx", "glvl", "gx", "gy"]).filter(
+        (F.col("p_lvl") != F.col("glvl")) | (F.col("h_ord") < F.col("p_ord")))
+    first = F.col("h_ord") < F.col("p_ord")
+    pair = met.select("video_id", "frame_idx",
+                      *[F.when(first, F.col("h_" + c)).otherwise(F.col("p_" + c)).alias("a_" + c) for c in cols],
+                      *[F.when(first, F.col("p_" + c)).otherwise(F.col("h_" + c)).alias("b_" + c) for c in cols])
+    return pair.filter(near)
+
+
+def ground_distance() -> Column:
+    return F.sqrt(F.pow(F.col("a_px") - F.col("b_px"), 2.0) + F.pow(F.col("a_py") - F.col("b_py"), 2.0))
+
+
