@@ -49,12 +49,14 @@ def series_steps(series: DataFrame, keys: list[str]) -> DataFrame:
                                    F.percentile("dt", F.lit(0.5), "n").alias("step_us"))
 
 
-def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, slice_us: int = SLICE_US) -> DataFrame:
+def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, slice_us: int = SLICE_US,
+                    max_half: int = 64) -> DataFrame:
     """Carry the last reading over dropouts of up to ``hold`` seconds, then a mode filter of about ``window``.
 
     Input: video_id, head, frame_idx, t_us, state. The filter is centred and
     odd, repeats the border rows, and ties go to the lowest code; series of
-    one or two rows are not filtered.
+    one or two rows are not filtered. Frames reach ``max_half`` rows to each
+    side (128 readings per second); faster series fail instead of losing votes.
     """
     raw = states.withColumn("code", code_of())
     reach = int((hold + 30 * window) * US)
@@ -68,6 +70,7 @@ def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, s
     stats = series_steps(carried, HEAD)
     k = F.greatest(F.lit(1), F.bround(F.lit(window) / F.greatest(F.col("step_us") / US, F.lit(1e-3)), 0).cast("int"))
     half = F.when(F.col("n_rows") > 2, F.floor(k.bitwiseOR(F.lit(1)) / 2)).otherwise(F.lit(0)).cast("int")
+    half = F.when(half > max_half, F.raise_error(F.lit("mode filter wider than max_half")).cast("int")).otherwise(half)
     dims = (stats.select(*HEAD, half.alias("half"), F.col("lo.t_us").alias("lo_us"), F.col("hi.t_us").alias("hi_us"),
                          F.col("lo.code").alias("lo_code"), F.col("hi.code").alias("hi_code"))
             .withColumn("slice", F.explode(F.sequence(F.floor((F.col("lo_us") - reach) / slice_us),
@@ -77,7 +80,7 @@ def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, s
     rn = F.row_number().over(w)
     size = F.count("*").over(Window.partitionBy(*HEAD, "slice"))
     votes = votes.withColumn("_rn", rn).withColumn("_n", size)
-    near = F.collect_list(F.struct("_rn", "code")).over(w.rowsBetween(-64, 64))
+    near = F.collect_list(F.struct("_rn", "code")).over(w.rowsBetween(-max_half, max_half))
     near = F.filter(near, lambda r: F.abs(r["_rn"] - F.col("_rn")) <= F.col("half"))
     votes = votes.withColumn("_near", F.transform(near, lambda r: r["code"]))
     # rows missing before the series start or after its end repeat the border code
