@@ -10,10 +10,6 @@ from .slices import lag_in_slices
 US = 1_000_000
 
 
-def _carry(names):
-    return [F.first(c).alias(c) for c in names]
-
-
 def runs(flagged: DataFrame, keys: list[str], max_gap: float, step: str | None = "step_us",
          carry: tuple = (), min_len: float = 0.0) -> DataFrame:
     """Segments of True samples. ``flagged`` holds the True rows only.
@@ -29,12 +25,12 @@ def runs(flagged: DataFrame, keys: list[str], max_gap: float, step: str | None =
     rows = flagged.select(*keys, "t_us", *extra, *carry)
     prev = lag_in_slices(rows, keys, {"prev_us": "t_us"}, ["t_us"])
     starts = prev.filter(F.col("prev_us").isNull() | (F.col("t_us") - F.col("prev_us") > limit))
-    last = rows.groupBy(*keys).agg(F.max("t_us").alias("last_us"), F.max("t_us").alias("_m")).drop("_m")
+    last = rows.groupBy(*keys).agg(F.max("t_us").alias("_last"))
     w = Window.partitionBy(*keys).orderBy("t_us")
     out = (starts.withColumn("end_us", F.lead("prev_us").over(w))
            .join(last, keys)
            .select(*keys, F.col("t_us").alias("start_us"),
-                   F.coalesce("end_us", "last_us").alias("end_us"), *carry))
+                   F.coalesce("end_us", "_last").alias("end_us"), *carry))
     return out.filter(F.col("end_us") - F.col("start_us") >= int(round(min_len * US))) if min_len else out
 
 

@@ -46,7 +46,7 @@ def series_steps(series: DataFrame, keys: list[str]) -> DataFrame:
     ends = F.struct("t_us", "code")
     part = d.groupBy(*keys, "dt").agg(F.count("*").alias("n"), F.min(ends).alias("lo"), F.max(ends).alias("hi"))
     return part.groupBy(*keys).agg(F.sum("n").alias("n_rows"), F.min("lo").alias("lo"), F.max("hi").alias("hi"),
-                                   F.percentile("dt", F.lit(0.5), "n").alias("step_us"))
+                                   F.percentile("dt", F.lit(0.5), F.col("n")).alias("step_us"))
 
 
 def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, slice_us: int = SLICE_US,
@@ -73,7 +73,7 @@ def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, s
     half = F.when(half > max_half, F.raise_error(F.lit("mode filter wider than max_half")).cast("int")).otherwise(half)
     dims = (stats.select(*HEAD, half.alias("half"), F.col("lo.t_us").alias("lo_us"), F.col("hi.t_us").alias("hi_us"),
                          F.col("lo.code").alias("lo_code"), F.col("hi.code").alias("hi_code"))
-            .withColumn("slice", F.explode(F.sequence(F.floor((F.col("lo_us") - reach) / slice_us),
+            .withColumn("slice", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("lo_us") - reach) / slice_us),
                                                       F.floor((F.col("hi_us") + reach) / slice_us)))))
     # held codes travel with the halo, so the vote needs no second pass over neighbours
     votes = slice_rows(carried, reach, slice_us).join(dims, [*HEAD, "slice"])

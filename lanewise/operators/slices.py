@@ -13,7 +13,7 @@ SLICE_US = 3_600_000_000
 
 def slice_rows(df: DataFrame, reach_us: int, slice_us: int = SLICE_US, t: str = "t_us") -> DataFrame:
     home = F.floor(F.col(t) / slice_us)
-    lo = F.floor((F.col(t) - reach_us) / slice_us)
+    lo = F.least(home, F.floor(F.greatest(F.lit(0), F.col(t) - reach_us) / slice_us))
     hi = F.floor((F.col(t) + reach_us) / slice_us)
     return (df.withColumn("slice", F.explode(F.sequence(lo, hi)))
             .withColumn("own", F.col("slice") == home))

@@ -36,7 +36,7 @@ def kinematics(obs: DataFrame, tracks: DataFrame, videos: DataFrame, slice_us: i
     """
     reach = ts.us(3.0 + 2 * MAX_HOLE + 2.0)
     dims = (tracks.join(videos.select("video_id", "width", "height"), "video_id")
-            .withColumn("slice", F.explode(F.sequence(F.floor((F.col("first_us") - reach) / slice_us),
+            .withColumn("slice", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("first_us") - reach) / slice_us),
                                                       F.floor((F.col("last_us") + reach) / slice_us)))))
     by = [*KEY, "slice"]
     rows = slice_rows(obs.drop("category"), reach, slice_us).join(dims, by)
@@ -63,7 +63,7 @@ def track_stats(samples: DataFrame) -> DataFrame:
     """Median smoothed size and median time step of every track."""
     size = exact_median(samples, KEY, "size", "n_obs", width=0.25).withColumnRenamed("median", "med_size")
     steps = (samples.filter("dt_us is not null").groupBy(*KEY, "dt_us").agg(F.count("*").alias("n"))
-             .groupBy(*KEY).agg(F.percentile("dt_us", F.lit(0.5), "n").alias("step_us")))
+             .groupBy(*KEY).agg(F.percentile("dt_us", F.lit(0.5), F.col("n")).alias("step_us")))
     return size.join(steps, KEY, "left").withColumn("step_us", F.coalesce("step_us", F.lit(0.0)))
 
 

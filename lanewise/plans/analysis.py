@@ -40,7 +40,7 @@ def prepare(videos: DataFrame, scene: DataFrame, obs: DataFrame, states: DataFra
     folder once instead of being recomputed by each of them.
     """
     scene = materialise(scene)
-    tracks = T.min_samples(T.majority_category(obs))
+    tracks = materialise(T.min_samples(T.majority_category(obs)))
     base = materialise(with_zone(T.kinematics(obs, tracks, videos, slice_us), scene))
     samples = materialise(T.with_stats(base, T.track_stats(base), slice_us))
     return Analysis(videos=videos, scene=scene, samples=samples, frames=T.frame_grid(videos, rate),

@@ -8,6 +8,7 @@ def configure(builder):
     """Settings the engine relies on; sizes and partition counts stay with the cluster."""
     return (builder
             .config("spark.sql.session.timeZone", "UTC")
+            .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")

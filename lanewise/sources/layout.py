@@ -41,16 +41,17 @@ def load_scene(layout: DataFrame, videos: DataFrame, views: DataFrame | None = N
     Videos name their layout by ``scene_id``. Those without an accepted
     transform in ``views`` fall back to rescaling each axis.
     """
-    base = videos.join(layout, "scene_id")
-    base = base.withColumn("expected_scale", F.col("width") / F.col("ref_size")[0])
     m = ["m00", "m01", "m02", "m10", "m11", "m12"]
+    view = videos.select("video_id", "scene_id", "width", "height").join(layout.select("scene_id", "ref_size"), "scene_id")
     if views is None:
-        base = base.withColumns({**{c: F.lit(None).cast("double") for c in m}, "inliers": F.lit(0)})
+        view = view.withColumns({**{c: F.lit(None).cast("double") for c in m}, "inliers": F.lit(0)})
     else:
-        base = base.join(views.select("video_id", *m, "inliers"), "video_id", "left")
-    base = accept_transform(base)
+        view = view.join(views.select("video_id", *m, "inliers"), "video_id", "left")
+    view = accept_transform(view.withColumn("expected_scale", F.col("width") / F.col("ref_size")[0]))
     plain = {"m00": F.col("width") / F.col("ref_size")[0], "m11": F.col("height") / F.col("ref_size")[1]}
-    base = base.withColumns({c: F.when(F.col("registered"), F.col(c)).otherwise(plain.get(c, F.lit(0.0))) for c in m})
+    view = view.withColumns({c: F.when(F.col("registered"), F.col(c)).otherwise(plain.get(c, F.lit(0.0))) for c in m})
+    # matrix on one side of the join, shapes on the other: the optimizer then keeps the matrix as plain columns
+    base = view.drop("ref_size").join(layout.drop("ref_size"), "scene_id")
 
     def point(p):
         return F.struct((F.col("m00") * p[0] + F.col("m01") * p[1] + F.col("m02")).alias("x"),
