@@ -34,26 +34,27 @@ def runs(flagged: DataFrame, keys: list[str], max_gap: float, step: str | None =
     return out.filter(F.col("end_us") - F.col("start_us") >= int(round(min_len * US))) if min_len else out
 
 
-def _islands(df, keys, gap: Column, start, end):
+def _islands(df, keys, gap: Column, start, end, strict=False):
     w = Window.partitionBy(*keys).orderBy(start, end)
     reach = F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    new = F.when(reach.isNull() | (F.col(start) - reach > gap), 1).otherwise(0)
+    apart = F.col(start) - reach >= gap if strict else F.col(start) - reach > gap
+    new = F.when(reach.isNull() | apart, 1).otherwise(0)
     return (df.withColumn("_new", new)
             .withColumn("_isl", F.sum("_new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
             .groupBy(*keys, "_isl").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_isl"))
 
 
 def merge_segments(df: DataFrame, keys: list[str], gap=0.0, start="start_sec", end="end_sec",
-                   block: float = 600.0) -> DataFrame:
-    """Union of segments that overlap or lie within ``gap`` of each other (inclusive).
+                   block: float = 600.0, strict: bool = False) -> DataFrame:
+    """Union of segments that overlap or lie within ``gap`` of each other (inclusive unless ``strict``).
 
     Merging is associative: segments are merged inside time blocks first, in
     parallel, and the few survivors of a key are merged once more.
     """
     g = gap if isinstance(gap, Column) else F.lit(gap)
     cols = [*keys, start, end]
-    local = _islands(df.select(*cols).withColumn("_blk", F.floor(F.col(start) / block)), [*keys, "_blk"], g, start, end)
-    return _islands(local.drop("_blk"), keys, g, start, end).select(*cols)
+    local = _islands(df.select(*cols).withColumn("_blk", F.floor(F.col(start) / block)), [*keys, "_blk"], g, start, end, strict)
+    return _islands(local.drop("_blk"), keys, g, start, end, strict).select(*cols)
 
 
 def class_param(params: dict, default: float) -> Column:
