@@ -50,7 +50,7 @@ FROM (SELECT s_suppkey, f, 40e0 + s_suppkey % 120 AS w,
       WHERE (f * 31 + s_suppkey * 17) % 11 <> 0) b
 """
 RISK = """
-SELECT CONCAT('v', CAST(user_id % 8 AS VARCHAR(9))) AS video_id, event_id,
+SELECT CONCAT('v', CAST(user_id % 8 AS VARCHAR(9))) AS video_id, CAST(event_id AS BIGINT) AS pos,
   {epoch} / 3600e0 AS t, CAST({epoch} * 1000000 AS BIGINT) AS t_us, LEAST(1e0, value / 1e2) AS score
 FROM events
 """
@@ -64,12 +64,12 @@ LABELS = "CASE {k} % 3 WHEN 0 THEN 'accident' WHEN 1 THEN 'near_miss' ELSE 'red_
 PRED = f"""
 SELECT CONCAT('v', CAST(l_suppkey % 20 AS VARCHAR(9))) AS video_id, {LABELS.format(k='l_linenumber')} AS label,
   {{days}} % 600 + 0e0 AS start_sec, {{days}} % 600 + l_quantity / 1e1 AS end_sec,
-  CAST(l_orderkey * 1000000 + l_linenumber * 100000 + l_partkey % 100000 AS BIGINT) AS uid
+  CAST(l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(ROUND(l_extendedprice * 1e2) AS BIGINT) % 100000000 AS BIGINT) AS pos
 FROM lineitem WHERE l_orderkey % 10 = 0
 """
 TRUTH = f"""
 SELECT CONCAT('v', CAST(o_custkey % 20 AS VARCHAR(9))) AS video_id, {LABELS.format(k='o_orderkey')} AS label,
-  {{days}} % 600 + 0e0 AS start_sec, {{days}} % 600 + 1e0 + o_orderkey % 5 AS end_sec, CAST(o_orderkey AS BIGINT) AS uid
+  {{days}} % 600 + 0e0 AS start_sec, {{days}} % 600 + 1e0 + o_orderkey % 5 AS end_sec, CAST(o_orderkey AS BIGINT) AS pos
 FROM orders WHERE o_orderkey % 2 = 0
 """
 PIXELS = """
