@@ -92,7 +92,7 @@ def load_scene(layout: DataFrame, videos: DataFrame, views: DataFrame | None = N
                         F.greatest(a["x"], b["x"]).alias("x2"), F.greatest(a["y"], b["y"]).alias("y2"))
 
     return base.select(
-        "video_id", "width", "height", "registered", F.coalesce("inliers", F.lit(0)).alias("inliers"),
+        "video_id", "scene_id", "width", "height", "registered", F.coalesce("inliers", F.lit(0)).alias("inliers"),
         each("road", zone).alias("roads"), each("islands", zone).alias("islands"),
         each("crosswalks", zone).alias("crosswalks"), each("approaches", approach).alias("approaches"),
         each("wrong_way_zones", lambda k, v: zone(k, v["polygon"], v["direction"])).alias("wrong_way"),
