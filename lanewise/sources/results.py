@@ -9,6 +9,8 @@ ITEMS = "array<array<string>>"
 PREDICTIONS = f"team string, videos map<string,struct<events:{ITEMS},risk:array<array<double>>>>"
 TRUTH = f"map<string,struct<duration:double,fps:double,events:{ITEMS}>>"
 PART = 100_000
+HOUR = 3600.0
+PER_PART = 10_000_000
 
 
 def _documents(spark: SparkSession, path: str) -> DataFrame:
@@ -46,8 +48,11 @@ def read_ground_truth(spark: SparkSession, path: str):
 
 
 def import_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Either format in truth shape; predictions get duration 0 and 25 fps."""
-    docs = _documents(spark, path)
+    return label_tables(_documents(spark, path))
+
+
+def label_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(videos, events) of documents in either format; predictions get duration 0 and 25 fps."""
     is_pred = F.get_json_object("value", "$.videos").isNotNull()
     pv, pe, _ = prediction_tables(docs.filter(is_pred))
     tv, te = truth_tables(docs.filter(~is_pred))
@@ -73,7 +78,7 @@ def upsert_labels(old: DataFrame, new: DataFrame) -> DataFrame:
 
 
 def _event_items(events: DataFrame) -> DataFrame:
-    e = events.withColumn("part", F.floor(F.col("pos") / PART))
+    e = events.withColumn("part", F.floor(F.col("start_sec") / HOUR))
     item = F.to_json(F.array(F.col("start_sec"), F.col("end_sec")))
     tail = F.substring(F.to_json(F.array("label")), 2, 1_000_000)
     e = e.withColumn("x", item).withColumn("item", F.concat(F.expr("substring(x, 1, length(x) - 1)"), F.lit(","), tail))
@@ -83,12 +88,11 @@ def _event_items(events: DataFrame) -> DataFrame:
 def prediction_documents(videos: DataFrame, events: DataFrame, risk: DataFrame, team: str) -> DataFrame:
     """One JSON document per video and part: {"team", "part", "videos": {name: {"events", "risk"}}}.
 
-    Lists are cut every 100,000 entries, so a long feed never becomes one
-    giant row; videos below that have a single document. ``events`` need
-    ``pos``; videos without any get empty lists.
+    A part is an hour of footage, so a long feed never becomes one giant row;
+    shorter videos have a single document. Videos without rows get empty lists.
     """
     ev = _event_items(events)
-    rk = (risk.withColumn("part", F.floor(F.col("pos") / PART)).groupBy("video_id", "part")
+    rk = (risk.withColumn("part", F.floor(F.col("t") / HOUR)).groupBy("video_id", "part")
           .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t", "score"))), lambda r: F.array(r["t"], r["score"])).alias("rk")))
     first = videos.select("video_id", F.lit(0).cast("long").alias("part"))
     keys = first.unionByName(ev.select("video_id", "part")).unionByName(rk.select("video_id", "part")).distinct()
@@ -107,16 +111,20 @@ def write_predictions(videos, events, risk, path: str, team: str = "unnamed") ->
 
 def read_prediction_parts(spark: SparkSession, path: str):
     """Tables of a folder written by ``write_predictions`` (one document per line)."""
-    docs = spark.read.text(path)
-    part = F.coalesce(F.get_json_object("value", "$.part").cast("long"), F.lit(0)) * PART
-    tables = []
-    entries = (docs.select(F.from_json("value", PREDICTIONS).alias("d"), part.alias("base"))
+    return part_tables(spark.read.text(path))
+
+
+def part_tables(docs: DataFrame):
+    """(videos, events, risk); positions continue from part to part."""
+    base = F.coalesce(F.get_json_object("value", "$.part").cast("long"), F.lit(0)) * PER_PART
+    entries = (docs.select(F.from_json("value", PREDICTIONS).alias("d"), base.alias("base"))
                .select("base", F.explode("d.videos").alias("video_id", "entry")))
-    ev = _events(entries)
+    ev = (entries.select("video_id", "base", F.posexplode("entry.events").alias("p", "e"))
+          .select("video_id", (F.col("base") + F.col("p")).alias("pos"), F.col("e")[0].cast("double").alias("start_sec"),
+                  F.col("e")[1].cast("double").alias("end_sec"), F.col("e")[2].alias("label")))
     rk = (entries.select("video_id", "base", F.posexplode("entry.risk").alias("p", "r"))
           .select("video_id", (F.col("base") + F.col("p")).alias("pos"), F.col("r")[0].alias("t"), F.col("r")[1].alias("score")))
-    tables += [entries.select("video_id").distinct(), ev, rk]
-    return tuple(tables)
+    return entries.select("video_id").distinct(), ev, rk
 
 
 def write_events(events: DataFrame, path: str) -> None:
