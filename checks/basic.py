@@ -185,13 +185,13 @@ define("flagged", """SELECT video_id, track_id, t_us, step_us FROM s_tracks JOIN
 USING (video_id, track_id) WHERE (frame_idx * 7 + track_id) % 20 < 9 OR frame_idx BETWEEN 40 AND 90""", "s_tracks")
 
 
-@query("runs", runs_sql("flagged", ["video_id", "track_id"], 800000), "flagged")
+@query("runs", runs_sql("flagged", ["video_id", "track_id"], 250000), "flagged")
 def runs(spark, sf):
     t = S.tracks(spark, sf)
     from lanewise.operators.signals import series_steps
     step = series_steps(t.withColumn("code", F.lit(0)), T.KEY).select(*T.KEY, "step_us")
     on = t.filter("(frame_idx * 7 + track_id) % 20 < 9 OR frame_idx BETWEEN 40 AND 90").join(step, T.KEY)
-    return I.runs(on, T.KEY, 0.8)
+    return I.runs(on, T.KEY, 0.25)
 
 
 @query("merge_segments", f"SELECT video_id, label, start_sec, {r('end_sec')} AS end_sec FROM (" + merge_sql("s_pred", ["video_id", "label"], "1e0") + ") z", "s_pred")
@@ -219,7 +219,7 @@ def finalize_events(spark, sf):
 # keep-first fold, one segment after the other in order of start
 CLEAN = f"""raw AS MATERIALIZED (SELECT video_id, pos, start_sec, LEAST(end_sec, 6e2) AS end_sec, CASE WHEN pos % 50 = 3 THEN 'other' ELSE label END AS label FROM s_pred),
 ok AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id, label ORDER BY start_sec, pos) AS n FROM raw WHERE label <> 'other' AND start_sec < end_sec),
-fold AS (SELECT video_id, label, pos, n, start_sec, ROUND(end_sec, 3) AS last_end, NULL AS problem, start_sec AS s, end_sec AS e FROM ok WHERE n = 1
+fold AS (SELECT video_id, label, pos, n, start_sec, ROUND(end_sec, 3) AS last_end, CAST(NULL AS VARCHAR) AS problem, start_sec AS s, end_sec AS e FROM ok WHERE n = 1
 UNION ALL SELECT o.video_id, o.label, o.pos, o.n, o.start_sec, CASE WHEN o.start_sec >= f.last_end THEN ROUND(o.end_sec, 3) ELSE f.last_end END,
 CASE WHEN o.start_sec >= f.last_end THEN NULL ELSE 'overlap' END, o.start_sec, o.end_sec FROM fold f JOIN ok o ON o.video_id = f.video_id AND o.label = f.label AND o.n = f.n + 1)
 SELECT video_id, pos, label, s AS start_sec, ROUND(e, 3) AS end_sec, problem FROM fold
@@ -266,12 +266,12 @@ def gap_runs(spark, sf):
 
 
 @query("apply_time_budget", """SELECT video_id, COUNT(*) AS n FROM s_truth JOIN (SELECT video_id, SUM(end_sec - start_sec) AS total_sec FROM s_pred GROUP BY 1) USING (video_id)
-WHERE total_sec <= 15e-2 * 6e2 * (SELECT COUNT(*) FROM s_pred) / 2e3 GROUP BY 1""", "s_truth", "s_pred")
+WHERE total_sec <= 15e-2 * 6e2 * (SELECT COUNT(*) FROM s_pred) / 7e2 GROUP BY 1""", "s_truth", "s_pred")
 def apply_time_budget(spark, sf):
     p = S.pred(spark, sf)
     n = p.agg(F.count("*").alias("n_all"))
     log = p.groupBy("video_id").agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("total_sec"))
-    log = log.join(n).select("video_id", "total_sec", (0.05 * 600.0 * F.col("n_all") / 2e3).alias("duration"))
+    log = log.join(n).select("video_id", "total_sec", (0.05 * 600.0 * F.col("n_all") / 7e2).alias("duration"))
     kept, _ = eda.apply_time_budget(S.truth(spark, sf), log)
     return kept.groupBy("video_id").agg(F.count("*").alias("n"))
 
@@ -402,8 +402,8 @@ OR NOT EXISTS (SELECT 1 FROM s_truth e WHERE e.video_id = a.video_id AND e.label
 # accidents one after the other, each taking the earliest alarm still free
 ALARM_FOLD = """acc AS MATERIALIZED (SELECT video_id, start_sec AS t, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY start_sec, end_sec) AS n FROM s_truth WHERE label = 'accident'),
 pool AS MATERIALIZED (SELECT video_id, list(t ORDER BY t) AS al FROM scored GROUP BY 1),
-fold AS (SELECT a.video_id, a.t, a.n, list_filter(COALESCE(al, []), x -> x >= a.t - 1e1 AND x < a.t) AS c, COALESCE(al, []) AS al FROM acc a LEFT JOIN pool USING (video_id) WHERE n = 1
-UNION ALL SELECT a.video_id, a.t, a.n, list_filter(list_filter(f.al, x -> len(f.c) = 0 OR x <> f.c[1]), x -> x >= a.t - 1e1 AND x < a.t), list_filter(f.al, x -> len(f.c) = 0 OR x <> f.c[1])
+fold AS (SELECT a.video_id, a.t, a.n, list_filter(COALESCE(al, []), lambda x: x >= a.t - 1e1 AND x < a.t) AS c, COALESCE(al, []) AS al FROM acc a LEFT JOIN pool USING (video_id) WHERE n = 1
+UNION ALL SELECT a.video_id, a.t, a.n, list_filter(list_filter(f.al, lambda x: len(f.c) = 0 OR x <> f.c[1]), lambda x: x >= a.t - 1e1 AND x < a.t), list_filter(f.al, lambda x: len(f.c) = 0 OR x <> f.c[1])
 FROM fold f JOIN acc a ON a.video_id = f.video_id AND a.n = f.n + 1),
 tta AS MATERIALIZED (SELECT video_id, t, CASE WHEN len(c) > 0 THEN t - c[1] ELSE 0e0 END AS tta FROM fold)"""
 SQL["match_alarms"] = recursive(ALARM_FOLD + f"\nSELECT video_id, t, {r('tta', 6)} AS tta FROM tta", "scored")

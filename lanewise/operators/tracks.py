@@ -132,7 +132,7 @@ def sample_frames(rows: DataFrame, videos: DataFrame, rate: float, override: int
 
 def detection_counts(detections: DataFrame, grid: DataFrame) -> DataFrame:
     """Per processed frame, detections of every category, zeros kept."""
-    per = (detections.groupBy("video_id", "frame_idx").pivot("category", CATEGORIES).agg(F.count("*")))
+    per = (detections.groupBy("video_id", "frame_idx").pivot("category", CATEGORIES).agg(F.count(F.lit(1))))
     out = grid.select("video_id", "frame_idx", "t").join(per, ["video_id", "frame_idx"], "left")
     return out.select("video_id", "frame_idx", "t",
                       *[F.coalesce(F.col(c), F.lit(0)).cast("long").alias(c) for c in CATEGORIES])
