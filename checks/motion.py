@@ -106,10 +106,12 @@ SELECT *, {h} - LAG({h}) OVER ({o}) AS d, FIRST_VALUE({h}) OVER ({o}) AS f0 FROM
 define("unw", unwrap("heading", "veh", K), "veh")
 
 
-@query("unwrap_heading", f"SELECT video_id, track_id, t_us, {r('theta')} AS theta FROM unw", "unw")
+# relative to the first sample: the whole turns an unwrapped angle starts with are arbitrary
+@query("unwrap_heading", f"SELECT video_id, track_id, t_us, {r(f'theta - FIRST_VALUE(theta) OVER ({BY})')} AS turned FROM unw", "unw")
 def unwrap_q(spark, sf):
     an = S.analysis(spark, sf)
-    return rd(unwrap_heading(T.vehicle_tracks(an.samples)).select(*T.KEY, "t_us", "theta"), "theta")
+    th = unwrap_heading(T.vehicle_tracks(an.samples))
+    return rd(th.select(*T.KEY, "t_us", (F.col("theta") - F.first("theta").over(ts.win(T.KEY))).alias("turned")), "turned")
 
 
 @query("vehicle_tracks", "SELECT video_id, category, COUNT(DISTINCT track_id) AS n_tracks, COUNT(*) AS n FROM veh GROUP BY 1, 2", "veh")

@@ -124,26 +124,29 @@ def points_in(points: DataFrame, spans: DataFrame, keys: list[str], t: str, lo:
     Spans are copied into the time blocks they touch and the join runs on
     (keys, block): an equi-join with no hot key even when one camera dominates.
     """
-    p = points.withColumn("_blk", F.floor(F.col(t) / block))
-    s = spans.withColumn("_blk", F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block))))
-    cond = [p[k] == s[k] for k in keys] + [p["_blk"] == s["_blk"], p[t] >= s[lo], p[t] <= s[hi]]
+    blk = lambda c: F.floor(F.col(c) / block)
+    p = points.withColumn("_blk", blk(t))
+    s = (spans.withColumn("_b", F.explode(F.sequence(blk(lo), blk(hi))))
+         .select("_b", *[F.col(c).alias("_s_" + c) for c in spans.columns]))
+    cond = [F.col(k) == F.col("_s_" + k) for k in keys] + [
+        F.col("_blk") == F.col("_b"), F.col(t) >= F.col("_s_" + lo), F.col(t) <= F.col("_s_" + hi)]
     joined = p.join(s, cond, how)
-    return joined.select(*[p[c] for c in points.columns],
-                         *[s[c] for c in spans.columns if c not in keys and c not in points.columns])
+    return joined.select(*points.columns, *[F.col("_s_" + c).alias(c) for c in spans.columns
+                                            if c not in keys and c not in points.columns])
 
 
 def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple, b_span: tuple, block: float) -> DataFrame:
     """Pairs of overlapping segments, each pair once: in the block of the later start."""
-    def spread(df, span):
+    def spread(df, span, pre):
         lo, hi = span
-        return df.withColumn("_blk", F.explode(F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block))))
-    left, right = spread(a, a_span), spread(b, b_span)
-    later = F.greatest(left[a_span[0]], right[b_span[0]])
-    cond = [left[k] == right[k] for k in keys] + [
-        left["_blk"] == right["_blk"], F.floor(later / block) == left["_blk"],
-        left[a_span[0]] <= right[b_span[1]], right[b_span[0]] <= left[a_span[1]]]
-    return left.join(right, cond).select(*[left[c] for c in a.columns],
-                                         *[right[c] for c in b.columns if c not in keys])
+        blocks = F.sequence(F.floor(F.col(lo) / block), F.floor(F.col(hi) / block))
+        return df.withColumn("_b", F.explode(blocks)).select(F.col("_b").alias(pre + "b"), *[F.col(c).alias(pre + c) for c in df.columns])
+    left, right = spread(a, a_span, "_l_"), spread(b, b_span, "_r_")
+    ls, le, rs, re = (F.col(p + c) for p, sp in (("_l_", a_span), ("_r_", b_span)) for c in sp)
+    cond = [F.col("_l_" + k) == F.col("_r_" + k) for k in keys] + [
+        F.col("_l_b") == F.col("_r_b"), F.floor(F.greatest(ls, rs) / block) == F.col("_l_b"), ls <= re, rs <= le]
+    return left.join(right, cond).select(*[F.col("_l_" + c).alias(c) for c in a.columns],
+                                         *[F.col("_r_" + c).alias(c) for c in b.columns if c not in keys])
 
 
 def gap_runs(series: DataFrame, keys: list[str], x: str, value: str) -> DataFrame:

@@ -140,16 +140,14 @@ def signal_held(queries: DataFrame, timeline: DataFrame, code: int, seconds: flo
 
 def signal_fraction(spans: DataFrame, timeline: DataFrame, code: int, block_us: int = 60 * US) -> DataFrame:
     """Share of [start_us, end_us] showing ``code``: samples from start up to the first one at or after end."""
-    s = sample_spans(timeline).select(*HEAD, "t_us", "code", F.coalesce("prev_us", F.col("t_us") - 1).alias("prev_us"))
     # a sample counts when t >= start and the sample before it is < end
     keys = spans.columns
-    last = F.col("t_us")
-    q = spans.withColumn("_hi", F.col("end_us"))
-    a = s.withColumn("_blk", F.explode(F.sequence(F.floor(F.col("prev_us") / block_us), F.floor(last / block_us))))
-    b = q.withColumn("_blk", F.explode(F.sequence(F.floor(F.col("start_us") / block_us), F.floor(F.col("_hi") / block_us))))
-    cond = [a[k] == b[k] for k in HEAD] + [
-        a["_blk"] == b["_blk"], a["t_us"] >= b["start_us"], a["prev_us"] < b["end_us"],
-        F.floor(F.greatest(a["prev_us"], b["start_us"]) / block_us) == a["_blk"]]
-    hit = (a.join(b, cond).select(*[b[k] for k in keys], a["code"])
+    blk = lambda c: F.floor(F.col(c) / block_us)
+    s = (sample_spans(timeline).select(*HEAD, "t_us", "code", F.coalesce("prev_us", F.col("t_us") - 1).alias("prev_us"))
+         .withColumn("_b", F.explode(F.sequence(blk("prev_us"), blk("t_us")))))
+    q = spans.withColumn("_b", F.explode(F.sequence(blk("start_us"), blk("end_us"))))
+    hit = (q.join(s, [*HEAD, "_b"])
+           .filter((F.col("t_us") >= F.col("start_us")) & (F.col("prev_us") < F.col("end_us"))
+                   & (F.floor(F.greatest("prev_us", "start_us") / block_us) == F.col("_b")))
            .groupBy(*keys).agg(F.avg(F.when(F.col("code") == code, 1.0).otherwise(0.0)).alias("share")))
     return spans.join(hit, keys, "left").withColumn("share", F.coalesce("share", F.lit(0.0)))
