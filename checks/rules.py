@@ -44,18 +44,18 @@ def illegal_u_turn(spark, sf):
 
 
 # ---- stopped vehicle --------------------------------------------------------
-define("st0", "SELECT * FROM cars WHERE category <> 'bus' AND last_us - first_us >= 6000000 AND med_size >= 35e-3 * 1662 AND speed < 12e-2", "cars")
+define("st0", "SELECT * FROM cars WHERE category <> 'bus' AND last_us - first_us >= 2000000 AND med_size >= 12e-3 * 1662 AND speed < 12e-2", "cars")
 define("st1", runs_sql("st0", TK, 1500000, "last_us, med_size"), "st0")
-define("st2", """SELECT q.video_id, q.track_id, start_us, end_us, q.last_us, q.med_size, ARG_MIN(px, t_us) AS sx, ARG_MIN(py, t_us) AS sy, 3e0 * MEDIAN(size) AS radius
-FROM st1 q JOIN smp s ON s.video_id = q.video_id AND s.track_id = q.track_id AND s.t_us BETWEEN start_us AND end_us WHERE end_us - start_us >= 6000000
-GROUP BY ALL HAVING AVG(CASE WHEN zone IN ('intersection', 'side_road') THEN 1e0 ELSE 0e0 END) >= 8e-1""", "st1", "smp")
+define("st2", """SELECT q.video_id, q.track_id, start_us, end_us, q.last_us, q.med_size, ARG_MIN(px, t_us) AS sx, ARG_MIN(py, t_us) AS sy, 12e0 * MEDIAN(size) AS radius
+FROM st1 q JOIN smp s ON s.video_id = q.video_id AND s.track_id = q.track_id AND s.t_us BETWEEN start_us AND end_us WHERE end_us - start_us >= 2000000
+GROUP BY ALL HAVING AVG(CASE WHEN zone IN ('intersection', 'side_road') THEN 1e0 ELSE 0e0 END) >= 3e-1""", "st1", "smp")
 define("st3", """SELECT *, CASE WHEN n >= 3 THEN bx / (SQRT(bx * bx + by_ * by_) + 1e-9) ELSE fx / NULLIF(SQRT(fx * fx + fy * fy), 0) END AS dx,
 CASE WHEN n >= 3 THEN by_ / (SQRT(bx * bx + by_ * by_) + 1e-9) ELSE fy / NULLIF(SQRT(fx * fx + fy * fy), 0) END AS dy FROM (
 SELECT q.*, b.n, b.bx, b.by_, o.fx, o.fy FROM st2 q,
 LATERAL (SELECT COUNT(*) AS n, AVG(vx) AS bx, AVG(vy) AS by_ FROM smp s WHERE s.video_id = q.video_id AND s.track_id = q.track_id AND s.t_us >= start_us - 3000000 AND s.t_us < start_us AND speed > 5e-1) b,
 LATERAL (SELECT SUM(vx / (SQRT(vx * vx + vy * vy) + 1e-9)) AS fx, SUM(vy / (SQRT(vx * vx + vy * vy) + 1e-9)) AS fy FROM smp s WHERE s.video_id = q.video_id AND s.track_id <> q.track_id
 AND category IN ('car', 'bus', 'truck') AND s.t_us BETWEEN start_us AND end_us AND speed > 1e0 AND SQRT(POW(px - sx, 2) + POW(py - sy, 2)) < radius) o)""", "st2", "smp")
-SHORT = Stopped(min_duration=6.0)
+SHORT = Stopped(min_duration=2.0, min_size=0.012, zone_share=0.3, radius=12.0, min_overtakes=1)
 
 
 @query("travel_direction", f"SELECT video_id, track_id, start_us, end_us, {r('dx', 5)} AS dx, {r('dy', 5)} AS dy FROM st3 WHERE dx IS NOT NULL", "st3")
@@ -77,7 +77,7 @@ def overtakers(spark, sf):
     return o.select("video_id", "track_id", "start_us", "n_over")
 
 
-@query("stopped_vehicle", EV("(SELECT video_id, track_id, start_us, end_us, last_us, COUNT(*) AS n FROM st4 WHERE lo < -5e-1 * med_size AND hi > 5e-1 * med_size GROUP BY ALL HAVING COUNT(*) >= 2) z",
+@query("stopped_vehicle", EV("(SELECT video_id, track_id, start_us, end_us, last_us, COUNT(*) AS n FROM st4 WHERE lo < -5e-1 * med_size AND hi > 5e-1 * med_size GROUP BY ALL HAVING COUNT(*) >= 1) z",
                              "stopped_vehicle", "CASE WHEN last_us - end_us <= 2000000 THEN last_us ELSE end_us END"), "st4")
 def stopped_vehicle(spark, sf):
     return V.stopped_vehicle(S.analysis(spark, sf), SHORT)
@@ -101,13 +101,13 @@ define("it0", "SELECT video_id, track_id FROM veh WHERE zone IS NOT NULL GROUP B
 define("it1", unwrap("heading", "(SELECT * FROM veh SEMI JOIN it0 USING (video_id, track_id)) v0", "video_id, track_id"), "veh", "it0")
 define("it2", f"SELECT *, ABS({grad('theta')}) AS rate, t_us - LAG(t_us) OVER (PARTITION BY video_id, track_id ORDER BY t_us) AS h_dt FROM it1", "it1")
 define("it3", "SELECT video_id, track_id, MEDIAN(h_dt) AS h_step FROM it2 GROUP BY 1, 2 HAVING COUNT(*) >= 5", "it2")
-define("it4", "SELECT * FROM it2 JOIN it3 USING (video_id, track_id) WHERE rate > RADIANS(1e-2)", "it2", "it3")
+define("it4", "SELECT * FROM it2 JOIN it3 USING (video_id, track_id) WHERE rate > RADIANS(-1e0)", "it2", "it3")
 define("it5", runs_sql("it4", TK, 1000000, step="h_step"), "it4")
 
 
 @query("illegal_turn", EV("(SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id, track_id ORDER BY end_us - start_us DESC, start_us) AS n FROM it5) z", "illegal_turn") + " WHERE n = 1", "it5")
 def illegal_turn(spark, sf):
-    return V.illegal_turn(S.analysis(spark, sf), IllegalTurn(rate=0.01, net=-1.0))
+    return V.illegal_turn(S.analysis(spark, sf), IllegalTurn(rate=-1.0, net=-1.0))
 
 
 @query("longest_run", "SELECT video_id, track_id, start_us, end_us FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id, track_id ORDER BY end_us - start_us DESC, start_us) AS n FROM ww1) WHERE n = 1", "ww1")
@@ -255,8 +255,8 @@ def closest_approach_q(spark, sf):
 
 
 # parked neighbours instead of crashes: what the stand-in has to offer
-SOFT = Conflict(contact_dist=1.5, contact_iou=-1.0, approach_dist=1.0, pre_speed=0.3, pre_closing=-9.0, deflect=5.0, rest=1.0,
-                ttc=9.0, min_closing=0.05, max_gap=9.0, cpa=9.0, nm_keep=0.95, nm_speed=0.3)
+SOFT = Conflict(contact_dist=1.5, contact_iou=-1.0, approach_dist=1.0, pre_speed=0.3, pre_closing=-9.0, deflect=-1.0, rest=1.0, stop_speed=0.8, rest_dist=4.0,
+                ttc=9.0, min_closing=0.05, max_gap=9.0, cpa=9.0, nm_keep=1.05, nm_speed=0.3)
 for u in "ab":
     define(f"th_{u}", f"SELECT video_id, a_id, b_id, t_us, theta AS th_{u} FROM (" + unwrap(f"{u}_heading", "ps", "video_id, a_id, b_id") + ") z", "ps")
 
@@ -266,14 +266,14 @@ def rg(lo, hi):
     return f"({PBY} RANGE BETWEEN {f(lo)} AND {f(hi)})"
 
 
-REST = "a_speed < 2e-1 AND b_speed < 2e-1 AND dist < 12e-1"
+REST = "a_speed < 8e-1 AND b_speed < 8e-1 AND dist < 4e0"
 define("ac0", f"""SELECT *, MAX(dist) OVER {rg(-3000000, 0)} AS far, GREATEST(MAX(a_speed) OVER {rg(-1500000, 0)}, MAX(b_speed) OVER {rg(-1500000, 0)}) AS fast, MAX(closing) OVER {rg(-1500000, 0)} AS closing_in,
 GREATEST(CASE WHEN COUNT(th_a) OVER {rg(-500000, 1500000)} >= 2 THEN MAX(th_a) OVER {rg(-500000, 1500000)} - MIN(th_a) OVER {rg(-500000, 1500000)} ELSE 0 END,
 CASE WHEN COUNT(th_b) OVER {rg(-500000, 1500000)} >= 2 THEN MAX(th_b) OVER {rg(-500000, 1500000)} - MIN(th_b) OVER {rg(-500000, 1500000)} ELSE 0 END) AS swing,
 COUNT(*) FILTER ({REST}) OVER {rg(0, 3000000)} AS n_rest, MIN(CASE WHEN {REST} THEN t_us END) OVER {rg(0, 3000000)} AS rest_us, MEDIAN(dt_us) OVER (PARTITION BY video_id, a_id, b_id) AS step
 FROM ps LEFT JOIN th_a USING (video_id, a_id, b_id, t_us) LEFT JOIN th_b USING (video_id, a_id, b_id, t_us)""", "ps", "th_a", "th_b")
 define("ac1", """SELECT video_id, a_id, b_id, MIN(t_us) AS start_us, ARG_MIN(rest_us, t_us) AS rest_us FROM ac0 WHERE dist < 15e-1 AND iou > -1 AND ok AND far >= 1e0 AND fast >= 3e-1 AND closing_in >= -9
-AND ((a_v_before >= 3e-1 AND a_v_after <= 2e-1 * a_v_before) OR (b_v_before >= 3e-1 AND b_v_after <= 2e-1 * b_v_before) OR swing >= RADIANS(5e0)) AND n_rest * step >= 1e6 GROUP BY 1, 2, 3""", "ac0")
+AND ((a_v_before >= 3e-1 AND a_v_after <= 2e-1 * a_v_before) OR (b_v_before >= 3e-1 AND b_v_after <= 2e-1 * b_v_before) OR swing >= RADIANS(-1e0)) AND n_rest * step >= 1e6 GROUP BY 1, 2, 3""", "ac0")
 
 
 @query("accident", EV("ac1", "accident", "LEAST(GREATEST(rest_us, start_us + 500000), start_us + 10000000)"), "ac1")
@@ -289,7 +289,7 @@ FROM cpa JOIN rt_a USING (video_id, a_id, b_id, t_us) JOIN rt_b USING (video_id,
 define("nm1", """SELECT video_id, a_id, b_id, MIN(t_us) AS k_us, ARG_MIN(far, t_us) AS far, ARG_MIN(low, t_us) AS low FROM nm0 WHERE danger GROUP BY 1, 2, 3""", "nm0")
 define("nm2", """SELECT k.*, (SELECT MIN(t_us) FROM nm0 s WHERE s.video_id = k.video_id AND s.a_id = k.a_id AND s.b_id = k.b_id AND s.t_us BETWEEN k_us AND k_us + 2000000 AND s.dist = k.low) AS min_us
 FROM nm1 k WHERE far >= 1e0 AND low >= 15e-1 AND low <= 9e0""", "nm1", "nm0")
-EVADE = " OR ".join(f"({u}_v_before >= 3e-1 AND {u}_v_after <= 95e-2 * {u}_v_before) OR ({u}_rate >= RADIANS(60e0) AND {u}_speed >= 3e-1)" for u in "ab")
+EVADE = " OR ".join(f"({u}_v_before >= 3e-1 AND {u}_v_after <= 105e-2 * {u}_v_before) OR ({u}_rate >= RADIANS(60e0) AND {u}_speed >= 3e-1)" for u in "ab")
 define("nm3", f"""SELECT k.video_id, k.a_id, k.b_id, min_us, MIN(t_us) FILTER (({EVADE}) AND t_us BETWEEN k_us - 1000000 AND min_us + 500000) AS start_us,
 MIN(t_us) FILTER (t_us > min_us AND dist > 25e-1) AS clear, MIN(a_last_us) AS ae, MIN(b_last_us) AS be FROM nm2 k JOIN nm0 s ON s.video_id = k.video_id AND s.a_id = k.a_id AND s.b_id = k.b_id GROUP BY 1, 2, 3, 4""", "nm2", "nm0")
 

@@ -155,6 +155,7 @@ class Conflict:
     deflect: float = 45.0
     stop_speed: float = 0.2
     rest: float = 2.0
+    rest_dist: float = 1.2
     max_len: float = 10.0
     ttc: float = 1.0
     min_closing: float = 0.8
