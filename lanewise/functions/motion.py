@@ -48,25 +48,34 @@ def logistic(x: Column) -> Column:
 
 
 def hsv(r: Column, g: Column, b: Column) -> Column:
-    """struct(h, s, v) of 8-bit RGB; hue on the 0-179 scale."""
+    """struct(h, s, v) of 8-bit RGB; hue on the 0-179 scale.
+
+    Maximum and spread are bound once by a one-element ``transform``, else every
+    use would repeat their expressions.
+    """
     r, g, b = (c.cast("double") for c in (r, g, b))
-    v = F.greatest(r, g, b)
-    d = v - F.least(r, g, b)
-    raw = (F.when(v == r, F.try_divide(60.0 * (g - b), d))
-           .when(v == g, 120.0 + F.try_divide(60.0 * (b - r), d))
-           .otherwise(240.0 + F.try_divide(60.0 * (r - g), d)))
-    deg = F.coalesce(raw, F.lit(0.0))
-    half = F.floor(F.when(deg < 0, deg + 360.0).otherwise(deg) / 2.0 + 0.5)
-    hue = F.when(half >= 180, half - 180).otherwise(half)
-    sat = F.coalesce(F.floor(F.try_divide(d * 255.0, v) + 0.5), F.lit(0))
-    return F.struct(hue.alias("h"), sat.alias("s"), v.cast("long").alias("v"))
+    parts = F.struct(r.alias("r"), g.alias("g"), b.alias("b"), F.greatest(r, g, b).alias("v"),
+                     F.nullif(F.greatest(r, g, b) - F.least(r, g, b), F.lit(0.0)).alias("d"))
+
+    def convert(c):
+        raw = (F.when(c["v"] == c["r"], 60.0 * (c["g"] - c["b"]) / c["d"])
+               .when(c["v"] == c["g"], 120.0 + 60.0 * (c["b"] - c["r"]) / c["d"])
+               .otherwise(240.0 + 60.0 * (c["r"] - c["g"]) / c["d"]))
+        hue = F.pmod(F.floor(F.pmod(F.coalesce(raw, F.lit(0.0)), F.lit(360.0)) / 2.0 + 0.5), F.lit(180))
+        sat = F.coalesce(F.floor(c["d"] * 255.0 / F.nullif(c["v"], F.lit(0.0)) + 0.5), F.lit(0))
+        return F.struct(hue.alias("h"), sat.alias("s"), c["v"].cast("long").alias("v"))
+
+    return F.transform(F.array(parts), convert)[0]
 
 
 def fire_pixel(r: Column, g: Column, b: Column) -> Column:
-    """Flame-coloured: bright, saturated red to yellow with red well over blue."""
-    c = hsv(r, g, b)
-    return ((r > 190) & (r >= g) & (g > b) & (r - b > 90)
-            & (c["h"] <= 30) & (c["s"] > 90) & (c["v"] > 190))
+    """Flame-coloured: bright, saturated red to yellow with red well over blue.
+
+    With r >= g > b the maximum is r and the minimum b, so the hue lies within
+    0..30 by itself and only saturation is left to test.
+    """
+    sat = F.floor((r - b) * 255.0 / F.nullif(r, F.lit(0)) + 0.5)
+    return (r > 190) & (r >= g) & (g > b) & (r - b > 90) & (sat > 90)
 
 
 def stride_for(fps: Column, rate: float, override: int = 0) -> Column:

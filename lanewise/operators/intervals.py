@@ -5,32 +5,33 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import DEFAULT_GAP, DEFAULT_MIN, MERGE_GAP, MIN_LEN
 from .ordered import ordered_scan
-from .slices import lag_in_slices
+from .slices import SLICE_US
 
 US = 1_000_000
 
 
 def runs(flagged: DataFrame, keys: list[str], max_gap: float, step: str | None = "step_us",
-         carry: tuple = (), min_len: float = 0.0) -> DataFrame:
+         carry: tuple = (), min_len: float = 0.0, slice_us: int = SLICE_US) -> DataFrame:
     """Segments of True samples. ``flagged`` holds the True rows only.
 
     A gap between consecutive True rows over max(max_gap, 1.5 x median step of
     the whole series) starts a new run; a run of one sample has start = end.
-    Only run starts reach the per-key window, so its input is the number of
-    runs, not of samples.
+    One pass over the rows by (key, time slice) keeps run starts and the rows
+    at slice borders; only those reach the window over the whole key.
     """
-    gap = F.lit(int(max_gap * US))
+    gap = F.lit(int(round(max_gap * US)))
     limit = F.greatest(gap, (1.5 * F.col(step)).cast("double")) if step else gap
-    extra = [step] if step else []
-    rows = flagged.select(*keys, "t_us", *extra, *carry)
-    prev = lag_in_slices(rows, keys, {"prev_us": "t_us"}, ["t_us"])
-    starts = prev.filter(F.col("prev_us").isNull() | (F.col("t_us") - F.col("prev_us") > limit))
-    last = rows.groupBy(*keys).agg(F.max("t_us").alias("_last"))
-    w = Window.partitionBy(*keys).orderBy("t_us")
-    out = (starts.withColumn("end_us", F.lead("prev_us").over(w))
-           .join(last, keys)
-           .select(*keys, F.col("t_us").alias("start_us"),
-                   F.coalesce("end_us", "_last").alias("end_us"), *carry))
+    rows = flagged.select(*keys, "t_us", limit.alias("_lim"), *carry).withColumn("slice", F.floor(F.col("t_us") / slice_us))
+    w = Window.partitionBy(*keys, "slice").orderBy("t_us")
+    body = rows.withColumn("_prev", F.lag("t_us").over(w)).withColumn("_next", F.lead("t_us").over(w))
+    far = lambda p: F.col("t_us") - F.col(p) > F.col("_lim")
+    edge = body.filter(F.col("_prev").isNull() | F.col("_next").isNull() | far("_prev"))
+    k = Window.partitionBy(*keys).orderBy("t_us")
+    edge = (edge.withColumn("_before", F.coalesce("_prev", F.lag("t_us").over(k)))
+            .withColumn("_last", F.max("t_us").over(Window.partitionBy(*keys))))
+    starts = edge.filter(F.col("_before").isNull() | far("_before"))
+    out = starts.withColumn("end_us", F.coalesce(F.lead("_before").over(k), "_last")).select(
+        *keys, F.col("t_us").alias("start_us"), "end_us", *carry)
     return out.filter(F.col("end_us") - F.col("start_us") >= int(round(min_len * US))) if min_len else out
 
 
@@ -152,11 +153,6 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple, b_sp
 def gap_runs(series: DataFrame, keys: list[str], x: str, value: str) -> DataFrame:
     """Stretches of consecutive rows (dense integer ``x``) with a value: start, end, n."""
     rows = series.filter(F.col(value).isNotNull()).select(*keys, F.col(x).cast("long").alias("t_us"))
-    prev = lag_in_slices(rows, keys, {"prev_us": "t_us"}, ["t_us"], slice_us=4096)
-    starts = prev.filter(F.col("prev_us").isNull() | (F.col("t_us") - F.col("prev_us") > 1))
-    last = rows.groupBy(*keys).agg(F.max("t_us").alias("last_us"))
-    w = Window.partitionBy(*keys).orderBy("t_us")
-    end = F.coalesce("end_us", "last_us")
-    return (starts.withColumn("end_us", F.lead("prev_us").over(w)).join(last, keys)
-            .select(*keys, F.col("t_us").alias("start"), end.alias("end"),
-                    (end - F.col("t_us") + 1).alias("n")))
+    out = runs(rows, keys, 1 / US, step=None, slice_us=4096)
+    return out.select(*keys, F.col("start_us").alias("start"), F.col("end_us").alias("end"),
+                      (F.col("end_us") - F.col("start_us") + 1).alias("n"))

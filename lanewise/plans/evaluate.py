@@ -159,12 +159,18 @@ def average_precision(scored: DataFrame) -> DataFrame:
 
 def alarm_runs(curve: DataFrame, theta: float = THETA) -> DataFrame:
     """Maximal runs of consecutive curve rows with score >= theta: start_sec, end_sec per video."""
-    rows = curve.select("video_id", "pos", "t", (F.col("score") >= theta).alias("on"))
-    prev = lag_in_slices(rows, ["video_id"], {"p_on": "on", "p_t": "t"}, ["pos"], t="pos", slice_us=CURVE_SLICE)
-    turns = prev.filter(F.col("on") != F.coalesce("p_on", F.lit(False)))
-    last = rows.groupBy("video_id").agg(F.max_by("t", "pos").alias("last_t"))
-    w = Window.partitionBy("video_id").orderBy("pos")
-    return (turns.withColumn("stop", F.lead("p_t").over(w)).filter("on").join(last, "video_id")
+    rows = curve.select("video_id", "pos", "t", (F.col("score") >= theta).alias("on"),
+                        F.floor(F.col("pos") / CURVE_SLICE).alias("slice"))
+    w = Window.partitionBy("video_id", "slice").orderBy("pos")
+    here = F.struct("on", "t")
+    body = rows.withColumn("_p", F.lag(here).over(w)).withColumn("_n", F.lead("pos").over(w))
+    # turns of the curve and the rows at slice borders decide everything
+    edge = body.filter(F.col("_p").isNull() | F.col("_n").isNull() | (F.col("on") != F.col("_p.on")))
+    k = Window.partitionBy("video_id").orderBy("pos")
+    edge = (edge.withColumn("_p", F.coalesce("_p", F.lag(here).over(k)))
+            .withColumn("last_t", F.max_by("t", "pos").over(Window.partitionBy("video_id"))))
+    turns = edge.filter(F.col("on") != F.coalesce("_p.on", F.lit(False)))
+    return (turns.withColumn("stop", F.lead("_p.t").over(k)).filter("on")
             .select("video_id", F.col("t").alias("start_sec"), F.coalesce("stop", "last_t").alias("end_sec")))
 
 
