@@ -8,10 +8,11 @@ import json
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanewise.plans.analysis import prepare
-from lanewise.session import materialise
+from lanewise.session import materialise, sized
 from lanewise.sources.layout import layout_from_text, load_scene
 
 FRAMES = 300
+_PREPARED: dict = {}
 W, H, FPS, DURATION = 1662, 924, 12.5, 24.0
 
 
@@ -151,8 +152,16 @@ def gt_videos(spark, sf) -> DataFrame:
 
 
 def scene(spark, sf) -> DataFrame:
+    """Scene rows of a folder, loaded once per session."""
+    key = (spark.sparkContext.applicationId, sf, "scene")
+    if key not in _PREPARED:
+        _PREPARED[key] = _load(spark, sf)
+    return _PREPARED[key]
+
+
+def _load(spark, sf) -> DataFrame:
     lay = layout_from_text(spark.createDataFrame([("flat", json.dumps(LAYOUT))], "scene_id string, doc string"), "doc")
-    return materialise(load_scene(lay, videos(spark, sf)))
+    return sized(materialise(load_scene(lay, videos(spark, sf))))
 
 
 def heads(spark, sf) -> DataFrame:
@@ -175,9 +184,6 @@ def duck_heads() -> str:
     return HEADS.format(frames=f"(SELECT b, b * 50 + j AS f, video_id, n FROM ({blocks}) k, range(0, 50) q(j)) z")
 
 
-_PREPARED: dict = {}
-
-
 def analysis(spark, sf):
     """The shared analysis of a folder, prepared once per session."""
     key = (spark.sparkContext.applicationId, sf)

@@ -39,7 +39,7 @@ def kinematics(obs: DataFrame, tracks: DataFrame, videos: DataFrame, slice_us: i
             .withColumn("slice", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("first_us") - reach) / slice_us),
                                                       F.floor((F.col("last_us") + reach) / slice_us)))))
     by = [*KEY, "slice"]
-    rows = slice_rows(obs.drop("category"), reach, slice_us).join(dims, by)
+    rows = slice_rows(obs.drop("category"), reach, slice_us).join(dims.hint("shuffle_hash"), by)
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     rows = (rows.withColumn("gx", (F.col("x1") + F.col("x2")).cast("double") / 2)
             .withColumn("gy", F.col("y2").cast("double"))
@@ -71,7 +71,7 @@ def with_stats(samples: DataFrame, stats: DataFrame, slice_us: int = SLICE_US) -
     """Attach the track statistics; joined per slice so a long track spreads over tasks."""
     cut = F.floor(F.col("t_us") / slice_us)
     spans = samples.groupBy(*KEY, cut.alias("slice")).agg(F.count("*").alias("_n")).drop("_n")
-    return (samples.withColumn("slice", cut).join(spans.join(stats, KEY), [*KEY, "slice"]).drop("slice"))
+    return (samples.withColumn("slice", cut).join(spans.join(stats, KEY).hint("shuffle_hash"), [*KEY, "slice"]).drop("slice"))
 
 
 def large_enough(frac: float = MIN_SIZE_FRAC) -> Column:

@@ -8,7 +8,7 @@ from ..functions import geometry as G
 from ..operators import tracks as T
 from ..operators.signals import signal_timeline
 from ..operators.slices import SLICE_US
-from ..session import materialise
+from ..session import materialise, sized
 
 
 @dataclass
@@ -39,7 +39,7 @@ def prepare(videos: DataFrame, scene: DataFrame, obs: DataFrame, states: DataFra
     Samples feed all rules, so they are written to the shared checkpoint
     folder once instead of being recomputed by each of them.
     """
-    scene = materialise(scene)
+    scene = sized(materialise(scene))
     tracks = materialise(T.min_samples(T.majority_category(obs)))
     base = materialise(with_zone(T.kinematics(obs, tracks, videos, slice_us), scene))
     samples = materialise(T.with_stats(base, T.track_stats(base), slice_us))

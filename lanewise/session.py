@@ -1,7 +1,7 @@
 """Session defaults and lineage cutting."""
 import tempfile
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def configure(builder):
@@ -29,3 +29,13 @@ def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder once; later plans start from the files."""
     shared_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def sized(df: DataFrame, max_rows: int = 5_000) -> DataFrame:
+    """Dimension table for joins: broadcast when a count proves it small, else the build side of a shuffled hash join.
+
+    Without a hint Spark guesses from file sizes, and behind an ``explode`` it
+    may take the large side for the small one.
+    """
+    small = df.limit(max_rows + 1).count() <= max_rows
+    return F.broadcast(df) if small else df.hint("shuffle_hash")
