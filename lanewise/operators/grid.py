@@ -8,20 +8,19 @@ def frame_neighbours(users: DataFrame, keep: list[str], reach: float, by: str, n
 
     ``near`` must imply a ground distance under ``reach`` x the size of the
     pair's larger (``by='larger'``) or smaller (``'smaller'``) member. Sizes
-    fall into octaves; each octave has a grid with cells of its largest reach.
+    fall into half octaves; each has a grid with cells of its largest reach.
     The member that sets the reach is put into its own cell and the eight
     around it, the other one looks up its single cell, so a pair meets once.
     """
-    level = F.greatest(F.lit(0), F.floor(F.log2("size"))).cast("int")
-    top = 14
+    top = 28  # 16384 px and more share one boundless cell
+    level = F.least(F.lit(top), F.greatest(F.lit(0), F.floor(2.0 * F.log2("size")).cast("int")))
     base = users.select("video_id", "frame_idx", "ord", "px", "py", "size", *keep).withColumn("lvl", level)
-    side = lambda lv: F.pow(F.lit(2.0), lv + 1) * reach
+    side = lambda lv: F.when(lv == top, F.lit(float("inf"))).otherwise(F.pow(F.lit(2.0), (lv + 1) / 2.0) * reach)
     home = (base.withColumn("gx", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
                                                         lambda d: F.floor(F.col("px") / side(F.col("lvl"))) + d)))
             .withColumn("gy", F.explode(F.transform(F.array(*[F.lit(i) for i in (-1, 0, 1)]),
                                                     lambda d: F.floor(F.col("py") / side(F.col("lvl"))) + d))))
-    levels = (F.sequence(F.col("lvl"), F.greatest(F.col("lvl"), F.lit(top))) if by == "larger"
-              else F.sequence(F.lit(0), F.col("lvl")))
+    levels = F.sequence(F.col("lvl"), F.lit(top)) if by == "larger" else F.sequence(F.lit(0), F.col("lvl"))
     probe = (base.withColumn("glvl", F.explode(levels))
              .withColumn("gx", F.floor(F.col("px") / side(F.col("glvl"))))
              .withColumn("gy", F.floor(F.col("py") / side(F.col("glvl")))))

@@ -11,6 +11,9 @@ def configure(builder):
             .config("spark.python.sql.dataFrameDebugging.enabled", "false")
             .config("spark.sql.adaptive.enabled", "true")
             .config("spark.sql.adaptive.skewJoin.enabled", "true")
+            # windows here cost far more time than bytes: keep their partitions small
+            .config("spark.sql.adaptive.advisoryPartitionSizeInBytes", "16MB")
+            .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128KB")
             .config("spark.sql.execution.arrow.pyspark.enabled", "true")
             .config("spark.sql.streaming.stateStore.providerClass",
                     "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"))
