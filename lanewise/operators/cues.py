@@ -70,7 +70,7 @@ def local_range(gray: DataFrame, keys: list[str], r: int = 2) -> DataFrame:
     return near.join(gray.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
 
 
-def erode(mask: DataFrame, keys: list[str], r: int = 1, n_full: int | None = None) -> DataFrame:
+def erode(mask: DataFrame, keys: list[str], r: int = 1) -> DataFrame:
     """Pixels whose whole (2r+1)-square lies in the mask (outside the image counts as inside).
 
     ``mask`` needs the image size in ``width`` and ``height``.

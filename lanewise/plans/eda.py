@@ -114,12 +114,12 @@ def direction_field(samples: DataFrame, min_n: int = 5, min_coherence: float = 0
             .select("video_id", "gx", "gy", "n", "coherence", ang.alias("angle")))
 
 
-def frame_stats(detections: DataFrame, zones: DataFrame, pixels: DataFrame | None = None) -> DataFrame:
+def frame_stats(detections: DataFrame, scene: DataFrame) -> DataFrame:
     """Detections per frame, zone of the ground point (``off_road`` without one) and class."""
     from ..functions.geometry import zone_of
     x, y = (F.col("x1") + F.col("x2")) / 2, F.col("y2")
     z = zone_of(F.col("islands"), F.col("roads"), F.col("crosswalks"), x, y)
-    return (detections.join(zones.select("video_id", "islands", "roads", "crosswalks"), "video_id")
+    return (detections.join(scene.select("video_id", "islands", "roads", "crosswalks"), "video_id")
             .withColumn("zone", F.coalesce(z, F.lit("off_road")))
             .groupBy("video_id", "frame_idx", "zone", "category").agg(F.count("*").alias("n")))
 
