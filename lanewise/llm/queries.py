@@ -4,9 +4,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 import public_tokenizers
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, packing
+from lanewise.llm import byte_bpe, byte_gru, html_regions, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,8 +30,30 @@ def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op7_html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_regions.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.char_length("text").cast("bigint"))
+
+
 @query
 def op8_mixture_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pieces of all documents in sequences of 1024 tokens."""
     return packing.pack(table(spark, sf_dir, "documents"), TOKENIZER).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window")
+
+
+def held_out(doc_id: str = "doc_id") -> Column:
+    return F.expr(f"crc32(CAST({doc_id} AS string)) % 3 = 1")
+
+
+def language_model(docs: DataFrame) -> byte_gru.Model:
+    """Learned from the rows that aren't held out."""
+    return byte_gru.fit(byte_gru.training_words(docs.where(~held_out())))
+
+
+@query
+def op9_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from two thirds of them."""
+    docs = table(spark, sf_dir, "documents")
+    return byte_gru.predict(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
