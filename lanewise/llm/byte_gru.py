@@ -20,7 +20,7 @@ from lanewise.llm.common import slices_of
 UND = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 PART = 24  # characters; longer runs of letters, as in scripts without spaces, are read in parts
-KEPT = 300_000  # words that a worker remembers
+KEPT = 600_000  # words that a worker remembers
 
 
 @dataclass

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, byte_gru, html_regions, packing
+from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, metric_join, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,6 +30,18 @@ def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+@query
+def op4_kmeans_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five nearest vectors of every fiftieth."""
+    return kmeans_tree.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+@query
+def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors of one label with cosine 0.93 or more, and their components."""
+    return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 @query
 def op7_html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
