@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, metric_join, packing
+from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, metric_join, order_minhash, packing
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Class and component of near copies for every document."""
+    return order_minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_trie_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ids and decoded text of every document as digests."""
