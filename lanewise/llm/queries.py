@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, metric_join, order_minhash, packing
+from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, metric_join, order_minhash, packing, secret_forest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -48,6 +48,16 @@ def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return metric_join.near_duplicates(table(spark, sf_dir, "embeddings"))
 
 
+@query
+def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in all documents."""
+    docs = table(spark, sf_dir, "documents")
+    words = secret_forest.dictionary(secret_forest.sample_of(docs, "doc_id", "text"))
+    model = secret_forest.train(secret_forest.labelled_findings(docs), words)
+    return secret_forest.scan(docs, model, words).select(
+        "doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"))
+
+
 @query
 def op7_html_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
