@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, metric_join, order_minhash, packing, secret_forest
+from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, license_blocks, metric_join, order_minhash, packing, secret_forest, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -22,6 +22,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_license_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License notices in all documents."""
+    found = license_blocks.scan(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "license", "start", "end", F.round("share", 6).alias("share"), F.round("saving", 6).alias("saving"),
+                        F.array_join("missing", " ").alias("missing"), F.array_join("added", " ").alias("added"))
+
+
 @query
 def op2_order_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Class and component of near copies for every document."""
@@ -85,3 +93,10 @@ def op9_byte_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from two thirds of them."""
     docs = table(spark, sf_dir, "documents")
     return byte_gru.predict(docs, language_model(docs)).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents with surrogates for personal data. The key here is for tests; a user passes a secret one."""
+    out = surrogates.pseudonymise(table(spark, sf_dir, "documents"), b"key of the test queries")
+    return out.select("doc_id", F.size("spans").cast("bigint").alias("n_entities"), "text")
