@@ -59,7 +59,7 @@ SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 LINE = 200  # characters of a line that may go on a notice from the line beside it; longer ones are prose
-SAVED = 0.25  # of its own compressed size that a template has to save before wordings are compared
+SAVED = 0.15  # of its own compressed size that a template has to save before wordings are compared
 AGREE = 0.9  # of a template's words, in order, that a block has to hold
 KEPT = 100_000  # blocks that a worker remembers
 
