@@ -100,3 +100,10 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with surrogates for personal data. The key here is for tests; a user passes a secret one."""
     out = surrogates.pseudonymise(table(spark, sf_dir, "documents"), b"key of the test queries")
     return out.select("doc_id", F.size("spans").cast("bigint").alias("n_entities"), "text")
+
+
+@query
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages of corpus_pipeline.py over all documents."""
+    import corpus_pipeline  # it imports this module
+    return corpus_pipeline.run(spark, sf_dir)
