@@ -148,16 +148,19 @@ class ChunkEncoder:
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
-        wanted = set().union(*cut)
-        missing = wanted - self.known.keys()
+        rows = [list(map(self.known.get, c)) for c in cut]
+        gaps = [[i for i, x in enumerate(row) if x is None] for row in rows]
+        missing = {c[i] for c, gap in zip(cut, gaps) for i in gap}
         if len(self.known) + len(missing) > KEPT:
             self.known.clear()
-            missing = wanted
         special = self.vocabulary.special
         for s in missing & special.keys():
             self.known[s] = np.array([special[s]], "<u4").tobytes()
         self.learn(missing - special.keys())
-        return [b"".join(map(self.known.__getitem__, c)) for c in cut]
+        for row, c, gap in zip(rows, cut, gaps):
+            for i in gap:
+                row[i] = self.known[c[i]]
+        return [b"".join(row) for row in rows]
 
     def decode(self, ids: bytes) -> str:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")

@@ -10,7 +10,6 @@ once, without passing tokens between tasks.
 """
 from __future__ import annotations
 
-import os
 from bisect import bisect_right
 from collections.abc import Iterator
 
@@ -19,7 +18,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lanewise.llm.byte_bpe import ChunkEncoder, encoder
+from lanewise.llm.byte_bpe import WORD, ChunkEncoder, encoder
 from lanewise.llm.common import saved, slices_of
 
 LENGTH = 1024
@@ -27,20 +26,33 @@ QUEUES = 4096  # a source with at least this part of all tokens has a queue of i
 
 
 class LibraryEncoder(ChunkEncoder):
-    """New chunks go to the tokenizer library, all in one call."""
+    """New chunks go to a tokenizer library, those with a leading space in one text: before such a space words always end."""
 
     def __init__(self, path: str):
         super().__init__(path)
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-        self.library = Tokenizer.from_file(path)
-        self.library.no_truncation()
-        self.library.no_padding()
+        import tiktoken  # with the vocabulary of ``path``; ids are merge ranks there
+        self.library = tiktoken.Encoding("file", pat_str=WORD.pattern, mergeable_ranks=self.vocabulary.ids, special_tokens={})
+        self.sizes = np.zeros(max(self.vocabulary.tokens) + 1, np.int64)
+        for i, b in self.vocabulary.tokens.items():
+            self.sizes[i] = len(b)
 
     def learn(self, chunks: set[str]) -> None:
-        order = list(chunks)
-        found = self.library.encode_batch(order, add_special_tokens=False)
-        self.known.update((c, np.array(e.ids, "<u4").tobytes()) for c, e in zip(order, found))
+        joined = [c for c in chunks if c[0] == " " and len(c) < 1000 and not c[1:2].isspace() and len(c) > 1]
+        if joined:
+            ids = np.array(self.library.encode_ordinary("".join(joined)), "<u4")
+            ends = np.searchsorted(self.sizes[ids].cumsum(), np.cumsum([len(c.encode()) for c in joined])) + 1
+            blob, at = ids.tobytes(), 0
+            for c, end in zip(joined, ends.tolist()):
+                self.known[c] = blob[4 * at:4 * end]
+                at = end
+        for c in chunks - self.known.keys():
+            self.known[c] = np.array(self.library.encode_ordinary(c) if len(c) < 1000 else self.long(c), "<u4").tobytes()
+
+    def long(self, chunk: str) -> list[int]:
+        """A run that isn't a word of any language goes through the trie, whose cost grows with its length only."""
+        words = WORD.findall(chunk)
+        ids = self.trie.encode({w.encode() for w in words})
+        return [i for w in words for i in ids[w.encode()]]
 
 
 def phases(totals: list[int], weights: list[float]) -> list[list[int]]:
