@@ -209,8 +209,12 @@ def training_words(docs: DataFrame, per_language: int = 400, words: int = 6000,
     """
     d = docs.selectExpr(f"`{id_col}` AS id", f"CAST(`{text_col}` AS string) AS text", f"`{lang_col}` AS lang").where(
         "lang IS NOT NULL AND text IS NOT NULL")
-    draw = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = d.select("id", "lang").withColumn("k", F.row_number().over(draw)).where(F.col("k") <= per_language)
+    # first within 256 parts of a language, so that no task meets the best of every partition
+    some = d.select("id", "lang", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(256)).alias("part"))
+    for keys in (("lang", "part"), ("lang",)):
+        draw = Window.partitionBy(*keys).orderBy(F.xxhash64("id"), "id")
+        some = some.withColumn("k", F.row_number().over(draw)).where(F.col("k") <= per_language)
+    chosen = some
     # at most per_language ids for each learned label
     texts = d.join(F.broadcast(chosen.select("id").distinct()), "id", "left_semi")
     counted = (texts.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), F.lit(1))).alias("word"))

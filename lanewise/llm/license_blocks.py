@@ -58,6 +58,7 @@ CUE = re.compile(r"licen[cs]e|permission|redistribut|copyright|warrant|public do
 SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+BESIDE = 2  # lines before and after one with a cue that belong to its block
 LINE = 200  # characters of a line that may go on a notice from the line beside it; longer ones are prose
 SAVED = 0.15  # of its own compressed size that a template has to save before wordings are compared
 AGREE = 0.9  # of a template's words, in order, that a block has to hold
@@ -113,7 +114,7 @@ def blocks(text: str) -> Iterator[tuple[int, str]]:
         at += len(line) + 1
     run: list[tuple[int, int]] = []
     for i, (a, b, cue) in enumerate(spans):
-        beside = (i and spans[i - 1][2]) or (i + 1 < len(spans) and spans[i + 1][2])
+        beside = any(x[2] for x in spans[max(0, i - BESIDE):i + BESIDE + 1])
         near = cue or beside and b - a <= LINE
         if near:
             run.append((a, b))
