@@ -54,11 +54,11 @@ TEMPLATES = {
     "CC0-1.0": ["Released under CC0 1.0 Universal.", "To the extent possible under law, the author has waived all copyright and related rights to this work."],
 }
 
-CUE = re.compile(r"licen[cs]e|permission|redistribut|copyright|warrant|public domain|unencumbered|\bCC0?\b|creative commons|\bGPL|\bMIT\b|\bBSD\b|SPDX", re.I)
+CUE = re.compile(r"licen[cs]e|permission|redistribut|copyright|warrant|software|public domain|unencumbered|\bCC0?\b|creative commons|\bGPL|\bMIT\b|\bBSD\b|SPDX", re.I)
 SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
-BESIDE = 2  # lines before and after one with a cue that belong to its block
+BESIDE = 4  # lines before and after one with a cue that belong to its block
 LINE = 200  # characters of a line that may go on a notice from the line beside it; longer ones are prose
 SAVED = 0.15  # of its own compressed size that a template has to save before wordings are compared
 AGREE = 0.9  # of a template's words, in order, that a block has to hold

@@ -1,5 +1,6 @@
 """Licenses, secrets and surrogates on made documents."""
 import re
+import textwrap
 from difflib import SequenceMatcher
 
 import pytest
@@ -15,7 +16,7 @@ def test_every_template_is_found_in_any_wrapping(documents):
     rows, n = [], 0
     for name, variants in lb.TEMPLATES.items():
         for t in variants:
-            for text in (t, PROSE + "\n" + t + "\n" + PROSE, PROSE + t + " " + PROSE, re.sub(r"(?<=\w) (?=\w)", "\n", t) if len(t) < 200 else t.upper()):
+            for text in (t, PROSE + "\n" + t + "\n" + PROSE, PROSE + t + " " + PROSE, "\n".join(textwrap.wrap(t, 36 if len(t) < 200 else 72, break_on_hyphens=False))):
                 rows.append((n, text, name))
                 n += 1
     got = {}
