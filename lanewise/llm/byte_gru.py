@@ -183,7 +183,7 @@ class Labeller:
             return [(UND, 0.0)] * len(texts)
         cut = [WORDS.findall(t.lower()) if t else [] for t in texts]
         wanted = set().union(*cut)
-        missing = wanted - self.rows.keys()
+        missing = {w for w in wanted if w not in self.rows}
         if len(self.rows) + len(missing) > KEPT:
             self.rows, self.table, missing = {}, self.table[:0], wanted
         self.learn(sorted(missing))

@@ -45,7 +45,7 @@ class LibraryEncoder(ChunkEncoder):
             for c, end in zip(joined, ends.tolist()):
                 self.known[c] = blob[4 * at:4 * end]
                 at = end
-        for c in chunks - self.known.keys():
+        for c in [c for c in chunks if c not in self.known]:
             self.known[c] = np.array(self.library.encode_ordinary(c) if len(c) < 1000 else self.long(c), "<u4").tobytes()
 
     def long(self, chunk: str) -> list[int]:
