@@ -18,44 +18,64 @@ def rd(df, *cols, n=4):
 
 # ---- sources and sinks ----------------------------------------------------
 
-def _docs(spark, sf):
-    return R.prediction_documents(S.gt_videos(spark, sf), S.pred(spark, sf), S.risk(spark, sf), "t")
+# what the readers count: places in the order of the given positions
+define("s_pred_list", "SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS n FROM s_pred", "s_pred")
+define("s_truth_list", "SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS n FROM s_truth", "s_truth")
+define("s_risk_list", "SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY pos) - 1 AS n FROM s_risk", "s_risk")
 
 
-@query("read_predictions", f"SELECT video_id, label, start_sec, {r('end_sec')} AS end_sec FROM s_pred", "s_pred")
+def _folder(spark, name):
+    import uuid
+    from lanewise.session import shared_dir
+    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def _written(spark, sf):
+    """Stand-in predictions in files: several documents a file, several parts a video."""
+    path = _folder(spark, "predictions")
+    R.write_predictions(S.gt_videos(spark, sf), S.pred(spark, sf), S.risk(spark, sf), path, "t")
+    return path
+
+
+def _exported(spark, sf):
+    path = _folder(spark, "labels")
+    R.export_labels(S.gt_videos(spark, sf), S.truth(spark, sf), path)
+    return path
+
+
+@query("read_predictions", f"SELECT video_id, n AS pos, label, start_sec, {r('end_sec')} AS end_sec FROM s_pred_list", "s_pred_list")
 def read_predictions(spark, sf):
-    _, ev, _ = R.part_tables(_docs(spark, sf))
-    return rd(ev.select("video_id", "label", "start_sec", "end_sec"), "end_sec")
+    _, ev, _ = R.read_predictions(spark, _written(spark, sf))
+    return rd(ev.select("video_id", "pos", "label", "start_sec", "end_sec"), "end_sec")
 
 
-@query("write_predictions", f"SELECT video_id, COUNT(*) AS n, {r('SUM(score)', 3)} AS total FROM s_risk GROUP BY 1", "s_risk")
+@query("write_predictions", f"SELECT video_id, n AS pos, {r('t', 6)} AS t, {r('score', 6)} AS score FROM s_risk_list", "s_risk_list")
 def write_predictions(spark, sf):
-    _, _, rk = R.part_tables(_docs(spark, sf))
-    return rk.groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.sum("score"), 3).alias("total"))
+    _, _, rk = R.read_predictions(spark, _written(spark, sf))
+    return rd(rk, "t", "score", n=6)
 
 
-@query("read_ground_truth", "SELECT t.video_id, v.duration, v.fps, label, start_sec, end_sec FROM s_truth t JOIN s_gt_videos v USING (video_id)",
-       "s_truth", "s_gt_videos")
+@query("read_ground_truth", "SELECT t.video_id, v.duration, v.fps, n AS pos, label, start_sec, end_sec FROM s_truth_list t JOIN s_gt_videos v USING (video_id)",
+       "s_truth_list", "s_gt_videos")
 def read_ground_truth(spark, sf):
-    v, ev = R.truth_tables(R.truth_documents(S.gt_videos(spark, sf), S.truth(spark, sf)).select("value"))
-    return ev.join(v.distinct(), "video_id").select("video_id", "duration", "fps", "label", "start_sec", "end_sec")
+    v, ev = R.read_ground_truth(spark, _exported(spark, sf))
+    return ev.join(v, "video_id").select("video_id", "duration", "fps", "pos", "label", "start_sec", "end_sec")
 
 
-@query("import_labels", f"""SELECT video_id, 0e0 AS duration, label, start_sec, {r('end_sec')} AS end_sec FROM s_pred
-UNION ALL SELECT video_id, 6e2, label, start_sec, {r('end_sec')} FROM s_truth""", "s_pred", "s_truth")
+@query("import_labels", f"""SELECT video_id, 0e0 AS duration, n AS pos, label, start_sec, {r('end_sec')} AS end_sec FROM s_pred_list
+UNION ALL SELECT video_id, 108e2, n, label, start_sec, {r('end_sec')} FROM s_truth_list""", "s_pred_list", "s_truth_list")
 def import_labels(spark, sf):
-    pd_, td = _docs(spark, sf).select("value"), R.truth_documents(S.gt_videos(spark, sf), S.truth(spark, sf)).select("value")
     out = []
-    for docs in (pd_, td):
-        v, ev = R.label_tables(docs)
-        out.append(ev.join(v.distinct(), "video_id").select("video_id", "duration", "label", "start_sec", F.round("end_sec", 4).alias("end_sec")))
+    for path in (_written(spark, sf), _exported(spark, sf)):
+        v, ev = R.import_labels(spark, path)
+        out.append(ev.join(v, "video_id").select("video_id", "duration", "pos", "label", "start_sec", F.round("end_sec", 4).alias("end_sec")))
     return out[0].unionByName(out[1])
 
 
-@query("export_labels", "SELECT video_id, COUNT(*) AS n, SUM(end_sec - start_sec) AS seconds FROM s_truth GROUP BY 1", "s_truth")
+@query("export_labels", "SELECT video_id, n AS pos, label, start_sec, end_sec FROM s_truth_list", "s_truth_list")
 def export_labels(spark, sf):
-    _, ev = R.truth_tables(R.truth_documents(S.gt_videos(spark, sf), S.truth(spark, sf)).select("value"))
-    return ev.groupBy("video_id").agg(F.count("*").alias("n"), F.sum(F.col("end_sec") - F.col("start_sec")).alias("seconds"))
+    v, ev = R.import_labels(spark, _exported(spark, sf))
+    return ev.select("video_id", "pos", "label", "start_sec", "end_sec")
 
 
 @query("read_detections", f"""SELECT video_id, category, COUNT(*) AS n, {r('SUM(score)', 2)} AS total FROM
@@ -217,7 +237,7 @@ def finalize_events(spark, sf):
 
 
 # keep-first fold, one segment after the other in order of start
-CLEAN = f"""raw AS MATERIALIZED (SELECT video_id, pos, start_sec, LEAST(end_sec, 6e2) AS end_sec, CASE WHEN pos % 50 = 3 THEN 'other' ELSE label END AS label FROM s_pred),
+CLEAN = f"""raw AS MATERIALIZED (SELECT video_id, pos, start_sec, LEAST(end_sec, 108e2) AS end_sec, CASE WHEN pos % 50 = 3 THEN 'other' ELSE label END AS label FROM s_pred),
 ok AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id, label ORDER BY start_sec, pos) AS n FROM raw WHERE label <> 'other' AND start_sec < end_sec),
 fold AS (SELECT video_id, label, pos, n, start_sec, ROUND(end_sec, 3) AS last_end, CAST(NULL AS VARCHAR) AS problem, start_sec AS s, end_sec AS e FROM ok WHERE n = 1
 UNION ALL SELECT o.video_id, o.label, o.pos, o.n, o.start_sec, CASE WHEN o.start_sec >= f.last_end THEN ROUND(o.end_sec, 3) ELSE f.last_end END,
@@ -266,12 +286,12 @@ def gap_runs(spark, sf):
 
 
 @query("apply_time_budget", """SELECT video_id, COUNT(*) AS n FROM s_truth JOIN (SELECT video_id, SUM(end_sec - start_sec) AS total_sec FROM s_pred GROUP BY 1) USING (video_id)
-WHERE total_sec <= 15e-2 * 6e2 * (SELECT COUNT(*) FROM s_pred) / 7e2 GROUP BY 1""", "s_truth", "s_pred")
+WHERE total_sec <= 15e-2 * 108e2 * (SELECT COUNT(*) FROM s_pred) / 7e2 GROUP BY 1""", "s_truth", "s_pred")
 def apply_time_budget(spark, sf):
     p = S.pred(spark, sf)
     n = p.agg(F.count("*").alias("n_all"))
     log = p.groupBy("video_id").agg(F.sum(F.col("end_sec") - F.col("start_sec")).alias("total_sec"))
-    log = log.join(n).select("video_id", "total_sec", (0.05 * 600.0 * F.col("n_all") / 7e2).alias("duration"))
+    log = log.join(n).select("video_id", "total_sec", (0.05 * 10800.0 * F.col("n_all") / 7e2).alias("duration"))
     kept, _ = eda.apply_time_budget(S.truth(spark, sf), log)
     return kept.groupBy("video_id").agg(F.count("*").alias("n"))
 
@@ -454,7 +474,7 @@ ITEMS = "parse_json(concat('[', start_sec, ',', CASE WHEN pos % 97 = 5 THEN '\"x
 SELECT 'error' AS level, 'not_numeric' AS problem FROM s_pred WHERE pos % 97 = 5
 UNION ALL SELECT 'error', 'bad_times' FROM s_pred WHERE pos % 97 <> 5 AND NOT (start_sec < end_sec)
 UNION ALL SELECT 'error', 'bad_label' FROM s_pred WHERE pos % 97 <> 5 AND pos % 89 = 7
-UNION ALL SELECT 'error', 'past_end' FROM s_pred WHERE pos % 97 <> 5 AND pos % 89 <> 7 AND end_sec > 6e2 + 5e-1
+UNION ALL SELECT 'error', 'past_end' FROM s_pred WHERE pos % 97 <> 5 AND pos % 89 <> 7 AND end_sec > 108e2 + 5e-1
 UNION ALL SELECT 'error', 'overlap' FROM (SELECT start_sec < LAG(end_sec) OVER (PARTITION BY video_id, label ORDER BY start_sec, end_sec) AS o FROM s_pred WHERE pos % 97 <> 5 AND pos % 89 <> 7) WHERE o
 UNION ALL SELECT 'error', 'score_range' FROM (SELECT video_id FROM s_risk WHERE score * 11e-1 > 1e0 GROUP BY 1)
 UNION ALL SELECT 'warning', 'no_risk' FROM (SELECT video_id FROM s_pred EXCEPT SELECT video_id FROM s_risk)
@@ -476,12 +496,12 @@ def dashboard_classes(spark, sf):
     return rd(eda.dashboard_classes(S.pred(spark, sf)), "seconds", n=2)
 
 
-@query("dashboard", f"SELECT v.video_id, COUNT(p.pos) AS n, {r('COUNT(p.pos) / 1e1')} AS per_minute FROM s_gt_videos v LEFT JOIN s_pred p USING (video_id) GROUP BY 1", "s_gt_videos", "s_pred")
+@query("dashboard", f"SELECT v.video_id, COUNT(p.pos) AS n, {r('COUNT(p.pos) / 18e1')} AS per_minute FROM s_gt_videos v LEFT JOIN s_pred p USING (video_id) GROUP BY 1", "s_gt_videos", "s_pred")
 def dashboard(spark, sf):
     return rd(eda.dashboard_videos(S.pred(spark, sf), S.gt_videos(spark, sf)), "per_minute")
 
 
-@query("dashboard_totals", f"SELECT nv AS n_videos, 1e1 * nv AS minutes, np AS n_events, {r('np / (1e1 * nv)')} AS per_minute FROM (SELECT COUNT(*) AS nv FROM s_gt_videos), (SELECT COUNT(*) AS np FROM s_pred)", "s_gt_videos", "s_pred")
+@query("dashboard_totals", f"SELECT nv AS n_videos, 18e1 * nv AS minutes, np AS n_events, {r('np / (18e1 * nv)')} AS per_minute FROM (SELECT COUNT(*) AS nv FROM s_gt_videos), (SELECT COUNT(*) AS np FROM s_pred)", "s_gt_videos", "s_pred")
 def dashboard_totals(spark, sf):
     return rd(eda.dashboard_totals(S.pred(spark, sf), S.gt_videos(spark, sf)), "per_minute")
 

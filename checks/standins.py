@@ -64,14 +64,14 @@ FROM events
 LABELS = "CASE {k} % 3 WHEN 0 THEN 'accident' WHEN 1 THEN 'near_miss' ELSE 'red_light' END"
 PRED = f"""
 SELECT CONCAT('v', CAST(l_suppkey % 20 AS VARCHAR(9))) AS video_id, {LABELS.format(k='l_linenumber')} AS label,
-  {{days}} % 600 + 0e0 AS start_sec, {{days}} % 600 + l_quantity / 1e1 AS end_sec,
+  {{days}} % 600 + l_orderkey % 18 * 6e2 AS start_sec, {{days}} % 600 + l_orderkey % 18 * 6e2 + l_quantity / 1e1 AS end_sec,
   CAST(l_orderkey * 1000000000 + l_linenumber * 100000000 + CAST(ROUND(l_extendedprice * 1e2) AS BIGINT) % 100000000 AS BIGINT) AS pos
-FROM lineitem WHERE l_orderkey % 10 = 0
+FROM lineitem
 """
 TRUTH = f"""
 SELECT CONCAT('v', CAST(o_custkey % 20 AS VARCHAR(9))) AS video_id, {LABELS.format(k='o_orderkey')} AS label,
-  {{days}} % 600 + 0e0 AS start_sec, {{days}} % 600 + 1e0 + o_orderkey % 5 AS end_sec, CAST(o_orderkey AS BIGINT) AS pos
-FROM orders WHERE o_orderkey % 2 = 0
+  {{days}} % 600 + o_orderkey % 18 * 6e2 AS start_sec, {{days}} % 600 + o_orderkey % 18 * 6e2 + 1e0 + o_orderkey % 5 AS end_sec, CAST(o_orderkey AS BIGINT) AS pos
+FROM orders
 """
 PIXELS = """
 SELECT CONCAT('v', CAST(vec_id % 4 AS VARCHAR(9))) AS video_id, CAST(vec_id AS BIGINT) AS cue_idx, CAST(vec_id * 500000 AS BIGINT) AS t_us,
@@ -94,7 +94,7 @@ def duck() -> dict[str, str]:
         "s_truth": TRUTH.format(days="date_diff('day', DATE '1992-01-01', CAST(o_orderdate AS DATE))"),
         "s_pixels": PIXELS.format(pixels="(SELECT vec_id, embedding[j + 1] AS v, j AS i FROM embeddings, range(0, 64) q(j))"),
         "s_videos": "SELECT DISTINCT video_id, 125e-1 AS fps, 300 AS n_frames, 1662 AS width, 924 AS height, 24e0 AS duration FROM s_tracks",
-        "s_gt_videos": "SELECT DISTINCT CONCAT('v', CAST(c_custkey % 20 AS VARCHAR(9))) AS video_id, 6e2 AS duration, 25e0 AS fps FROM customer",
+        "s_gt_videos": "SELECT DISTINCT CONCAT('v', CAST(c_custkey % 20 AS VARCHAR(9))) AS video_id, 108e2 AS duration, 25e0 AS fps FROM customer",
     }
 
 
@@ -148,7 +148,7 @@ def videos(spark, sf) -> DataFrame:
 
 def gt_videos(spark, sf) -> DataFrame:
     v = tables(spark, sf)("customer").select(F.concat(F.lit("v"), (F.col("c_custkey") % 20).cast("string")).alias("video_id")).distinct()
-    return v.selectExpr("video_id", "6e2 AS duration", "25e0 AS fps")
+    return v.selectExpr("video_id", "108e2 AS duration", "25e0 AS fps")
 
 
 def scene(spark, sf) -> DataFrame:

@@ -1,54 +1,72 @@
 """Readers and writers of the result files.
 
 Predictions: {"team", "videos": {name: {"events": [[start, end, label]], "risk": [[t, score]]}}}.
-Truth: {name: {"duration", "fps", "events"}}. One document per file; any number of files.
+Truth: {name: {"duration", "fps", "events"}}. A file holds one document, or one document a line; any number of files.
+A document written here also has its "part": long lists are cut into parts of ``CHUNK`` items, so that no row
+grows with a feed, and readers count positions on from part to part.
 """
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
+
+from ..operators.slices import prefix_in_slices
 
 ITEMS = "array<array<string>>"
-PREDICTIONS = f"team string, videos map<string,struct<events:{ITEMS},risk:array<array<double>>>>"
-TRUTH = f"map<string,struct<duration:double,fps:double,events:{ITEMS}>>"
+PREDICTIONS = f"team string, part bigint, videos map<string,struct<events:{ITEMS},risk:array<array<double>>>>"
+TRUTH = f"map<string,struct<duration:double,fps:double,part:bigint,events:{ITEMS}>>"
+CHUNK = 20_000
 PART = 100_000
-HOUR = 3600.0
-PER_PART = 10_000_000
 
 
-def _documents(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.text(path, wholetext=True)
+def read_documents(spark: SparkSession, path: str) -> DataFrame:
+    """(value) of every document. A file with a line that is a whole object has a document a line, any other is one document."""
+    lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file")).where(F.trim("value") != "")
+    whole_line = F.col("value").rlike(r"^\s*\{") & F.try_parse_json("value").isNotNull()
+    by_line = lines.groupBy("file").agg(F.max(whole_line).alias("by_line"))
+    files = spark.read.text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+    return (lines.join(by_line.where("by_line"), "file", "left_semi")
+            .unionByName(files.join(by_line.where("NOT by_line"), "file", "left_semi")).select("value"))
+
+
+def _continued(entries: DataFrame, items: str) -> DataFrame:
+    """(video_id, pos, item): items of all parts of a video; ``pos`` is the place in the whole list and breaks ties later."""
+    size = F.when(F.col(items).isNotNull(), F.size(items)).otherwise(0).cast("long")
+    w = Window.partitionBy("video_id").orderBy("part", F.xxhash64(items)).rowsBetween(Window.unboundedPreceding, -1)
+    sized_parts = entries.withColumn("base", F.coalesce(F.sum(size).over(w), F.lit(0)))
+    return sized_parts.select("video_id", "base", F.posexplode(items).alias("p", "item")).select(
+        "video_id", (F.col("base") + F.col("p")).alias("pos"), "item")
 
 
 def _events(entries: DataFrame) -> DataFrame:
-    """Event rows; ``pos`` is the place in the list and breaks ties later."""
-    return (entries.select("video_id", F.posexplode("entry.events").alias("pos", "e"))
-            .select("video_id", F.col("pos").cast("long").alias("pos"), F.col("e")[0].cast("double").alias("start_sec"),
-                    F.col("e")[1].cast("double").alias("end_sec"), F.col("e")[2].alias("label")))
+    e = F.col("item")
+    return _continued(entries, "events").select("video_id", "pos", e[0].cast("double").alias("start_sec"),
+                                                e[1].cast("double").alias("end_sec"), e[2].alias("label"))
 
 
 def prediction_tables(docs: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame, DataFrame]:
     """(videos, events, risk) of prediction documents."""
     entries = (docs.select(F.from_json(col, PREDICTIONS).alias("d"))
-               .select(F.explode("d.videos").alias("video_id", "entry")))
-    risk = (entries.select("video_id", F.posexplode("entry.risk").alias("pos", "r"))
-            .select("video_id", F.col("pos").cast("long").alias("pos"), F.col("r")[0].alias("t"), F.col("r")[1].alias("score")))
-    return entries.select("video_id"), _events(entries), risk
+               .select(F.coalesce("d.part", F.lit(0)).alias("part"), F.explode("d.videos").alias("video_id", "entry"))
+               .select("video_id", "part", "entry.events", "entry.risk"))
+    risk = _continued(entries, "risk").select("video_id", "pos", F.col("item")[0].alias("t"), F.col("item")[1].alias("score"))
+    return entries.select("video_id").distinct(), _events(entries), risk
 
 
 def read_predictions(spark: SparkSession, path: str):
-    return prediction_tables(_documents(spark, path))
+    return prediction_tables(read_documents(spark, path))
 
 
 def truth_tables(docs: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame]:
     """(videos, events) of truth documents."""
-    entries = docs.select(F.explode(F.from_json(col, TRUTH)).alias("video_id", "entry"))
-    return entries.select("video_id", "entry.duration", "entry.fps"), _events(entries)
+    entries = docs.select(F.explode(F.from_json(col, TRUTH)).alias("video_id", "entry")).select(
+        "video_id", "entry.duration", "entry.fps", F.coalesce("entry.part", F.lit(0)).alias("part"), "entry.events")
+    return entries.groupBy("video_id").agg(F.max("duration").alias("duration"), F.max("fps").alias("fps")), _events(entries)
 
 
 def read_ground_truth(spark: SparkSession, path: str):
-    return truth_tables(_documents(spark, path))
+    return truth_tables(read_documents(spark, path))
 
 
 def import_labels(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    return label_tables(_documents(spark, path))
+    return label_tables(read_documents(spark, path))
 
 
 def label_tables(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -77,75 +95,75 @@ def upsert_labels(old: DataFrame, new: DataFrame) -> DataFrame:
     return merge_segments(old.select(*cols).unionByName(new.select(*cols)), ["video_id", "label"], 0.0)
 
 
+def _numbered(rows: DataFrame, order: list[str], t: str) -> DataFrame:
+    """Rows with ``n``, their place in the video's list: by ``order``, counted in hours first so that a long feed is many tasks."""
+    hour = F.floor(F.col(t) / 3600.0)
+    if order[0] == "pos":  # given positions are kept in their order
+        hour = F.floor(F.col("pos") / F.lit(1_000_000))
+    counted = prefix_in_slices(rows, ["video_id"], F.lit(1).cast("long"), "sum", order, "n", hour)
+    return counted.withColumn("n", F.col("n") - 1).withColumn("part", F.floor(F.col("n") / CHUNK))
+
+
+def _text(c: str | Column) -> Column:
+    """A string as JSON."""
+    listed = F.to_json(F.array(c))
+    return F.substring(listed, F.lit(2), F.char_length(listed) - 2)
+
+
+def _listed(rows: DataFrame, item: Column, name: str) -> DataFrame:
+    return rows.groupBy("video_id", "part").agg(F.array_join(F.transform(
+        F.sort_array(F.collect_list(F.struct("n", item.alias("item")))), lambda x: x["item"]), ",").alias(name))
+
+
 def _event_items(events: DataFrame) -> DataFrame:
-    e = events.withColumn("part", F.floor(F.col("start_sec") / HOUR))
-    item = F.to_json(F.array(F.col("start_sec"), F.col("end_sec")))
-    tail = F.substring(F.to_json(F.array("label")), 2, 1_000_000)
-    e = e.withColumn("x", item).withColumn("item", F.concat(F.expr("substring(x, 1, length(x) - 1)"), F.lit(","), tail))
-    return e.groupBy("video_id", "part").agg(F.sort_array(F.collect_list(F.struct("start_sec", "end_sec", "label", "item"))).alias("ev"))
+    order = ["pos"] if "pos" in events.columns else ["start_sec", "end_sec", "label"]
+    numbers = F.to_json(F.array("start_sec", "end_sec"))
+    item = F.concat(F.substring(numbers, F.lit(1), F.char_length(numbers) - 1), F.lit(","), _text("label"), F.lit("]"))
+    return _listed(_numbered(events, order, "start_sec"), item, "ev")
+
+
+def _brackets(c: str) -> Column:
+    return F.concat(F.lit("["), F.coalesce(F.col(c), F.lit("")), F.lit("]"))
 
 
 def prediction_documents(videos: DataFrame, events: DataFrame, risk: DataFrame, team: str) -> DataFrame:
     """One JSON document per video and part: {"team", "part", "videos": {name: {"events", "risk"}}}.
 
-    A part is an hour of footage, so a long feed never becomes one giant row;
-    shorter videos have a single document. Videos without rows get empty lists.
+    Events are listed by ``pos`` where they have it, else by time. Videos without rows get empty lists.
     """
     ev = _event_items(events)
-    rk = (risk.withColumn("part", F.floor(F.col("t") / HOUR)).groupBy("video_id", "part")
-          .agg(F.transform(F.sort_array(F.collect_list(F.struct("pos", "t", "score"))), lambda r: F.array(r["t"], r["score"])).alias("rk")))
+    rk = _listed(_numbered(risk, ["pos", "t"], "t"), F.to_json(F.array("t", "score")), "rk")
     first = videos.select("video_id", F.lit(0).cast("long").alias("part"))
     keys = first.unionByName(ev.select("video_id", "part")).unionByName(rk.select("video_id", "part")).distinct()
     d = keys.join(ev, ["video_id", "part"], "left").join(rk, ["video_id", "part"], "left")
-    events_text = F.concat(F.lit("["), F.coalesce(F.concat_ws(",", F.transform("ev", lambda x: x["item"])), F.lit("")), F.lit("]"))
-    risk_text = F.coalesce(F.to_json("rk"), F.lit("[]"))
-    quote = lambda c: F.expr(f"substring(to_json(array({c})), 2, length(to_json(array({c}))) - 2)")
-    doc = F.concat(F.lit('{"team":'), quote(f"'{team}'"), F.lit(',"part":'), F.col("part").cast("string"), F.lit(',"videos":{'),
-                   quote("video_id"), F.lit(':{"events":'), events_text, F.lit(',"risk":'), risk_text, F.lit("}}}"))
+    doc = F.concat(F.lit('{"team":'), _text(F.lit(team)), F.lit(',"part":'), F.col("part").cast("string"), F.lit(',"videos":{'),
+                   _text("video_id"), F.lit(':{"events":'), _brackets("ev"), F.lit(',"risk":'), _brackets("rk"), F.lit("}}}"))
     return d.select("video_id", "part", doc.alias("value"))
 
 
 def write_predictions(videos, events, risk, path: str, team: str = "unnamed") -> None:
+    """Documents of all videos, one a line, for ``read_predictions``."""
     prediction_documents(videos, events, risk, team).select("value").write.mode("overwrite").text(path)
 
 
-def read_prediction_parts(spark: SparkSession, path: str):
-    """Tables of a folder written by ``write_predictions`` (one document per line)."""
-    return part_tables(spark.read.text(path))
-
-
-def part_tables(docs: DataFrame):
-    """(videos, events, risk); positions continue from part to part."""
-    base = F.coalesce(F.get_json_object("value", "$.part").cast("long"), F.lit(0)) * PER_PART
-    entries = (docs.select(F.from_json("value", PREDICTIONS).alias("d"), base.alias("base"))
-               .select("base", F.explode("d.videos").alias("video_id", "entry")))
-    ev = (entries.select("video_id", "base", F.posexplode("entry.events").alias("p", "e"))
-          .select("video_id", (F.col("base") + F.col("p")).alias("pos"), F.col("e")[0].cast("double").alias("start_sec"),
-                  F.col("e")[1].cast("double").alias("end_sec"), F.col("e")[2].alias("label")))
-    rk = (entries.select("video_id", "base", F.posexplode("entry.risk").alias("p", "r"))
-          .select("video_id", (F.col("base") + F.col("p")).alias("pos"), F.col("r")[0].alias("t"), F.col("r")[1].alias("score")))
-    return entries.select("video_id").distinct(), ev, rk
-
-
 def write_events(events: DataFrame, path: str) -> None:
     """Event rows as JSON lines, one folder per video."""
     events.repartition("video_id").write.mode("overwrite").partitionBy("video_id").json(path)
 
 
 def truth_documents(videos: DataFrame, events: DataFrame) -> DataFrame:
-    """One truth document per video and part: {name: {"duration", "fps", "events"}}."""
+    """One truth document per video and part: {name: {"duration", "fps", "part", "events"}}."""
     ev = _event_items(events)
     first = videos.select("video_id", F.lit(0).cast("long").alias("part"))
     keys = first.unionByName(ev.select("video_id", "part")).distinct()
     d = keys.join(ev, ["video_id", "part"], "left").join(videos.select("video_id", "duration", "fps"), "video_id")
-    events_text = F.concat(F.lit("["), F.coalesce(F.concat_ws(",", F.transform("ev", lambda x: x["item"])), F.lit("")), F.lit("]"))
-    name = F.expr("substring(to_json(array(video_id)), 2, length(to_json(array(video_id))) - 2)")
-    doc = F.concat(F.lit("{"), name, F.lit(':{"duration":'), F.col("duration").cast("string"), F.lit(',"fps":'), F.col("fps").cast("string"),
-                   F.lit(',"events":'), events_text, F.lit("}}"))
+    doc = F.concat(F.lit("{"), _text("video_id"), F.lit(':{"duration":'), F.col("duration").cast("string"), F.lit(',"fps":'), F.col("fps").cast("string"),
+                   F.lit(',"part":'), F.col("part").cast("string"), F.lit(',"events":'), _brackets("ev"), F.lit("}}"))
     return d.select("video_id", "part", doc.alias("value"))
 
 
 def export_labels(videos: DataFrame, events: DataFrame, path: str) -> None:
+    """Truth documents, one a line, for ``read_ground_truth`` and ``import_labels``."""
     truth_documents(videos, events).select("value").write.mode("overwrite").text(path)
 
 

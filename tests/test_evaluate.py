@@ -67,13 +67,31 @@ def test_files_round_trip(spark, tmp_path):
     assert [(r.pos, r.start_sec, r.label) for r in ev.orderBy("pos").collect()] == [(0, 1.0, "red_light"), (1, 3.0, "accident")]
     out = str(tmp_path / "out")
     R.write_predictions(v, ev, rk, out, "t")
-    v2, ev2, rk2 = R.read_prediction_parts(spark, out)
+    v2, ev2, rk2 = R.read_predictions(spark, out)
     assert v2.count() == 2 and rk2.count() == 2
     assert sorted((r.start_sec, r.end_sec, r.label) for r in ev2.collect()) == [(1.0, 2.5, "red_light"), (3.0, 4.0, "accident")]
     lv, _ = R.import_labels(spark, str(tmp_path / "p.json"))
     assert {(r.duration, r.fps) for r in lv.collect()} == {(0.0, 25.0)}
 
 
+def test_long_lists_come_back_whole_and_in_order(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "CHUNK", 7)
+    videos = spark.createDataFrame([(f"v{k}.mp4", 9000.0, 25.0) for k in range(3)], "video_id string, duration double, fps double")
+    rows = [(f"v{k % 2}.mp4", k // 2, float(k * 997 % 8000), float(k * 997 % 8000) + 1.5, 'say "x", ü') for k in range(90)]
+    ev = spark.createDataFrame(rows, "video_id string, pos long, start_sec double, end_sec double, label string")
+    rk = spark.createDataFrame([(f"v{k % 2}.mp4", k // 2, k * 90.0, k / 100) for k in range(80)], "video_id string, pos long, t double, score double")
+    R.export_labels(videos, ev, str(tmp_path / "truth"))
+    R.write_predictions(videos, ev, rk, str(tmp_path / "pred"))
+    key = lambda df: sorted(tuple(r) for r in df.select("video_id", "pos", "start_sec", "end_sec", "label").collect())
+    for read in (R.read_ground_truth, R.import_labels):
+        v, back = read(spark, str(tmp_path / "truth"))
+        assert key(back) == sorted(rows) and sorted(tuple(r) for r in v.collect()) == sorted(tuple(r) for r in videos.collect())
+    v, back, risk = R.read_predictions(spark, str(tmp_path / "pred"))
+    assert key(back) == sorted(rows) and v.count() == 3 and sorted(tuple(r) for r in risk.collect()) == sorted(tuple(r) for r in rk.collect())
+    _, untimed, _ = R.prediction_tables(R.prediction_documents(videos, ev.drop("pos"), rk, "t"))
+    assert [r.start_sec for r in untimed.where("video_id = 'v1.mp4'").orderBy("pos").collect()] == sorted(x[2] for x in rows if x[0] == "v1.mp4")
+
+
 def test_format_check_names_each_problem(spark, tmp_path):
     doc = {"videos": {"a.mp4": {"events": [[1, 3, "accident"], [2, 4, "accident"], [1, "2", "accident"], [True, 2, "accident"], [5, 4, "accident"],
                                           [1, 2, "nope"], [1, 2], [90, 99, "red_light"]], "risk": [[0, 0.1], [1, 1.5], [0.5, 0.1]]},
