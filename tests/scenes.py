@@ -1,4 +1,4 @@
-"""Hand-made trajectories on the junction layout."""
+"""Hand-made trajectories on an invented crossing: two lanes to the west of a wide square, a side road below."""
 import os
 
 import numpy as np
@@ -7,9 +7,9 @@ import pandas as pd
 from lanewise.plans.analysis import prepare
 from lanewise.sources.layout import load_scene, read_layout
 
-FPS, W, H = 12.5, 1662, 924
+FPS, W, H = 12.5, 1600, 900
 SIZES = {"car": (110, 75), "bus": (200, 110), "person": (22, 55), "motorcycle": (30, 45), "animal": (40, 30)}
-LAYOUT = os.path.join(os.path.dirname(__file__), "data", "junction.json")
+LAYOUT = os.path.join(os.path.dirname(__file__), "data", "crossing.json")
 
 
 def line(t0, t1, p, q, ease=None):
@@ -38,7 +38,7 @@ def track(video, tid, category, path):
 
 def analysis(spark, tracks, durations, states=None, slice_us=None, **extra):
     """``durations``: video -> seconds."""
-    rows = [(v, 12.5, int(round(d * FPS)), W, H, float(d), "junction") for v, d in durations.items()]
+    rows = [(v, 12.5, int(round(d * FPS)), W, H, float(d), "crossing") for v, d in durations.items()]
     videos = spark.createDataFrame(rows, "video_id string, fps double, n_frames int, width int, height int, duration double, scene_id string")
     obs = pd.concat(tracks)
     obs["t_us"] = obs["frame_idx"].astype("int64") * 80_000
