@@ -357,12 +357,12 @@ def live_counts(spark, sf):
     return out.select("video_id", (F.unix_seconds("second") - 1_704_067_200).alias("sec"), "category", "n")
 
 
-# sessions of high scores, as the stream sees them: rows under the threshold do not cut one
-@query("live_alarms", """SELECT video_id, MIN(t_us) AS start_us, MAX(score) AS peak FROM (SELECT *, SUM(fresh) OVER (PARTITION BY video_id ORDER BY t_us, pos ROWS UNBOUNDED PRECEDING) AS g FROM (
-SELECT *, CASE WHEN t_us - LAG(t_us) OVER (PARTITION BY video_id ORDER BY t_us, pos) < 2000000 THEN 0 ELSE 1 END AS fresh FROM (SELECT video_id, pos, CAST(ROUND(t * 1e6) AS BIGINT) AS t_us, score FROM s_risk WHERE score >= 5e-1))) GROUP BY video_id, g""", "s_risk")
+# the stream finds the alarms of the batch operator
+@query("live_alarms", f"SELECT video_id, {r('t', 6)} AS t FROM alarms", "alarms")
 def live_alarms(spark, sf):
-    d = _timed(S.risk(spark, sf).withColumn("t_us", F.round(F.col("t") * 1e6).cast("long"))).select("video_id", "t_us", "score", "event_time")
-    return runner.drain(jobs.live_alarms(runner.open_stream(spark, runner.stage(d), d)))
+    d = _timed(S.risk(spark, sf).withColumn("t_us", F.round(F.col("t") * 1e6).cast("long"))).select("video_id", "pos", "t_us", "score", "event_time")
+    out = runner.drain(jobs.live_alarms(runner.open_stream(spark, runner.stage(d), d)))
+    return out.select("video_id", F.round(F.col("start_us") / 1e6, 6).alias("t"))
 
 
 @query("risk_stream")

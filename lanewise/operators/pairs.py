@@ -39,7 +39,16 @@ def pair_series(pairs: DataFrame, users: DataFrame, slice_us: int = SLICE_US, mi
     base = users.select("video_id", "track_id", "frame_idx", "t_us", *cols)
     a = base.select("video_id", F.col("track_id").alias("a_id"), "frame_idx", "t_us", *[F.col(c).alias("a_" + c) for c in cols])
     b = base.select("video_id", F.col("track_id").alias("b_id"), "frame_idx", *[F.col(c).alias("b_" + c) for c in cols])
-    rows = pairs.join(a, ["video_id", "a_id"]).join(b, ["video_id", "b_id", "frame_idx"])
+    # only the time both are there: a parked car isn't copied for users that have left
+    block = ts.us(10.0)
+    life = users.groupBy("video_id", "track_id").agg(F.min("t_us").alias("lo"), F.max("t_us").alias("hi"))
+    for side in ("a", "b"):
+        pairs = pairs.join(life.select("video_id", F.col("track_id").alias(f"{side}_id"), F.col("lo").alias(f"{side}_lo"), F.col("hi").alias(f"{side}_hi")),
+                           ["video_id", f"{side}_id"])
+    both = pairs.filter(F.greatest("a_lo", "b_lo") <= F.least("a_hi", "b_hi")).select(
+        *PAIR, F.explode(F.sequence(F.floor(F.greatest("a_lo", "b_lo") / block), F.floor(F.least("a_hi", "b_hi") / block))).alias("_block"))
+    a = a.withColumn("_block", F.floor(F.col("t_us") / block))
+    rows = both.join(a, ["video_id", "a_id", "_block"]).drop("_block").join(b, ["video_id", "b_id", "frame_idx"])
     raw = ground_distance() / (0.5 * (F.col("a_size") + F.col("b_size")))
     rows = rows.withColumn("raw", raw).withColumn("iou", G.box_iou("a_", "b_")).withColumn(
         "ok", ~F.col("a_at_edge") & ~F.col("b_at_edge"))

@@ -4,7 +4,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..constants import MIN_LIT_PX, SIGNAL_STATES
 from ..functions.motion import hsv
 from .intervals import US, points_in
-from .slices import SLICE_US, own_rows, slice_rows
+from .slices import SLICE_US, own_rows, running_sums, slice_rows
 
 HEAD = ["video_id", "head"]
 
@@ -49,53 +49,47 @@ def series_steps(series: DataFrame, keys: list[str]) -> DataFrame:
                                    F.percentile("dt", F.lit(0.5), F.col("n")).alias("step_us"))
 
 
-def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, slice_us: int = SLICE_US,
-                    max_half: int = 64) -> DataFrame:
+def signal_timeline(states: DataFrame, window: float = 1.0, hold: float = 2.0, slice_us: int = SLICE_US) -> DataFrame:
     """Carry the last reading over dropouts of up to ``hold`` seconds, then a mode filter of about ``window``.
 
     Input: video_id, head, frame_idx, t_us, state. The filter is centred and
     odd, repeats the border rows, and ties go to the lowest code; series of
-    one or two rows are not filtered. Frames reach ``max_half`` rows to each
-    side (128 readings per second); faster series fail instead of losing votes.
+    one or two rows are not filtered. A vote over rows i - h to i + h is the
+    difference of two running counts, so it may be as wide as the readings are
+    fast, and needs no copies of rows.
     """
     raw = states.withColumn("code", code_of())
-    reach = int((hold + 30 * window) * US)
-    rows = slice_rows(raw, reach, slice_us)
+    rows = slice_rows(raw, int(hold * US), slice_us)
     w = Window.partitionBy(*HEAD, "slice").orderBy("t_us")
     known = F.when(F.col("code") > 0, F.struct("t_us", "code"))
     seen = F.last(known, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
     held = (rows.withColumn("_s", seen).withColumn("code", F.when(
         F.col("t_us") - F.col("_s.t_us") <= int(hold * US), F.col("_s.code")).otherwise(F.lit(0))).drop("_s"))
-    carried = own_rows(held)
+    carried = own_rows(held).select(*HEAD, "frame_idx", "t_us", "code")
     stats = series_steps(carried, HEAD)
-    k = F.greatest(F.lit(1), F.bround(F.lit(window) / F.greatest(F.col("step_us") / US, F.lit(1e-3)), 0).cast("int"))
-    half = F.when(F.col("n_rows") > 2, F.floor(k.bitwiseOR(F.lit(1)) / 2)).otherwise(F.lit(0)).cast("int")
-    half = F.when(half > max_half, F.raise_error(F.lit("mode filter wider than max_half")).cast("int")).otherwise(half)
-    dims = (stats.select(*HEAD, half.alias("half"), F.col("lo.t_us").alias("lo_us"), F.col("hi.t_us").alias("hi_us"),
-                         F.col("lo.code").alias("lo_code"), F.col("hi.code").alias("hi_code"))
-            .withColumn("slice", F.explode(F.sequence(F.floor(F.greatest(F.lit(0), F.col("lo_us") - reach) / slice_us),
-                                                      F.floor((F.col("hi_us") + reach) / slice_us)))))
-    # held codes travel with the halo, so the vote needs no second pass over neighbours
-    votes = slice_rows(carried, reach, slice_us).join(dims, [*HEAD, "slice"])
-    rn = F.row_number().over(w)
-    size = F.count("*").over(Window.partitionBy(*HEAD, "slice"))
-    votes = votes.withColumn("_rn", rn).withColumn("_n", size)
-    near = F.collect_list(F.struct("_rn", "code")).over(w.rowsBetween(-max_half, max_half))
-    near = F.filter(near, lambda r: F.abs(r["_rn"] - F.col("_rn")) <= F.col("half"))
-    votes = votes.withColumn("_near", F.transform(near, lambda r: r["code"]))
-    # rows missing before the series start or after its end repeat the border code
-    miss_lo = F.greatest(F.lit(0), F.col("half") - F.col("_rn") + 1)
-    miss_hi = F.greatest(F.lit(0), F.col("half") - (F.col("_n") - F.col("_rn")))
-    lo = F.when(F.col("lo_us") >= F.col("slice") * slice_us - reach, miss_lo).otherwise(F.lit(0))
-    hi = F.when(F.col("hi_us") < (F.col("slice") + 1) * slice_us + reach, miss_hi).otherwise(F.lit(0))
-
-    def count(code):
-        return (F.size(F.filter("_near", lambda c: c == code)) + F.when(F.col("lo_code") == code, lo).otherwise(F.lit(0))
-                + F.when(F.col("hi_code") == code, hi).otherwise(F.lit(0)))
-    tally = F.array(*[F.struct(count(c).alias("n"), F.lit(-c).alias("c")) for c in range(4)])
-    out = votes.withColumn("code", F.when(F.col("half") == 0, F.col("code"))
-                           .otherwise(-F.array_max(tally)["c"]).cast("int"))
-    return own_rows(out).select(*HEAD, "frame_idx", "t_us", "code")
+    k = F.greatest(F.lit(1), F.bround(F.lit(window) / F.greatest(F.col("step_us") / US, F.lit(1e-3)), 0).cast("long"))
+    half = F.when(F.col("n_rows") > 2, F.floor(k.bitwiseOR(F.lit(1).cast("long")) / 2)).otherwise(F.lit(0)).cast("long")
+    dims = stats.select(*HEAD, half.alias("half"), "n_rows", F.col("lo.code").alias("lo_code"), F.col("hi.code").alias("hi_code"))
+    codes = range(len(SIGNAL_STATES))
+    sums = {"rn": F.lit(1).cast("long")} | {f"n{c}": F.when(F.col("code") == c, 1).otherwise(0).cast("long") for c in codes}
+    counted = running_sums(carried, HEAD, sums, ["t_us"], F.floor(F.col("t_us") / slice_us)).join(dims, HEAD)
+    at = lambda name, shift: counted.select(
+        *HEAD, (F.col("rn") + shift).alias("rn"), *[F.col(f"n{c}").alias(f"{name}{c}") for c in codes])
+    # the counts up to the last row of the vote, and those before its first; outside the series the border row repeats
+    wide = counted.filter("half > 0")
+    ends = wide.join(at("hi", -F.col("half")), [*HEAD, "rn"], "left").join(at("lo", F.col("half") + 1), [*HEAD, "rn"], "left")
+    last = counted.filter("rn = n_rows").select(*HEAD, *[F.col(f"n{c}").alias(f"all{c}") for c in codes])
+    ends = ends.join(last, HEAD)
+    miss_lo = F.greatest(F.lit(0), F.col("half") - F.col("rn") + 1)
+    miss_hi = F.greatest(F.lit(0), F.col("half") - (F.col("n_rows") - F.col("rn")))
+
+    def count(c):
+        inside = F.coalesce(F.col(f"hi{c}"), F.col(f"all{c}")) - F.coalesce(F.col(f"lo{c}"), F.lit(0))
+        return inside + F.when(F.col("lo_code") == c, miss_lo).otherwise(F.lit(0)) + F.when(F.col("hi_code") == c, miss_hi).otherwise(F.lit(0))
+    tally = F.array(*[F.struct(count(c).alias("n"), F.lit(-c).alias("c")) for c in codes])
+    cols = [*HEAD, "frame_idx", "t_us"]
+    voted = ends.select(*cols, (-F.array_max(tally)["c"]).cast("int").alias("code"))
+    return voted.unionByName(counted.filter("half = 0").select(*cols, "code"))
 
 
 def signal_readable(timeline: DataFrame) -> DataFrame:
@@ -107,25 +101,27 @@ def signal_readable(timeline: DataFrame) -> DataFrame:
 def signal_at(queries: DataFrame, timeline: DataFrame, block_us: int = 60 * US) -> DataFrame:
     """State at each query time: the first sample at or after it, clipped to the last one.
 
-    Every sample answers the span (previous sample, itself], so the as-of join
-    is a span join; only the last sample's span has no end of its own.
+    Every sample but the first answers the span (previous sample, itself], so the as-of
+    join is a span join; the first and the last one also answer all times outside.
     """
     spans = sample_spans(timeline)
-    last = (timeline.groupBy(*HEAD).agg(F.max("t_us").alias("_end"), F.max_by("code", "t_us").alias("_end_code")))
-    q = queries.join(last, HEAD, "left")
-    late = q.filter(F.col("_end").isNull() | (F.col("t_us") > F.col("_end"))).select(
-        *queries.columns, F.coalesce("_end_code", F.lit(0)).alias("code"))
-    hit = points_in(q.filter(F.col("t_us") <= F.col("_end")).select(*queries.columns),
-                    spans.select(*HEAD, "after_us", "upto_us", "code"), HEAD, "t_us", "after_us", "upto_us", block_us)
-    return hit.select(*queries.columns, "code").unionByName(late)
+    ends = timeline.groupBy(*HEAD).agg(F.min("t_us").alias("_begin"), F.min_by("code", "t_us").alias("_begin_code"),
+                                       F.max("t_us").alias("_end"), F.max_by("code", "t_us").alias("_end_code"))
+    q = queries.join(ends, HEAD, "left")
+    early, late = F.col("t_us") <= F.col("_begin"), F.col("_end").isNull() | (F.col("t_us") > F.col("_end"))
+    outside = q.filter(early | late).select(
+        *queries.columns, F.coalesce(F.when(early, F.col("_begin_code")).otherwise(F.col("_end_code")), F.lit(0)).alias("code"))
+    hit = points_in(q.filter((F.col("t_us") > F.col("_begin")) & (F.col("t_us") <= F.col("_end"))).select(*queries.columns),
+                    spans.filter("prev_us is not null").select(*HEAD, "after_us", "upto_us", "code"), HEAD, "t_us", "after_us", "upto_us", block_us)
+    return hit.select(*queries.columns, "code").unionByName(outside)
 
 
 def sample_spans(timeline: DataFrame) -> DataFrame:
-    """Span of query times each sample answers, in whole microseconds (the first reaches back a day)."""
+    """Span of query times between the sample before and each sample, in whole microseconds; the first has none before."""
     from .slices import lag_in_slices
     prev = lag_in_slices(timeline, HEAD, {"prev_us": "t_us"}, ["t_us"])
     return prev.withColumn("upto_us", F.col("t_us")).withColumn(
-        "after_us", F.coalesce(F.col("prev_us") + 1, F.least(F.lit(0), F.col("t_us"))))
+        "after_us", F.coalesce(F.col("prev_us") + 1, F.col("t_us")))
 
 
 def signal_held(queries: DataFrame, timeline: DataFrame, code: int, seconds: float, block_us: int = 60 * US) -> DataFrame:

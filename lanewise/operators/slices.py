@@ -56,3 +56,14 @@ def prefix_in_slices(df: DataFrame, keys: list[str], value: Column, how: str, or
     out = (F.coalesce(F.col("_run"), F.lit(0)) + F.coalesce(F.col("_base"), F.lit(0)) if how == "sum"
            else F.greatest("_run", "_base"))
     return run.select(*df.columns, out.alias(name))
+
+
+def running_sums(df: DataFrame, keys: list[str], values: dict[str, Column], order: list[str], slice_expr: Column) -> DataFrame:
+    """Inclusive running sums of several values at once, in two levels like ``prefix_in_slices``."""
+    sliced = df.withColumns({f"_v_{n}": c for n, c in values.items()}).withColumn("slice", slice_expr)
+    w = Window.partitionBy(*keys, "slice").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(*keys).orderBy("slice").rowsBetween(Window.unboundedPreceding, -1)
+    totals = sliced.groupBy(*keys, "slice").agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in values])
+    base = totals.select(*keys, "slice", *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_b_{n}") for n in values])
+    run = sliced.withColumns({f"_v_{n}": F.sum(f"_v_{n}").over(w) for n in values}).join(base, [*keys, "slice"])
+    return run.select(*df.columns, *[(F.col(f"_v_{n}") + F.col(f"_b_{n}")).alias(n) for n in values])

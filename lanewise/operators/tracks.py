@@ -112,12 +112,19 @@ def pedestrians(samples: DataFrame) -> DataFrame:
     return samples.filter(F.col("category") == "person").join(riders, KEY, "left_anti")
 
 
+FRAME_PIECE = 50_000
+
+
 def frame_grid(videos: DataFrame, rate: float, override: int = 0) -> DataFrame:
     """One row per processed frame, with or without detections."""
     from ..functions.motion import stride_for
-    return (videos.withColumn("stride", stride_for(F.col("fps"), rate, override))
-            .filter("n_frames > 0")
-            .withColumn("frame_idx", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1, F.col("stride"))))
+    # pieces first, dealt out anew, then their frames: a year of one camera is neither one array nor one task
+    piece = F.lit(FRAME_PIECE) * F.col("stride")
+    pieces = (videos.withColumn("stride", stride_for(F.col("fps"), rate, override)).filter("n_frames > 0")
+              .withColumn("_first", F.explode(F.sequence(F.lit(0), F.col("n_frames") - 1, piece)))
+              .repartition("video_id", "_first"))
+    return (pieces.withColumn("frame_idx", F.explode(F.sequence(
+                F.col("_first"), F.least(F.col("_first") + piece, F.col("n_frames")) - 1, F.col("stride"))))
             .select("video_id", "frame_idx", "stride", "fps",
                     (F.col("frame_idx") / F.col("fps")).alias("t"),
                     F.bround(F.col("frame_idx") / F.col("fps") * 1e6, 0).cast("long").alias("t_us")))

@@ -1,5 +1,6 @@
 """Session defaults and lineage cutting."""
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -20,18 +21,21 @@ def configure(builder):
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """Folder all executors can reach: the configured checkpoint folder, else (tests) a temporary one."""
+    """Folder all executors can reach: ``spark.checkpoint.dir``. Only a local session, where one machine does all, may use a temporary one."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None)
-                            or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-"))
     return sc.getCheckpointDir()
 
 
 def materialise(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder once; later plans start from the files."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """``df`` written once as Parquet to the shared folder; later plans read only the columns they need from the files."""
+    path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def sized(df: DataFrame, max_rows: int = 5_000) -> DataFrame:
