@@ -1,12 +1,13 @@
 """Track table, kinematics and track filters."""
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from ..constants import CATEGORIES, MIN_SIZE_FRAC, MIN_TRACK_SAMPLES
 from ..functions import geometry as G
 from ..functions.motion import is_two_wheeler, is_vehicle
 from . import timeseries as ts
+from .kernels import motion
 from .medians import exact_median
-from .slices import SLICE_US, own_rows, slice_rows
+from .slices import SLICE_US, slice_rows
 
 KEY = ["video_id", "track_id"]
 # the stitcher never bridges more, so no track has a longer hole between samples
@@ -40,23 +41,11 @@ def kinematics(obs: DataFrame, tracks: DataFrame, videos: DataFrame, slice_us: i
                                                       F.floor((F.col("last_us") + reach) / slice_us)))))
     by = [*KEY, "slice"]
     rows = slice_rows(obs.drop("category"), reach, slice_us).join(dims.hint("shuffle_hash"), by)
-    w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
-    rows = (rows.withColumn("gx", (F.col("x1") + F.col("x2")).cast("double") / 2)
-            .withColumn("gy", F.col("y2").cast("double"))
-            .withColumn("raw_size", F.sqrt(F.greatest(F.lit(1.0), (w * h).cast("double"))))
-            .withColumn("dt_us", F.col("t_us") - F.lag("t_us").over(ts.win(by)))
-            .withColumn("p", ts.gaussian_smooth(["gx", "gy"], pos_sigma, by, F.col("n_obs")))
-            .withColumn("s", ts.gaussian_smooth(["raw_size"], 1.0, by, F.col("n_obs")))
-            .withColumn("px", F.col("p.gx")).withColumn("py", F.col("p.gy")).withColumn("size", F.col("s.raw_size"))
-            .drop("p", "s", "gx", "gy", "raw_size"))
-    rows = (rows.withColumn("vx", ts.derivative("px", vel_window, by))
-            .withColumn("vy", ts.derivative("py", vel_window, by))
-            .withColumn("speed", F.sqrt(F.col("vx") * F.col("vx") + F.col("vy") * F.col("vy")) / F.col("size")))
-    rows = rows.withColumn("_ss", ts.gaussian_smooth(["speed"], 0.2, by, F.col("n_obs"))["speed"])
-    rows = rows.withColumn("accel", ts.derivative("_ss", 0.3, by)).drop("_ss")
-    rows = (rows.withColumn("heading", F.when(F.col("speed") >= 0.15, F.atan2("vy", "vx")))
-            .withColumn("at_edge", G.edge_flag(F.col("width"), F.col("height"))))
-    return own_rows(rows)
+    kept = [f for f in rows.schema.fields if f.name not in ("own", "slice")]
+    made = [T.StructField("dt_us", T.LongType()), *[T.StructField(c, T.DoubleType()) for c in (
+        "px", "py", "size", "vx", "vy", "speed", "accel", "heading")]]
+    moved = rows.groupBy(*by).applyInArrow(lambda t: motion(t, pos_sigma, vel_window), T.StructType([*kept, *made]))
+    return moved.withColumn("at_edge", G.edge_flag(F.col("width"), F.col("height")))
 
 
 def track_stats(samples: DataFrame) -> DataFrame:
