@@ -11,6 +11,7 @@ from lanewise.functions.motion import closest_approach
 from lanewise.operators import pairs as P
 from lanewise.operators.tracks import KEY
 from lanewise.plans import conflicts as C, junction as J, pedestrians as PD, vehicles as V
+from lanewise.plans.analysis import Analysis
 from lanewise.plans.detect import detect
 
 TK = ["video_id", "track_id"]
@@ -38,9 +39,37 @@ def extend_to_track_end(spark, sf):
     return segs.withColumn("end_us", ext(1.0)).select("video_id", "track_id", "start_us", "end_us")
 
 
-@query("illegal_u_turn")
+# vehicles on circles: the heading is known in closed form, some pause for two or four seconds, some crawl
+TURN = """
+SELECT CONCAT('v', CAST(s_suppkey % 4 AS VARCHAR(9))) AS video_id, CAST(s_suppkey AS BIGINT) AS track_id, CAST(f AS INT) AS frame_idx, CAST(f * 80000 AS BIGINT) AS t_us,
+  'car' AS category, 8e2 + r * COS(a) AS px, 45e1 + r * SIN(a) AS py, a AS theta, ATAN2(COS(a), -SIN(a)) AS heading, 3e-1 + s_suppkey % 4 * 4e-1 AS speed,
+  5e1 AS size, 1e2 AS med_size, 1662 AS width, 924 AS height, 775e0 + r * COS(a) AS x1, 4e2 + r * SIN(a) AS y1, 825e0 + r * COS(a) AS x2, 45e1 + r * SIN(a) AS y2
+FROM (SELECT s_suppkey, f, 6e1 + s_suppkey % 5 * 3e1 AS r, (s_suppkey % 7) * 73e-1 * PI() / 18e1 * f * 8e-2 AS a FROM {frames}) b
+WHERE NOT (f > 100 AND f < 100 + s_suppkey % 3 * 25)
+"""
+define("s_turn", TURN.format(frames="(SELECT CAST(s_suppkey AS BIGINT) AS s_suppkey, f FROM supplier, range(0, 300) r(f)) z"))
+define("ut1", """SELECT *, COUNT(*) OVER (PARTITION BY track_id) AS n, t_us - LAG(t_us) OVER w AS gap, theta - LAG(theta) OVER w AS dth,
+SQRT(POWER(px - LAG(px) OVER w, 2) + POWER(py - LAG(py) OVER w, 2)) AS hop FROM s_turn WHERE speed >= 5e-1 WINDOW w AS (PARTITION BY track_id ORDER BY t_us)""", "s_turn")
+define("ut2", """SELECT j.video_id, j.track_id, j.t_us AS e, ARG_MIN(a.t_us, (-ABS(a.theta - j.theta), a.t_us)) AS s, MAX(ABS(a.theta - j.theta)) AS swing FROM ut1 j JOIN ut1 a USING (track_id)
+WHERE a.t_us BETWEEN j.t_us - 20000000 AND j.t_us AND j.n >= 10 GROUP BY 1, 2, 3""", "ut1")
+define("ut3", """SELECT c.video_id, c.track_id, c.s, c.e, MAX(CASE WHEN k.t_us > c.s THEN k.gap END) AS gap, SUM(CASE WHEN k.t_us > c.s THEN k.hop ELSE 0 END) AS path,
+MAX(SQRT(POWER(k.px - a.px, 2) + POWER(k.py - a.py, 2))) AS away FROM ut2 c JOIN ut1 a ON a.track_id = c.track_id AND a.t_us = c.s JOIN ut1 k ON k.track_id = c.track_id AND k.t_us BETWEEN c.s AND c.e
+WHERE c.swing >= 15e1 * PI() / 18e1 GROUP BY 1, 2, 3, 4""", "ut1", "ut2")
+define("ut4", "SELECT video_id, track_id, ARG_MIN(s, e) AS s, MIN(e) AS e FROM ut3 WHERE (gap IS NULL OR gap <= 3000000) AND path / 5e1 >= 25e-1 AND away / 5e1 >= 1e0 GROUP BY 1, 2", "ut3")
+define("ut5", """SELECT f.video_id, f.track_id, f.s, f.e, COALESCE(MIN(CASE WHEN k.t_us > f.e AND ABS(k.dth) <= 1e1 * PI() / 18e1 * k.gap / 1e6 THEN k.t_us END), 9000000000) AS stop,
+MIN(CASE WHEN k.t_us <= f.e AND ABS(k.theta - a.theta) > 15e0 * PI() / 18e1 THEN k.t_us END) AS first FROM ut4 f JOIN ut1 a ON a.track_id = f.track_id AND a.t_us = f.s
+JOIN ut1 k ON k.track_id = f.track_id AND k.t_us >= f.s GROUP BY 1, 2, 3, 4""", "ut1", "ut4")
+define("ut6", "SELECT f.video_id, f.track_id, f.first, MAX(k.t_us) AS last FROM ut5 f JOIN ut1 k ON k.track_id = f.track_id AND k.t_us >= f.e AND k.t_us < f.stop GROUP BY 1, 2, 3", "ut1", "ut5")
+
+
+@query("illegal_u_turn", f"""SELECT f.video_id, {r('f.first / 1e6')} AS start_sec,
+{r('GREATEST(MIN(CASE WHEN k.t_us <= f.last AND ABS(k.theta - z.theta) < 2e1 * PI() / 18e1 THEN k.t_us END), COALESCE(MIN(CASE WHEN k.t_us > f.first THEN k.t_us END), 0)) / 1e6')} AS end_sec, 'illegal_u_turn' AS label
+FROM ut6 f JOIN ut1 z ON z.track_id = f.track_id AND z.t_us = f.last JOIN ut1 k ON k.track_id = f.track_id AND k.t_us >= f.first GROUP BY f.video_id, f.track_id, f.first""", "ut1", "ut6")
 def illegal_u_turn(spark, sf):
-    return V.illegal_u_turn(S.analysis(spark, sf))
+    sup = S.tables(spark, sf)("supplier").select(F.col("s_suppkey").cast("long"), F.explode(F.sequence(F.lit(0), F.lit(299))).alias("f"))
+    turns = spark.sql(TURN.format(frames="{sup}"), sup=sup)
+    found = V.illegal_u_turn(Analysis(videos=None, scene=None, samples=turns, frames=None))
+    return found.withColumns({c: F.round(c, 4) for c in ("start_sec", "end_sec")})
 
 
 # ---- stopped vehicle --------------------------------------------------------

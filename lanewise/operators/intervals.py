@@ -78,16 +78,17 @@ def finalize_events(events: DataFrame, videos: DataFrame, merge_gap=MERGE_GAP, m
 def clean_events(events: DataFrame, videos: DataFrame, classes: list[str]) -> DataFrame:
     """Keep valid events, report the rest.
 
-    Adds ``problem`` (NULL for kept rows): ``not_numeric``, ``bad_label``,
-    ``bad_times`` or ``overlap``. Starts and ends may be strings. Among
+    Adds ``problem`` (NULL for kept rows): ``unknown_video``, ``not_numeric``,
+    ``bad_label``, ``bad_times`` or ``overlap``. Starts and ends may be strings. Among
     same-class segments the earlier-starting one is kept; a dropped segment
     does not block later ones.
     """
     s = F.expr("try_cast(start_sec as double)")
     e = F.expr("try_cast(end_sec as double)")
-    rows = (events.join(videos.select("video_id", "duration"), "video_id")
+    rows = (events.join(videos.select("video_id", "duration"), "video_id", "left")
             .withColumn("_s", s).withColumn("_e", F.least(e, F.col("duration"))))
-    problem = (F.when(s.isNull() | e.isNull(), "not_numeric")
+    problem = (F.when(F.col("duration").isNull(), "unknown_video")
+               .when(s.isNull() | e.isNull(), "not_numeric")
                .when(F.col("label").isNull() | ~F.col("label").isin(classes), "bad_label")
                .when(~((F.col("_s") >= 0) & (F.col("_s") < F.col("_e"))), "bad_times"))
     rows = rows.withColumn("problem", problem).select(
