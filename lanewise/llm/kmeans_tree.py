@@ -136,10 +136,12 @@ def search(table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97,
 
     Score is the cosine in double precision, ties go to the smaller id. Null, zero, empty or non-finite vectors take no part,
     as queries or candidates; with fewer than ``k`` candidates all are returned. Equal vectors are searched for
-    once and found once, then stand for all their ids. A repeated id is a candidate to others once. All vectors have
-    one length.
+    once and found once, then stand for all their ids. A repeated id is a candidate to others once. Rows with a null id take no
+    part, nor do vectors that haven't the most common length (of equals the smallest).
     """
     good = usable(table, id_col, vector_col, is_query.alias("q"))
+    lengths = good.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), "n").first()
+    good = good.where(F.size("v") == F.lit(lengths[0] if lengths else 0))
     # of equal vectors the k + 1 smallest ids can be results: a limit inside the window cuts a common vector before the shuffle
     ranked = good.select("id", "v").distinct().withColumn("r", F.row_number().over(Window.partitionBy("v").orderBy("id"))).where(F.col("r") <= k + 1)
     classes = saved(ranked.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("rep", F.element_at("ids", 1)))

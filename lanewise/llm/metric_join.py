@@ -78,7 +78,8 @@ def near_duplicates(table: DataFrame, similarity: float = 0.93, id_col: str = "v
 
     Vectors link when their labels are equal and not null and their cosine in double precision is at least
     ``similarity``. Null, zero, empty or non-finite vectors and those without a label link with nothing: 0 links,
-    a component of their own. Vectors of different length link never. Equal vectors are compared once and counted with
+    a component of their own. Vectors of different length link never. A null id has
+    0 links, a null component and is kept. Equal vectors are compared once and counted with
     their number. Each row of a repeated id has the id's largest number of links and smallest component. An empty table
     gives no row.
     """
@@ -178,4 +179,4 @@ def near_duplicates(table: DataFrame, similarity: float = 0.93, id_col: str = "v
     return (ids.join(members, "id", "left")
             .select(F.col("id").alias(id_col), F.coalesce("n_links", F.lit(0).cast("bigint")).alias("n_links"),
                     F.coalesce("component_id", "id").alias("component_id"))
-            .withColumn("kept", F.col("component_id") == F.col(id_col)))
+            .withColumn("kept", F.coalesce(F.col("component_id") == F.col(id_col), F.lit(True))))

@@ -7,11 +7,11 @@ from pyspark.sql import DataFrame, functions as F
 
 
 def usable(table: DataFrame, id_col: str, vector_col: str, *more: str) -> DataFrame:
-    """(id, v array<double>[, more]) of the rows whose vector isn't null, empty or zero and has only finite components."""
+    """(id, v array<double>[, more]) of the rows with an id whose vector isn't null, empty or zero and has only finite components."""
     v = F.col("v")
     wide = table.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{vector_col}`").cast("array<double>").alias("v"), *more)
     bad = F.exists(v, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    return wide.where(v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0))
+    return wide.where(F.col("id").isNotNull() & v.isNotNull() & (F.size(v) > 0) & ~bad & F.exists(v, lambda x: x != 0))
 
 
 def matrix(column: pa.Array) -> np.ndarray:

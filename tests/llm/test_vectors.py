@@ -95,6 +95,13 @@ def test_search_with_few_candidates(spark):
     assert kmeans_tree.search(table.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_null_ids_and_other_lengths(spark):
+    table = spark.createDataFrame([(None, [1.0, 0.0], 1), (0, [1.0, 0.0], 1), (1, [1.0, 0.0, 0.0], 1), (2, [1.0, 0.1], 1)], SCHEMA)
+    assert [(r.query_id, r.vec_id) for r in kmeans_tree.search(table, F.col("vec_id") % 50 == 0).collect()] == [(0, 2)]
+    rows = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in metric_join.near_duplicates(table).collect()}
+    assert rows == {None: (0, None, True), 0: (1, 0, True), 1: (0, 1, True), 2: (1, 0, False)}
+
+
 def test_best_first_visits_every_leaf_once():
     v = clustered(800)
     v = v / np.linalg.norm(v, axis=1, keepdims=True)
