@@ -53,13 +53,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").where("a <> b")
     both = saved(both.unionByName(both.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
     labels = saved(both.groupBy(F.col("a").alias("id")).agg(F.least("id", F.min("b")).alias("component")))
-    while True:
-        near = (both.join(labels.withColumnRenamed("id", "b"), "b")
+
+    def step(now: DataFrame) -> DataFrame:
+        near = (both.join(now.withColumnRenamed("id", "b"), "b")
                 .groupBy(F.col("a").alias("id")).agg(F.min("component").alias("near")))
-        step = labels.join(near, "id").select(
-            "id", F.col("component").alias("was"), F.least("component", "near").alias("now"))
-        jump = step.select(F.col("id").alias("now"), F.col("now").alias("then"))
-        step = saved(step.join(jump, "now").select("id", "was", F.col("then").alias("component")))
-        labels = step.select("id", "component")
-        if step.where("was <> component").isEmpty():
+        met = now.join(near, "id").select("id", F.least("component", "near").alias("now"))
+        jump = met.select(F.col("id").alias("now"), F.col("now").alias("component"))
+        return met.join(jump, "now").select("id", "component")
+
+    while True:
+        new = saved(step(labels).join(labels.withColumnRenamed("component", "was"), "id"))
+        labels = new.select("id", "component")
+        if new.where("was <> component").isEmpty():
             return labels
