@@ -2,9 +2,9 @@
 from pyspark.sql import functions as F
 
 from checks import standins as S
-from checks.basic import rd, runs_sql
+from checks.basic import GAPS, MINS, merge_sql, rd, runs_sql
 from checks.motion import DEPTH, MAIN, SIGNED, grad, sd, unwrap
-from checks.registry import define, query, r
+from checks.registry import SQL, define, query, r, with_steps
 from lanewise.constants import Conflict, IllegalTurn, Stopped, Yield
 from lanewise.functions import geometry as G
 from lanewise.functions.motion import closest_approach
@@ -331,3 +331,19 @@ def near_miss(spark, sf):
 @query("detect")
 def detect_all(spark, sf):
     return detect(S.analysis(spark, sf))
+
+
+# the rules that are checked one by one with their own limits, cleaned together
+TOGETHER = ["wrong_way", "solid_line_crossing", "jaywalking", "red_light", "stop_line"]
+
+
+@query("detect_cleaned")
+def detect_cleaned(spark, sf):
+    return detect(S.analysis(spark, sf), TOGETHER)
+
+
+SQL["detect_cleaned"] = f"""WITH found AS MATERIALIZED ({' UNION ALL '.join(f'SELECT video_id, start_sec, end_sec, label FROM ({SQL[q]})' for q in TOGETHER)}),
+lengths AS MATERIALIZED (SELECT video_id, duration FROM ({with_steps('SELECT * FROM s_videos', 's_videos')}))
+SELECT video_id, label, {r('s', 2)} AS start_sec, {r('e', 2)} AS end_sec FROM (
+SELECT video_id, label, GREATEST(0e0, start_sec) AS s, LEAST(duration, end_sec) AS e FROM ({merge_sql('found', ['video_id', 'label'], GAPS)}) z JOIN lengths USING (video_id)) y
+WHERE e - s >= {MINS}"""
