@@ -18,7 +18,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from lanewise.llm.common import slices_of
+from lanewise.llm.common import remembered, slices_of
 
 WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 # a cut here never falls inside a word; its white space is that of WORD but for four separators
@@ -166,14 +166,9 @@ class ChunkEncoder:
         return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
 
 
-_encoders: dict[tuple[type, str], ChunkEncoder] = {}
-
-
 def encoder(path: str, kind: type = ChunkEncoder) -> ChunkEncoder:
     """One per worker process and file: what it has learned serves its later tasks."""
-    if (kind, path) not in _encoders:
-        _encoders[kind, path] = kind(path)
-    return _encoders[kind, path]
+    return remembered((kind, path), lambda: kind(path))
 
 
 def encode(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", decoded: bool = False) -> DataFrame:

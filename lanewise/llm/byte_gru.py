@@ -15,12 +15,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from lanewise.llm.common import slices_of
+from lanewise.llm.common import remembered, slices_of
 
 UND = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 PART = 24  # characters; longer runs of letters, as in scripts without spaces, are read in parts
-KEPT = 600_000  # words that a worker remembers
+KEPT = 300_000  # words that a worker remembers
 
 
 @dataclass
@@ -198,9 +198,6 @@ class Labeller:
         return out
 
 
-_labellers: dict[str, Labeller] = {}
-
-
 def training_words(docs: DataFrame, per_language: int = 400, words: int = 6000, id_col: str = "doc_id",
                    text_col: str = "text", lang_col: str = "lang") -> list[tuple[str, str, int]]:
     """The bounded training sample: words of at most ``per_language`` documents a language, at most ``words`` of them.
@@ -234,12 +231,10 @@ def predict(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str
     key = f"{id(model)}-{hash(tuple(model.languages))}-{float(np.abs(model.out).sum()) if model.out is not None else 0}"
 
     def pool(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _labellers:
-            _labellers.clear()
-            _labellers[key] = Labeller(model)
+        labeller = remembered(key, lambda: Labeller(model))
         for whole in batches:
             for b in slices_of(whole, "text"):
-                found = _labellers[key].pooled(b.column("text").to_pylist())
+                found = labeller.pooled(b.column("text").to_pylist())
                 yield pa.RecordBatch.from_pydict({"id": b.column("id"), "lang_pred": pa.array([x[0] for x in found], pa.string()),
                                                   "score": pa.array([x[1] for x in found], pa.float64())})
 

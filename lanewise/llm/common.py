@@ -1,13 +1,17 @@
 """Shared folder, materialised tables and connected components of the training-data operators."""
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+T = TypeVar("T")
+
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``; a temporary one only where that is unset and Spark runs in one process."""
@@ -30,6 +34,18 @@ def saved(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+_memory: dict[object, object] = {}
+
+
+def remembered(owner: object, make: Callable[[], T]) -> T:
+    """What a worker process keeps from task to task for one operator; the next operator's begins with the other's end."""
+    if owner not in _memory:
+        _memory.clear()
+        gc.collect()
+        _memory[owner] = make()
+    return _memory[owner]
+
+
 def slices_of(batch: pa.RecordBatch, column: str, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     """Consecutive parts of ``batch`` with about ``most`` bytes of ``column`` each; a longer value is a part of its own."""
     total, start = 0, 0
