@@ -44,7 +44,8 @@ ENTITY = re.compile(
     r"|(?P<card>(?<![\w+])[2-6](?:\d{12,18}|\d{3}(?:[ -]\d{4}){2,3}(?:[ -]\d{1,4})?)(?!\w))"
     r"|(?P<phone>(?<![\w+])(?:\+\d{1,3}[ .-]?(?:\(\d{1,4}\)[ .-]?)?\d{1,4}(?:[ .-]?\d{2,4}){1,4}|\(\d{3}\) ?\d{3}[ .-]\d{4}|\d{3}[.-]\d{3}[.-]\d{4})(?!\w))"
     rf"|(?P<name>(?<!\w)(?:(?P<title>{_title})\.? (?P<called>{CAP}(?: {CAP})?)|(?P<given>{_given}) (?P<family>{CAP}))(?!\w))")
-CUE = rf"[0-9@]|(?<!\w)({_title}|{_given})\.? "  # what every entity holds
+# what every entity holds; the look at the first letter spares the names at most places
+CUE = rf"[0-9@]|(?=[A-ZÀ-ÞΑ-ΩА-Ягκ])(?<!\w)(?:{_title}|{_given})\.? "
 
 
 class Stream:
@@ -215,14 +216,13 @@ def pseudonymise(docs: DataFrame, key: bytes, id_col: str = "doc_id", text_col:
     lists = found.join(names, ["kind", "value"]).groupBy("row").agg(F.collect_list(F.struct("kind", "value", "surrogate")).alias("names"))
 
     def replace(b: pa.RecordBatch) -> pa.RecordBatch:
-        done = [replaced(t, {(n["kind"], n["value"]): n["surrogate"] for n in ns})
+        done = [replaced(t, {(n["kind"], n["value"]): n["surrogate"] for n in ns}) if ns else (t, [])
                 for t, ns in zip(b.column("text").to_pylist(), b.column("names").to_pylist())]
         spans = pa.array([x[1] for x in done], pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("kind", pa.string()), ("surrogate", pa.string())])))
         return pa.RecordBatch.from_arrays([b.column("id"), pa.array([x[0] for x in done], pa.string()), spans], names=["id", "text", "spans"])
 
     spans_type = "array<struct<start:int,end:int,kind:string,surrogate:string>>"
-    hit = d.where(may).withColumn("row", row).join(lists, "row", "left")
-    changed = per_text(hit.where("names IS NOT NULL").select("id", "text", "names"), replace, f"id {kind_of}, text string, spans {spans_type}")
-    empty = F.array().cast(spans_type).alias("spans")
-    same = hit.where("names IS NULL").select("id", "text", empty).unionByName(d.where(~may).select("id", "text", empty))
+    hit = d.where(may).withColumn("row", row).join(lists, "row", "left").select("id", "text", "names")
+    changed = per_text(hit, replace, f"id {kind_of}, text string, spans {spans_type}")
+    same = d.where(~may).select("id", "text", F.array().cast(spans_type).alias("spans"))
     return changed.unionByName(same).withColumnsRenamed({"id": id_col, "text": text_col})
