@@ -7,6 +7,7 @@ The best ones are confirmed by the exact difference of the wordings.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -37,8 +38,16 @@ TEMPLATES = {
     "GPL-2.0": ["This work is licensed under the GNU General Public License, version 2.",
                 "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as "
                 "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
-    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3."],
-    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3."],
+    "LGPL-3.0": ["This library is licensed under the GNU Lesser General Public License, version 3.",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
+    "LGPL-2.1": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as "
+                 "published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."],
+    "LGPL-2.0": ["This library is free software; you can redistribute it and/or modify it under the terms of the GNU Library General Public License as "
+                 "published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."],
+    "AGPL-3.0": ["This work is licensed under the GNU Affero General Public License, version 3.",
+                 "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as "
+                 "published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."],
     "MPL-2.0": ["This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with "
                 "this file, You can obtain one at https://mozilla.org/MPL/2.0/."],
     "BSD-3-Clause": ["Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following "
@@ -58,6 +67,7 @@ CUE = re.compile(r"licen[cs]e|permission|redistribut|copyright|warrant|software|
 SPDX = re.compile(r"SPDX-License-Identifier:\s*([A-Za-z0-9.+-]+)")
 SENTENCE = re.compile(r"(?<=[.!?;:])\s+")
 WORD = re.compile(r"\w+(?:[.\-]\w+)*")
+NAMING = re.compile(r"\d|\b(?:affero|lesser|noncommercial|sharealike|noderiv\w*|nc|sa|nd)\b")  # a difference in these is another license
 BESIDE = 4  # lines before and after one with a cue that belong to its block
 LINE = 200  # characters of a line that may go on a notice from the line beside it; longer ones are prose
 SAVED = 0.15  # of its own compressed size that a template has to save before wordings are compared
@@ -71,6 +81,9 @@ class Template:
     words: tuple[str, ...]
     coder: zstandard.ZstdCompressor
     size: int
+    slack: int  # words that a notice may have added
+    run: int  # words that any notice has in common with the template without a break
+    runs: dict[tuple[str, ...], list[int]]  # where in the template each run of that length begins
 
 
 _plain: list[zstandard.ZstdCompressor] = []
@@ -82,6 +95,17 @@ def plain(text: str) -> str:
     return " ".join(WORD.findall(text.lower()))
 
 
+def anchors(words: tuple[str, ...]) -> tuple[int, int, dict[tuple[str, ...], list[int]]]:
+    """Added words allowed, the length of run that no allowed set of differences can break up, and where each such run begins."""
+    n = len(words)
+    slack, kept = int((1 - AGREE) * n + 0.5), math.ceil(AGREE * n)
+    run = max(1, math.ceil(kept / (n - kept + slack + 1)))
+    runs: dict[tuple[str, ...], list[int]] = {}
+    for i in range(n - run + 1):
+        runs.setdefault(words[i:i + run], []).append(i)
+    return slack, run, runs
+
+
 def templates(texts: dict[str, list[str]]) -> list[Template]:
     key = repr(texts)
     if key not in _templates:
@@ -93,7 +117,7 @@ def templates(texts: dict[str, list[str]]) -> list[Template]:
             for t in variants:
                 words = plain(t)
                 coder = zstandard.ZstdCompressor(level=9, dict_data=zstandard.ZstdCompressionDict(words.encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT))
-                made.append(Template(name, tuple(words.split()), coder, len(_plain[0].compress(words.encode()))))
+                made.append(Template(name, w := tuple(words.split()), coder, len(_plain[0].compress(words.encode())), *anchors(w)))
         _templates[key] = made
     return _templates[key]
 
@@ -147,6 +171,23 @@ def confirmed(words: list[str], t: Template) -> tuple[float, int, int, list[str]
     return share, first, last, [w for i, w in enumerate(t.words) if i not in kept], [w for i, w in enumerate(words[first:last], first) if i not in used]
 
 
+def notices(words: list[str], t: Template) -> Iterator[tuple[float, int, int, list[str], list[str]]]:
+    """Every copy of the template in ``words``: each place where a run of it stands is confirmed by itself, in a window of one copy's length."""
+    at, tried = 0, set()
+    for b in range(len(words) - t.run + 1):
+        for a in t.runs.get(tuple(words[b:b + t.run]), ()):
+            if b < at:
+                break  # part of the copy before
+            low = max(at, b - a - t.slack)
+            if (low, b - a) in tried:
+                continue
+            tried.add((low, b - a))
+            c = confirmed(words[low:b - a + len(t.words) + t.slack], t)
+            if c and len(c[4]) <= t.slack and not NAMING.search(" ".join(c[3] + c[4])):
+                yield c[0], low + c[1], low + c[2], c[3], c[4]
+                at = low + c[2]
+
+
 def match(block: str, all_templates: list[Template]) -> list[tuple]:
     """(license, start, end, share, saving, missing, added) of the notices in a block; of those that overlap the closest wording."""
     if block in _known:
@@ -162,13 +203,8 @@ def match(block: str, all_templates: list[Template]) -> list[tuple]:
         if gain < SAVED:
             break
         saving = gain * t.size
-        at = 0
-        while (c := confirmed(words[at:], t)):  # a long block may hold a notice more than once
-            share, first, last, missing, added = c
-            # a differing number is another version, hence another license
-            if len(added) <= (1 - AGREE) * len(t.words) + 0.5 and not any(map(str.isdigit, "".join(missing + added))):
-                found.append((t.license, places[at + first][0], places[at + last - 1][1], share, saving / alone, missing, added))
-            at += last
+        for share, first, last, missing, added in notices(words, t):
+            found.append((t.license, places[first][0], places[last - 1][1], share, saving / alone, missing, added))
     kept: list[tuple] = []
     for f in sorted(found, key=lambda f: (len(f[5]) + len(f[6]) > 0, -(f[2] - f[1]), len(f[5]) + len(f[6]), -f[4], f[0])):
         if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
