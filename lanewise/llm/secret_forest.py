@@ -22,7 +22,9 @@ DECOY = "commit|sha1|sha256|md5|checksum|digest|hash|etag|uuid|guid|revision|exa
 PLACEHOLDER = "example|changeme|change_me|placeholder|your[_-]|dummy|sample|redacted|xxxx|test|1234567|0000000|aaaaaa|fixme|todo"
 
 RUN = r"A-Za-z0-9_+/~\-"
-ASSIGNED = rf"(?i:\b(?:{CREDENTIAL})\b[\"']?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}[\"']?)"
+# a name may go on before and after the credential's word; what a run may hold is part of it, so that no run swallows a name
+NAME = rf"{RUN}."
+ASSIGNED = rf"(?i:(?<![{NAME}])[{NAME}]*?(?:{CREDENTIAL})[{NAME}]{{0,200}}[\"']?\s{{0,3}}(?:=>|:=|[=:])\s{{0,3}}[\"']?)"
 CANDIDATE = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,40}PRIVATE KEY-----"
              rf"|{ASSIGNED}[^\s\"'<>]{{6,}}|(?<![{RUN}])[{RUN}]{{16,}}={{0,2}}")
 AROUND = 48  # characters of context
@@ -45,17 +47,22 @@ def candidates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     parts = d.select("id", F.xxhash64("text").alias("row"), F.split(marked, "\x01").alias("parts"))
     lengths = F.transform("parts", lambda p: F.char_length(p) - F.when(F.instr(p, "\x02") > 0, 1).otherwise(0))
     starts = F.aggregate(lengths, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
-    each = parts.select("id", "row", "parts", starts.alias("starts")).select(
-        "id", "row", F.posexplode(F.arrays_zip(F.slice("parts", 2, F.size("parts")), F.slice("starts", 2, F.size("parts") - 1),
-                                               F.slice("parts", 1, F.size("parts") - 1)).alias("x")).alias("k", "x"))
-    here, left = F.col("x.0"), F.col("x.2")
-    whole = F.split_part(here, F.lit("\x02"), F.lit(1))
+    unmarked = lambda p: F.replace(p, F.lit("\x02"), F.lit(""))
+    parts = parts.select("id", "row", "parts", starts.alias("starts"), F.transform("parts", lambda p: F.right(unmarked(p), F.lit(AROUND))).alias("ends"),
+                         F.transform("parts", lambda p: F.left(unmarked(p), F.lit(AROUND))).alias("heads"))
+    # every part but the first holds a match of six or more characters, so these many parts reach as far as AROUND
+    reach = AROUND // 6 + 1
+    places = F.sequence(F.lit(2), F.size("parts"))
+    each = parts.where(F.size("parts") > 1).select("id", "row", F.explode(F.transform(places, lambda k: F.struct(
+        F.element_at("parts", k).alias("here"), F.element_at("starts", k).alias("start"),
+        F.array_join(F.slice("ends", F.greatest(k - reach, F.lit(1)), F.least(k - 1, F.lit(reach))), "").alias("left"),
+        F.array_join(F.slice("heads", k + 1, F.lit(reach)), "").alias("right")))).alias("x")).select("id", "row", "x.*")
+    whole = F.split_part("here", F.lit("\x02"), F.lit(1))
     name = F.regexp_extract(whole, rf"^{ASSIGNED}", 0)
-    before = F.concat(F.split_part(left, F.lit("\x02"), F.lit(-1)), name)
-    out = each.select("id", "row", (F.col("x.1") + F.char_length(name)).alias("start"),
-                      F.right(before, F.lit(AROUND)).alias("before"),
+    out = each.select("id", "row", (F.col("start") + F.char_length(name)).alias("start"),
+                      F.right(F.concat("left", name), F.lit(AROUND)).alias("before"),
                       F.substr(whole, F.char_length(name) + 1).alias("value"),
-                      F.left(F.split_part(here, F.lit("\x02"), F.lit(2)), F.lit(AROUND)).alias("after"))
+                      F.left(F.concat(F.split_part("here", F.lit("\x02"), F.lit(2)), "right"), F.lit(AROUND)).alias("after"))
     return out.where("value <> ''").distinct()
 
 
@@ -94,7 +101,7 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
         "known": v.rlike(r"^(AKIA|ASIA)[A-Z0-9]{16}$|^gh[pousr]_\w{30,}|^xox[abpr]-|^eyJ\w+|^sk[_-]\w{16,}|^AIza|^glpat-|^-----BEGIN").cast("double"),
         "path": (v.rlike("/") & F.col("before").rlike(r"(://\S*|[./\\@])$") | v.rlike(r"/\w+/")).cast("double"),
         "assigned": F.col("before").rlike("[=:][\\s\"']*$").cast("double"),
-        "named": near.rlike(f"({CREDENTIAL})[^a-z]{{0,12}}$|({CREDENTIAL})[^a-z]{{0,6}}[=:(]").cast("double"),
+        "named": near.rlike(f"({CREDENTIAL})[^a-z]{{0,12}}$|({CREDENTIAL})[{NAME}]{{0,40}}[^a-z]{{0,6}}[=:(]").cast("double"),
         "decoy": near.rlike(f"\\b({DECOY})\\b").cast("double"),
         "placeholder": F.lower(v).rlike(PLACEHOLDER).cast("double"),
         "quoted": F.col("before").rlike("[\"'`]$").cast("double")})

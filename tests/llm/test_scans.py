@@ -104,6 +104,25 @@ def test_secrets_are_found_at_their_place_and_look_alikes_are_not(documents, for
         assert HEX not in (t or "") or i == 100
 
 
+KEY40 = "wJalrXUtnFEMIK7MDENGbPxRfiCYzQ83kLmN0pT2"
+NAMED = [("DB_PASSWORD=", "hunter2!x9"), ("client_secret: '", "aB3$kk99x"), ("AWS_SECRET_ACCESS_KEY=", KEY40), ("conf/of/the/database/password=", "q7!Zr#41p"),
+         ("spring.datasource.password = ", "Kd93!mzQ7x"), ('"github-token-for-ci": "', "0f3Bq!81xZ"), ("SECRET_KEY_BASE=", HEX)]
+
+
+def test_names_around_a_credential_and_the_words_beside_it(documents, forest):
+    rows = [(i, f"{PROSE}\n{n}{v}\n{PROSE}") for i, (n, v) in enumerate(NAMED)] + [(50, f"{'a' * 20} {'b' * 20} {'c' * 6} {'d' * 20}"), (51, "AWS_SECRET_ACCESS_KEY=")]
+    texts = dict(rows)
+    found = sf.candidates(documents(*rows)).collect()
+    for r in found:
+        end = r.start + len(r.value)
+        assert texts[r.id][r.start:end] == r.value
+        assert (r.before, r.after) == (texts[r.id][max(0, r.start - sf.AROUND):r.start], texts[r.id][end:end + sf.AROUND])
+    assert {(r.id, r.value) for r in found if r.id < 50} == {(i, v) for i, (_, v) in enumerate(NAMED)}
+    assert len([r for r in found if r.id == 50]) == 3 and not [r for r in found if r.id == 51]
+    assert {r.doc_id for r in sf.scan(documents(*rows[:7]), *forest).collect()} == set(range(7))
+    assert all(v not in r.text for r in sf.redact(documents(*rows[:7]), sf.scan(documents(*rows[:7]), *forest)).collect() for _, v in NAMED)
+
+
 def test_secret_scan_of_nothing(documents, forest):
     empty = documents((1, "x")).limit(0)
     assert sf.scan(empty, *forest).count() == 0
