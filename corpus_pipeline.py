@@ -31,7 +31,7 @@ def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents, with found secrets replaced by a mark and ``n_chars`` counted anew where it was counted."""
-    words = secret_forest.dictionary(secret_forest.sample_of(docs, "doc_id", "text"))
+    words = secret_forest.dictionary(docs)
     model = secret_forest.train(secret_forest.labelled_findings(docs), words)
     clean = secret_forest.redact(docs, secret_forest.scan(docs, model, words))
     return clean.withColumn("n_chars", F.when(F.col("n_chars").isNotNull(), F.char_length("text").cast(docs.schema["n_chars"].dataType)))

@@ -60,7 +60,7 @@ def op5_metric_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_secret_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in all documents."""
     docs = table(spark, sf_dir, "documents")
-    words = secret_forest.dictionary(secret_forest.sample_of(docs, "doc_id", "text"))
+    words = secret_forest.dictionary(docs)
     model = secret_forest.train(secret_forest.labelled_findings(docs), words)
     return secret_forest.scan(docs, model, words).select(
         "doc_id", "start", "length", F.sha2("value", 256).alias("value_sha256"), F.round("score", 6).alias("score"))

@@ -29,7 +29,7 @@ CANDIDATE = (r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----[\s\S]*?-----END [A-Z ]{0,
              rf"|{ASSIGNED}[^\s\"'<>]{{6,}}|(?<![{RUN}])[{RUN}]{{16,}}={{0,2}}")
 AROUND = 48  # characters of context
 TRUSTED = 0.5
-SAMPLE = 600  # documents that labelled findings and the dictionary are made from
+SAMPLE = 600  # documents that labelled findings are made from
 DICTIONARY = 20_000  # four-letter pieces of frequent words
 
 FEATURES = ["length", "changes", "entropy", "digits", "upper", "hex", "covered", "known", "path", "assigned", "named", "decoy", "placeholder", "quoted"]
@@ -78,11 +78,12 @@ def pieces(word: str | Column) -> Column:
     return F.when(F.char_length(w) >= 4, F.transform(F.sequence(F.lit(1), F.char_length(w) - 3), lambda i: F.substr(w, i, F.lit(4))))
 
 
-def dictionary(sample: DataFrame) -> DataFrame:
-    """(piece): the most frequent four-letter pieces of the sample's words."""
-    words = sample.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{4,})"), F.lit(1))).alias("w"))
-    return (words.select(F.explode(pieces("w")).alias("piece")).groupBy("piece").count()
-            .orderBy(F.desc("count"), "piece").limit(DICTIONARY).select("piece"))
+def dictionary(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(piece): the most frequent four-letter pieces of the words of all texts."""
+    text = F.lower(F.col(f"`{text_col}`").cast("string"))
+    words = docs.select(F.explode(F.regexp_extract_all(text, F.lit(r"(\p{L}{4,})"), F.lit(1))).alias("w")).groupBy("w").count()
+    return saved(words.select(F.explode(pieces("w")).alias("piece"), "count").groupBy("piece").agg(F.sum("count").alias("count"))
+                 .orderBy(F.desc("count"), "piece").limit(DICTIONARY).select("piece"))
 
 
 def featured(found: DataFrame, words: DataFrame) -> DataFrame:

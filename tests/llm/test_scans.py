@@ -123,6 +123,24 @@ def test_names_around_a_credential_and_the_words_beside_it(documents, forest):
     assert all(v not in r.text for r in sf.redact(documents(*rows[:7]), sf.scan(documents(*rows[:7]), *forest)).collect() for _, v in NAMED)
 
 
+def test_the_dictionary_covers_all_texts(documents, spark, tmp_path, monkeypatch):
+    rows = [(i, f"rareword{'abcdefghij'[i % 10] * 4} again again", "en", "s") for i in range(1000)] + [(None, "nullword"), (2000, None)]
+    docs = documents(*rows)
+    want = {}
+    for r in rows:
+        for w in re.findall(r"[^\W\d_]{4,}", (r[1] or "").lower()):
+            for i in range(len(w) - 3):
+                want[w[i:i + 4]] = want.get(w[i:i + 4], 0) + 1
+    assert {r.piece for r in sf.dictionary(docs).collect()} == set(want)
+    docs.repartition(2).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    monkeypatch.setattr(sf, "train", lambda findings, words: seen.append({r.piece for r in words.collect()}))
+    QUERIES["op6_secret_forest"](spark, str(tmp_path))
+    assert seen == [set(want)]
+    monkeypatch.setattr(sf, "DICTIONARY", 2)
+    assert {r.piece for r in sf.dictionary(docs).collect()} == set(sorted(want, key=lambda p: (-want[p], p))[:2])
+
+
 def test_secret_scan_of_nothing(documents, forest):
     empty = documents((1, "x")).limit(0)
     assert sf.scan(empty, *forest).count() == 0
