@@ -48,6 +48,9 @@ ENTITY = re.compile(
 CUE = rf"[0-9@]|(?=[A-ZÀ-ÞΑ-ΩА-Ягκ])(?<!\w)(?:{_title}|{_given})\.? "
 
 
+PATIENCE = 8  # draws of a value's own shape before a longer one
+
+
 class Stream:
     """Numbers drawn from a key, an entity and the number of the draw."""
 
@@ -84,19 +87,25 @@ def shaped(text: str, s: Stream, keep: int = 0) -> str:
 def surrogate(kind: str, value: str, key: bytes, draw: int) -> str:
     """The replacement of a canonical value."""
     s = Stream(key, kind, value, draw)
+    more = draw // PATIENCE  # a shape that the corpus fills is left: later draws are longer
+    size = len(value)
+    if kind in ("card", "phone", "iban", "ssn"):
+        value += "0" * more
     if kind == "email":
         user, _, host = value.rpartition("@")
         name, _, top = host.rpartition(".")
-        return f"{shaped(user, s)}@{shaped(name, Stream(key, 'host', name))}.{top}"  # one host stays one host
+        return f"{shaped(user + 'a' * more, s)}@{shaped(name, Stream(key, 'host', name))}.{top}"  # one host stays one host
     if kind == "ip":
-        return ".".join(str(1 + s.below(9) if len(x) == 1 else 10 + s.below(90) if len(x) == 2 else 100 + s.below(155)) for x in value.split("."))
+        parts = [min(3, len(x) + more) for x in value.split(".")]
+        three = 155 if more < 3 else 900  # more than 255 only where nothing else is left
+        return ".".join(str(1 + s.below(9) if n == 1 else 10 + s.below(90) if n == 2 else 100 + s.below(three)) for n in parts)
     if kind == "card":
         out = shaped(value, s, 1)
-        if luhn(value) == 0:  # a valid number stays valid
+        if luhn(value[:size]) == 0:  # a valid number stays valid
             out = next(out[:-1] + c for c in "0123456789" if luhn(out[:-1] + c) == 0)
         return out
     if kind == "phone":
-        lead = len(value) - 10 if len(value) > 10 else 1
+        lead = size - 10 if size > 10 else 1
         return shaped(value, s, max(0, lead))
     if kind == "iban":
         return shaped(value, s, 2)
@@ -138,11 +147,11 @@ def written(raw: str, kind: str, new: str) -> str:
     """``new`` with the punctuation and the case of ``raw``."""
     if kind in ("phone", "card", "iban", "ssn"):
         fill = iter(new)
-        return "".join(next(fill, c) if c.isalnum() else c for c in raw)
+        return "".join([*(next(fill, c) if c.isalnum() else c for c in raw), *fill])
     if kind.startswith(("given", "family")) and raw.isupper() and len(raw) > 1:
         return new.upper()
     if kind == "email" and any(c.isupper() for c in raw):
-        return "".join(n.upper() if r.isupper() else n for r, n in zip(raw, new))
+        return "".join(n.upper() if r.isupper() else n for r, n in zip(raw.ljust(len(new)), new))
     return new
 
 

@@ -189,6 +189,15 @@ def test_colliding_draws_become_distinct(spark):
     assert not {r.surrogate.lower() for r in rows} & set(names)
 
 
+def test_full_shapes_are_left_for_longer_ones(spark):
+    full = [("phone", f"1{i:03}") for i in range(1000)] + [("email", f"{c}@{h}.com") for c in "abcdefghijklmnopqrstuvwxyz" for h in "pqrstuvwxyz"]
+    full += [("ip", f"{a}.{b}.{c}.{d}") for a in range(1, 10) for b in range(1, 10) for c in range(1, 10) for d in range(1, 10)]
+    rows = su.assign(spark.createDataFrame(full, "kind string, value string"), b"k").collect()
+    assert {(r.kind, r.value) for r in rows} == set(full)
+    assert len({(r.kind, r.surrogate.lower()) for r in rows}) == len(rows) and not {(r.kind, r.surrogate) for r in rows} & set(full)
+    assert su.written("+1 23-4", "phone", "198765") == "+1 98-765" and su.written("A@p.com", "email", "qrst@w.com") == "Qrst@w.com"
+
+
 def test_no_private_data_survives_the_query(spark):
     d = "/root/testdata/sf0.001"
     pattern = re.compile(r"[\w.]+@[\w.]+|\+1 \(\d+\) \d+-\d+|\b4\d{15}\b|\b\d+\.\d+\.\d+\.\d+\b")
