@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, license_blocks, metric_join, order_minhash, packing, secret_forest, surrogates
+from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, license_blocks, merkle_exchange, metric_join, order_minhash, packing, secret_forest, surrogates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -102,6 +102,19 @@ def op10_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.size("spans").cast("bigint").alias("n_entities"), "text")
 
 
+@query
+def op11_merkle_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's proof, and what it says of texts that lost their line ends."""
+    docs = table(spark, sf_dir, "documents")
+    columns = ("doc_id", "source", "lang", "n_chars")
+    cut = F.when(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 2 == 0, F.replace("text", F.lit("\n"), F.lit(""))).otherwise(F.col("text"))
+    leaves = docs.select("doc_id", "source", merkle_exchange.digest(*columns, "text").alias("leaf"), merkle_exchange.digest(*columns, cut).alias("found"))
+    out = merkle_exchange.manifest(leaves, "source", ["doc_id"], "leaf")
+    folded = out.withColumn("folded_root", merkle_exchange.fold(F.col("found"), F.col("proof")))
+    return folded.select("doc_id", "leaf", "subroot", "root", merkle_exchange.proof_digest(F.col("proof")).alias("proof_sha256"),
+                         "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
