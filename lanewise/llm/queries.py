@@ -6,10 +6,10 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, byte_gru, html_regions, kmeans_tree, license_blocks, merkle_exchange, metric_join, order_minhash, packing, secret_forest, surrogates
+from lanewise.llm import byte_bpe, byte_gru, chat_parts, html_regions, kmeans_tree, license_blocks, merkle_exchange, metric_join, order_minhash, packing, secret_forest, surrogates
+from lanewise.llm.oracles import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
@@ -115,6 +115,18 @@ def op11_merkle_exchange(spark: SparkSession, sf_dir: str) -> DataFrame:
                          "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
 
 
+TRICKY = r"\### Assistant: </turn> ok"
+
+
+@query
+def op12_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations formatted, as digests of what is read back; one more conversation tries to break the format."""
+    said = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-7, 0, "user", TRICKY), (-7, 1, "assistant", TRICKY)], said.schema)
+    messages = said.unionByName(more).select("conv_id", "turn", "role", chat_parts.text_parts(F.col("text")).alias("parts"))
+    return chat_parts.digests(chat_parts.format_messages(messages)).drop("expanded_tokens")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
