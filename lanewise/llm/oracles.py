@@ -57,3 +57,33 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
        sum({len(TURN) + 1 + len(END)} + length(shown_role) + length(shown_text))::BIGINT AS formatted_chars
 FROM marked GROUP BY conv_id
 """
+
+
+def _codes() -> str:
+    """Each round is a step of its own: distances of all parts to all entries, then means rounded down."""
+    def nearest(book: str) -> str:
+        # distances are whole numbers below 2**53, so doubles hold them; the smallest distance, then the smallest entry
+        return f"""SELECT vec_id, label, part, v, min(({DISTANCE})::BIGINT * 256 + entry) AS best FROM parts JOIN {book} USING (part) GROUP BY ALL"""
+
+    steps = ["""kept AS (
+  SELECT vec_id, label, list_transform(embedding, lambda x: floor(x::DOUBLE * 1024)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)""",
+             "parts AS MATERIALIZED (SELECT vec_id, label, part, v[1 + part * len(v) // 4:(part + 1) * len(v) // 4] AS v FROM kept, range(4) r(part))",
+             """seeds AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS entry FROM kept QUALIFY entry < 256)""",
+             "book0 AS MATERIALIZED (SELECT part, entry, v AS c FROM parts JOIN seeds USING (vec_id))"]
+    for k in range(4):
+        steps += [f"near{k} AS MATERIALIZED ({nearest(f'book{k}')})",
+                  f"""sums{k} AS (
+  SELECT part, best % 256 AS entry, i, sum(v[i]::BIGINT)::BIGINT AS s, count(*) AS n FROM (SELECT part, best, v, unnest(range(1, len(v) + 1)) AS i FROM near{k}) GROUP BY ALL)""",
+                  f"""means{k} AS (SELECT part, entry, list(((s - (s % n + n) % n) // n)::DOUBLE ORDER BY i) AS m FROM sums{k} GROUP BY ALL)""",
+                  f"book{k + 1} AS MATERIALIZED (SELECT b.part, b.entry, coalesce(m, c) AS c FROM book{k} b LEFT JOIN means{k} m USING (part, entry))"]
+    return f"""WITH {", ".join(steps)}, last AS ({nearest("book4")}),
+coded AS (
+  SELECT vec_id, label, string_agg(printf('%02x', best % 256), '' ORDER BY part) AS code, sum(best // 256)::BIGINT AS error FROM last GROUP BY ALL)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error,
+       (SELECT sha256(string_agg(array_to_string(list_transform(c, lambda x: x::BIGINT::VARCHAR), ','), ',' ORDER BY part, entry)) FROM book4) AS codebooks_sha256
+FROM coded"""
+
+
+DISTANCE = "list_inner_product(v, v) - 2 * list_inner_product(v, c) + list_inner_product(c, c)"
+SQL["op13_vector_codes"] = _codes()

@@ -6,7 +6,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from lanewise.llm import byte_bpe, byte_gru, chat_parts, html_regions, kmeans_tree, license_blocks, merkle_exchange, metric_join, order_minhash, packing, secret_forest, surrogates
+from lanewise.llm import byte_bpe, byte_gru, chat_parts, html_regions, kmeans_tree, license_blocks, merkle_exchange, metric_join, order_minhash, packing, secret_forest, surrogates, vector_codes
 from lanewise.llm.oracles import SQL  # noqa: F401
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -127,6 +127,12 @@ def op12_chat_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_parts.digests(chat_parts.format_messages(messages)).drop("expanded_tokens")
 
 
+@query
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Codes of four bytes for all vectors, with the errors they make."""
+    return vector_codes.compress(table(spark, sf_dir, "embeddings")).select("vec_id", "code", "error", "label_error", "codebooks_sha256")
+
+
 @query
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The stages of corpus_pipeline.py over all documents."""
