@@ -4,6 +4,7 @@ from itertools import chain
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import DEFAULT_GAP, DEFAULT_MIN, MERGE_GAP, MIN_LEN
+from ..session import materialise
 from .ordered import ordered_scan
 from .slices import SLICE_US
 
@@ -58,6 +59,27 @@ def merge_segments(df: DataFrame, keys: list[str], gap=0.0, start="start_sec", e
     return _islands(local.drop("_blk"), keys, g, start, end, strict).select(*cols)
 
 
+def time_components(df: DataFrame, keys: list[str], start: str, end: str, order: list[str], name: str, block: float = 600.0) -> DataFrame:
+    """``df`` with ``name``: the start of its stretch of time that some row covers without a hole.
+
+    Rows that touch share a stretch, so whatever chains rows by shared time stays in one. Stretches are found inside time blocks first,
+    in parallel; one that starts before the rows of earlier blocks end belongs to the last stretch before it, which a row per block
+    tells. ``order`` makes the order by start total; keys are not null.
+    """
+    w = Window.partitionBy(*keys, "_blk").orderBy(start, end, *order)
+    rows = df.withColumn("_blk", F.floor(F.col(start) / block))
+    rows = rows.withColumn("_reach", F.max(end).over(w.rowsBetween(Window.unboundedPreceding, -1)))
+    begins = F.when(F.col("_reach").isNull() | (F.col(start) > F.col("_reach")), F.col(start))
+    local = materialise(rows.withColumn(name, F.max(begins).over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("_reach"))
+    before = Window.partitionBy(*keys).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    blocks = (local.groupBy(*keys, "_blk").agg(F.max(end).alias("_tot"), F.max(name).alias("_last"))
+              .withColumn("_base", F.max("_tot").over(before)))
+    starts = F.when(F.col("_base").isNull() | (F.col("_last") > F.col("_base")), F.col("_last"))
+    blocks = blocks.withColumn("_open", F.max(starts).over(before)).select(*keys, "_blk", "_base", "_open")
+    joined = local.join(blocks, [*keys, "_blk"])
+    return joined.withColumn(name, F.when(F.col(name) <= F.col("_base"), F.col("_open")).otherwise(F.col(name))).drop("_blk", "_base", "_open")
+
+
 def class_param(params: dict, default: float) -> Column:
     m = F.create_map(*[F.lit(v) for v in chain.from_iterable(params.items())])
     return F.coalesce(m[F.col("label")], F.lit(default))
@@ -147,7 +169,8 @@ def overlapping(a: DataFrame, b: DataFrame, keys: list[str], a_span: tuple, b_sp
     ls, le, rs, re = (F.col(p + c) for p, sp in (("_l_", a_span), ("_r_", b_span)) for c in sp)
     cond = [F.col("_l_" + k) == F.col("_r_" + k) for k in keys] + [
         F.col("_l_b") == F.col("_r_b"), F.floor(F.greatest(ls, rs) / block) == F.col("_l_b"), ls <= re, rs <= le]
-    return left.join(right, cond).select(*[F.col("_l_" + c).alias(c) for c in a.columns],
+    # sizes behind the copies are unknown to the planner: deal both sides by key and block
+    return left.hint("shuffle_hash").join(right, cond).select(*[F.col("_l_" + c).alias(c) for c in a.columns],
                                          *[F.col("_r_" + c).alias(c) for c in b.columns if c not in keys])
 
 

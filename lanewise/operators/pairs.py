@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from ..constants import Conflict
 from ..functions import geometry as G
 from . import timeseries as ts
-from .grid import frame_neighbours, ground_distance
+from .sweep import frame_neighbours, ground_distance
 from .slices import SLICE_US, own_rows, slice_rows
 from .tracks import MAX_HOLE, pedestrians, vehicle_tracks
 
@@ -24,12 +24,13 @@ def candidate_pairs(users: DataFrame, p: Conflict = Conflict()) -> DataFrame:
 
     Pairs are ordered vehicles first, then by track id.
     """
-    person = F.col("category") == "person"
-    rows = users.withColumn("person", person).withColumn("ord", F.struct(person.alias("p"), F.col("track_id").alias("id")))
-    near = ((ground_distance() < p.candidate_dist * 0.5 * (F.col("a_size") + F.col("b_size")))
-            & ~(F.col("a_person") & F.col("b_person")))
-    met = frame_neighbours(rows, ["person"], p.candidate_dist, "larger", near)
-    return met.select("video_id", F.col("a_ord.id").alias("a_id"), F.col("b_ord.id").alias("b_id")).distinct()
+    rows = users.withColumn("person", F.col("category") == "person")
+
+    def near(a, b, gap):
+        return (gap < p.candidate_dist * 0.5 * (a["size"] + b["size"])) & ~(a["person"] & b["person"])
+
+    met = frame_neighbours(rows, ["person", "track_id"], [], p.candidate_dist, "larger", near, ["track_id"])
+    return met.select("video_id", F.col("a_track_id").alias("a_id"), F.col("b_track_id").alias("b_id")).distinct()
 
 
 def pair_series(pairs: DataFrame, users: DataFrame, slice_us: int = SLICE_US, min_common: int = 4) -> DataFrame:

@@ -4,17 +4,20 @@ Events: video_id, label, pos (unique order key), start_sec, end_sec.
 Risk curve: video_id, pos, t, score. Videos: video_id, duration.
 """
 from dataclasses import dataclass
+from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import (ALARM_GAP, ALARM_WINDOW, CLASSES, HORIZON, THETA, TIOU_THRESHOLDS, W_AP, W_F1, W_MTTA,
                          WEIGHT_A, WEIGHT_B)
-from ..operators.intervals import merge_segments, overlapping, points_in
+from ..operators.intervals import merge_segments, overlapping, points_in, time_components
 from ..operators.ordered import ordered_scan
 from ..operators.slices import lag_in_slices, prefix_in_slices
 from ..session import materialise
 
 CURVE_SLICE = 65_536
+COMPONENT = 50_000  # candidates of a stretch of time that one task matches
 
 
 def tiou(a="", b="p_") -> Column:
@@ -25,35 +28,61 @@ def tiou(a="", b="p_") -> Column:
 
 
 def match_candidates(truth: DataFrame, pred: DataFrame, keys: list[str], floor: float, block: float = 10.0) -> DataFrame:
-    """Overlapping (truth i, prediction j) with temporal IoU of at least ``floor``."""
+    """Overlapping (truth i, prediction j) with temporal IoU of at least ``floor``, and the time (lo, hi) both cover together."""
     t = truth.select(*keys, F.col("pos").alias("i"), "start_sec", "end_sec")
     p = pred.select(*keys, F.col("pos").alias("j"), F.col("start_sec").alias("p_start_sec"), F.col("end_sec").alias("p_end_sec"))
     met = overlapping(t, p, keys, ("start_sec", "end_sec"), ("p_start_sec", "p_end_sec"), block)
-    return met.withColumn("iou", tiou()).filter(F.col("iou") >= floor).select(*keys, "i", "j", "iou")
+    return met.withColumn("iou", tiou()).filter(F.col("iou") >= floor).select(
+        *keys, "i", "j", "iou", F.least("start_sec", "p_start_sec").alias("lo"), F.greatest("end_sec", "p_end_sec").alias("hi"))
 
 
 def match_segments(truth: DataFrame, pred: DataFrame, keys: list[str], floor: float = min(TIOU_THRESHOLDS),
-                   block: float = 10.0) -> DataFrame:
+                   block: float = 10.0, component: int = COMPONENT) -> DataFrame:
     """Greedy one-to-one matching by descending IoU, ties to the higher truth then prediction position.
 
-    Pairs that are the best choice of both their segments are exactly the ones
-    the greedy order would take before touching either, so each round takes
-    all of them at once and drops their rivals. Higher thresholds need no run
-    of their own: their matches are the ones with a large enough IoU.
+    Candidates that could compete share time, so each stretch of time without a hole is matched by itself: its candidates reach one
+    task in greedy order and pass it in one go. A stretch of more than ``component`` candidates first loses the pairs that are the best
+    choice of both their segments, which are exactly the ones the greedy order takes before touching either, and all their
+    rivals; what is left falls apart into shorter stretches. Higher thresholds need no run of their own: their matches are the ones
+    with a large enough IoU.
     """
-    edges = materialise(match_candidates(truth, pred, keys, floor, block))
-    taken = []
-    while not edges.isEmpty():
-        best_i = edges.groupBy(*keys, "i").agg(F.max(F.struct("iou", "j")).alias("b")).select(*keys, "i", "b.j", "b.iou")
-        best_j = edges.groupBy(*keys, "j").agg(F.max(F.struct("iou", "i")).alias("b")).select(*keys, "j", "b.i")
-        won = materialise(best_i.join(best_j, [*keys, "i", "j"]))
-        taken.append(won)
-        edges = materialise(edges.join(won.select(*keys, "i"), [*keys, "i"], "left_anti")
-                            .join(won.select(*keys, "j"), [*keys, "j"], "left_anti"))
-    out = edges.select(*keys, "i", "j", "iou")
-    for won in taken:
-        out = out.unionByName(won.select(*keys, "i", "j", "iou"))
-    return out
+    edges, out = match_candidates(truth, pred, keys, floor, block), []
+    while True:
+        parts = time_components(edges, keys, "lo", "hi", ["i", "j"], "part")
+        large = parts.groupBy(*keys, "part").count().filter(F.col("count") > component).drop("count")
+        if large.isEmpty():
+            out.append(_in_order(parts, keys))
+            return reduce(DataFrame.unionByName, out)
+        parts, large = materialise(parts), materialise(large)
+        out.append(_in_order(parts.join(large, [*keys, "part"], "left_anti"), keys))
+        rest = parts.join(large, [*keys, "part"], "left_semi")
+        best_i = rest.groupBy(*keys, "i").agg(F.max(F.struct("iou", "j")).alias("b")).select(*keys, "i", "b.j", "b.iou")
+        best_j = rest.groupBy(*keys, "j").agg(F.max(F.struct("iou", "i")).alias("b")).select(*keys, "j", "b.i")
+        won = materialise(best_i.join(best_j, [*keys, "i", "j"]).select(*keys, "i", "j", "iou"))
+        out.append(won)
+        edges = (rest.drop("part").join(won.select(*keys, "i"), [*keys, "i"], "left_anti")
+                 .join(won.select(*keys, "j"), [*keys, "j"], "left_anti"))
+
+
+def _in_order(parts: DataFrame, keys: list[str]) -> DataFrame:
+    """The greedy matches of every stretch. A task keeps the used segments of one stretch at a time."""
+    group = [*keys, "part"]
+
+    def greedy(batches):
+        now, used_i, used_j = None, set(), set()
+        for batch in batches:
+            take = []
+            for row, (i, j, *at) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("i", "j", *group)))):
+                if at != now:
+                    now, used_i, used_j = at, set(), set()
+                if i not in used_i and j not in used_j:
+                    used_i.add(i)
+                    used_j.add(j)
+                    take.append(row)
+            yield batch.select([*keys, "i", "j", "iou"]).take(pa.array(take, pa.int64()))
+
+    ordered = parts.repartition(*group).sortWithinPartitions(*group, F.desc("iou"), F.desc("i"), F.desc("j")).select(*group, "i", "j", "iou")
+    return ordered.mapInArrow(greedy, parts.select(*keys, "i", "j", "iou").schema)
 
 
 def _rates(df: DataFrame) -> DataFrame:

@@ -1,10 +1,13 @@
 """Scores against a plain-Python version on small random inputs, and file round trips."""
+import functools
 import json
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from lanewise.operators import intervals as I
 from lanewise.plans import evaluate as E
 from lanewise.sources import results as R
 
@@ -16,6 +19,46 @@ def tiou(a, b):
     return inter / (a[1] - a[0] + b[1] - b[0] - inter)
 
 
+@pytest.mark.parametrize("component, block", [(50_000, 600.0), (6, 5.0)])
+def test_greedy_matching_in_components(spark, component, block):
+    """Against the greedy order over all pairs: many ties, chains over time blocks, a hot class; small components force the rounds."""
+    rng = np.random.default_rng(11)
+    truth, pred = ([(f"v{k % 3}", k, float(s), float(s + n), "a" if k % 4 else "b") for k, (s, n) in enumerate(zip(rng.integers(0, 160, m), rng.integers(1, 9, m)))]
+                   for m in (150, 170))
+
+    def iou(g, p):
+        inter = max(0.0, min(g[3], p[3]) - max(g[2], p[2]))
+        return inter / (g[3] - g[2] + p[3] - p[2] - inter)
+
+    want = set()
+    for key in {(g[0], g[4]) for g in truth}:
+        pairs = sorted(((iou(g, p), g[1], p[1]) for g in truth for p in pred if (g[0], g[4]) == key == (p[0], p[4]) and iou(g, p) >= 0.3), reverse=True)
+        used_g, used_p = set(), set()
+        for _, i, j in pairs:
+            if i not in used_g and j not in used_p:
+                used_g.add(i), used_p.add(j), want.add((*key, i, j))
+    t, p = (spark.createDataFrame([(v, label, k, a, b) for v, k, a, b, label in rows], EV) for rows in (truth, pred))
+    by_block = functools.partial(I.time_components, block=block)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(E, "time_components", by_block)
+        got = E.match_segments(t, p, ["video_id", "label"], component=component).collect()
+    assert {(r.video_id, r.label, r.i, r.j) for r in got} == want and len(got) == len(want)
+    assert E.match_segments(t.limit(0), p, ["video_id", "label"]).count() == 0
+
+
+def test_stretches_of_time(spark):
+    rng = np.random.default_rng(4)
+    rows = [("v" if k % 5 else "w", k, float(s), float(s + n)) for k, (s, n) in enumerate(zip(rng.integers(0, 900, 300), rng.choice([0, 1, 2, 3, 80], 300, p=[.2, .3, .3, .18, .02])))]
+    got = I.time_components(spark.createDataFrame(rows, "video_id string, k long, s double, e double"), ["video_id"], "s", "e", ["k"], "part", 20.0).collect()
+    for video in "vw":
+        reach, part = -1.0, None
+        for r in sorted((r for r in got if r.video_id == video), key=lambda r: (r.s, r.e, r.k)):
+            part = r.s if r.s > reach else part
+            reach = max(reach, r.e)
+            assert r.part == part
+    assert len(got) == 300
+
+
 def test_greedy_matching(spark):
     rng = random.Random(4)
     seg = lambda: (lambda s: (s, s + rng.choice([1, 2, 3, 5])))(rng.randint(0, 60))
