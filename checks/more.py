@@ -7,7 +7,7 @@ from checks.motion import ZONE, sd
 from checks.registry import SQL, define, query, r, with_steps
 from lanewise.constants import Fire, Obstacle
 from lanewise.functions import motion as M
-from lanewise.operators import cues as C, signals as SG, tracks as T
+from lanewise.operators import backgrounds as BG, cues as C, signals as SG, tracks as T
 from lanewise.operators.tracking import stitch_static, track_detections
 from lanewise.plans import eda, risk as RK, scene_events as SE
 from lanewise.plans.analysis import Analysis
@@ -230,11 +230,43 @@ define("fut", "SELECT e.video_id, eval_us, y, x, MEDIAN(gray) AS gray FROM evs e
 @query("median_background", f"SELECT video_id, eval_us, {r('SUM(gray)', 3)} AS gray, COUNT(*) AS n FROM past GROUP BY 1, 2", "past")
 def median_background(spark, sf):
     c = _cues(spark, sf)
-    m = C.windows(c, C.eval_times(c)).filter("side = 'past'")
-    bg = C.median_background(S.pixels(spark, sf), m, ["eval_us"])
+    bg = BG.median_background(S.pixels(spark, sf), C.spans(C.eval_times(c)).filter("side = 'past'"), slice_us=60_000_000)
     return rd(bg.groupBy("video_id", "eval_us").agg(F.sum("gray").alias("gray"), F.count("*").alias("n")), "gray", n=3)
 
 
+# the cue images as cameras give them: whole grey levels
+define("levels", "SELECT * REPLACE (LEAST(255, GREATEST(0, CAST(FLOOR(gray) AS INT))) AS gray) FROM s_pixels", "s_pixels")
+define("lmed", """SELECT video_id, eval_us, side, y, x, MEDIAN(gray) AS gray FROM (SELECT e.video_id, eval_us, 'past' AS side, y, x, gray FROM evs e JOIN levels p ON p.video_id = e.video_id AND p.t_us BETWEEN eval_us - 40000000 AND eval_us - 15000000
+UNION ALL SELECT e.video_id, eval_us, 'future', y, x, gray FROM evs e JOIN levels p ON p.video_id = e.video_id AND p.t_us BETWEEN eval_us AND eval_us + 8000000) z GROUP BY ALL""", "evs", "levels")
+
+
+def _levels(spark, sf):
+    return S.pixels(spark, sf).withColumn("gray", F.least(F.lit(255), F.greatest(F.lit(0), F.floor("gray").cast("int"))))
+
+
+@query("median_levels", "SELECT video_id, eval_us, side, y, x, gray FROM lmed", "lmed")
+def median_levels(spark, sf):
+    return BG.median_background(_levels(spark, sf), C.spans(C.eval_times(_cues(spark, sf))), slice_us=40_000_000)
+
+
+# a drift for every evaluation time, up to three pixels in steps of 1/32; some too large, some unsure
+DRIFT = "SELECT video_id, eval_us, ((eval_us / 1e6) * 37 % 105 - 52) / 16e0 AS dx, ((eval_us / 1e6) * 53 % 97 - 48) / 16e0 AS dy, CASE WHEN CAST(FLOOR(eval_us / 1e6) AS BIGINT) % 5 = 0 THEN 5e-2 ELSE 9e-1 END AS response FROM {t}"
+define("drift", "SELECT *, response >= 1e-1 AND SQRT(dx * dx + dy * dy) <= 3e0 AS moves FROM (" + DRIFT.format(t="evs") + ") z", "evs")
+define("weights", """SELECT video_id, eval_us, tx, ty, LEAST(7, GREATEST(0, tx + CAST(FLOOR(dx) AS INT) + a)) AS x, LEAST(7, GREATEST(0, ty + CAST(FLOOR(dy) AS INT) + b)) AS y,
+CASE WHEN a = 1 THEN dx - FLOOR(dx) ELSE 1 - (dx - FLOOR(dx)) END * CASE WHEN b = 1 THEN dy - FLOOR(dy) ELSE 1 - (dy - FLOOR(dy)) END AS w
+FROM (SELECT video_id, eval_us, CASE WHEN moves THEN dx ELSE 0e0 END AS dx, CASE WHEN moves THEN dy ELSE 0e0 END AS dy FROM drift) d, range(0, 8) p(tx), range(0, 8) q(ty), range(0, 2) s(a), range(0, 2) u(b)""", "drift")
+
+
+@query("shift_by_drift", f"""SELECT video_id, eval_us, CAST(ty AS INT) AS y, CAST(tx AS INT) AS x, {r('SUM(w * gray)', 6)} AS gray FROM weights JOIN (SELECT * FROM lmed WHERE side = 'future') m USING (video_id, eval_us, x, y)
+GROUP BY video_id, eval_us, ty, tx""", "weights", "lmed")
+def shift_by_drift(spark, sf):
+    times = materialise(C.eval_times(_cues(spark, sf)))
+    cur = BG.median_background(_levels(spark, sf), C.spans(times).filter("side = 'future'")).drop("side")
+    size = times.select("video_id", F.lit(8).alias("width"), F.lit(8).alias("height")).distinct()
+    out = C.shift_by_drift(cur, spark.sql(DRIFT, t=times), size, Obstacle(max_drift=3.0))
+    return rd(out.select("video_id", "eval_us", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "gray"), "gray", n=6)
+
+
 BOXES = "SELECT CONCAT('v', CAST(vec_id % 4 AS VARCHAR(9))) AS video_id, CAST(vec_id AS BIGINT) AS cue_idx, 0e0 + vec_id % 5 AS x1, 0e0 + vec_id % 3 AS y1, 2e0 + vec_id % 5 AS x2, 2e0 + vec_id % 3 AS y2 FROM {e} WHERE vec_id % 60 < 3"
 
 
@@ -267,7 +299,7 @@ def change_mask(spark, sf):
     c = _cues(spark, sf)
     times = C.eval_times(c)
     m = C.windows(c, times)
-    bg = materialise(C.median_background(S.pixels(spark, sf), m, ["eval_us", "side"]))
+    bg = materialise(BG.median_background(S.pixels(spark, sf), C.spans(times)))
     cov = C.box_coverage(_boxes(spark, sf), m, ["eval_us", "side"])
     road = S.pixels(spark, sf).filter("x > 1").select("video_id", "y", "x").distinct().withColumn("width", F.lit(8)).withColumn("height", F.lit(8))
     side = lambda d, s: d.filter(F.col("side") == s).drop("side")

@@ -31,20 +31,18 @@ def eval_times(cues: DataFrame, p: Obstacle = Obstacle()) -> DataFrame:
 def windows(cues: DataFrame, times: DataFrame, p: Obstacle = Obstacle()) -> DataFrame:
     """(eval_us, side) windows of every cue, matched by arithmetic on ten-second blocks."""
     blk = 10 * US
-    s = F.explode(F.array(F.struct(F.lit("past").alias("side"), F.lit(int(p.past[0] * US)).alias("lo"), F.lit(int(p.past[1] * US)).alias("hi")),
-                          F.struct(F.lit("future").alias("side"), F.lit(0).alias("lo"), F.lit(int(p.future * US)).alias("hi"))))
-    w = times.select("video_id", "eval_us", s.alias("w")).select(
-        "video_id", "eval_us", "w.side", (F.col("eval_us") + F.col("w.lo")).alias("lo"), (F.col("eval_us") + F.col("w.hi")).alias("hi"))
-    w = w.withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / blk), F.floor(F.col("hi") / blk))))
+    w = spans(times, p).withColumn("_b", F.explode(F.sequence(F.floor(F.col("lo") / blk), F.floor(F.col("hi") / blk))))
     c = cues.select("video_id", "cue_idx", "t_us").withColumn("_b", F.floor(F.col("t_us") / blk))
     return (c.join(w, ["video_id", "_b"]).filter((F.col("t_us") >= F.col("lo")) & (F.col("t_us") <= F.col("hi")))
             .select("video_id", "cue_idx", "eval_us", "side"))
 
 
-def median_background(pixels: DataFrame, members: DataFrame, group: list[str]) -> DataFrame:
-    """Median grey level per pixel over the cues that ``members`` puts into each group."""
-    return (pixels.select("video_id", "cue_idx", "y", "x", "gray").join(members, ["video_id", "cue_idx"])
-            .groupBy("video_id", *group, "y", "x").agg(F.median("gray").alias("gray")))
+def spans(times: DataFrame, p: Obstacle = Obstacle()) -> DataFrame:
+    """The past and the future window of every evaluation time: lo, hi."""
+    s = F.explode(F.array(F.struct(F.lit("past").alias("side"), F.lit(int(p.past[0] * US)).alias("lo"), F.lit(int(p.past[1] * US)).alias("hi")),
+                          F.struct(F.lit("future").alias("side"), F.lit(0).alias("lo"), F.lit(int(p.future * US)).alias("hi"))))
+    return times.select("video_id", "eval_us", s.alias("w")).select(
+        "video_id", "eval_us", "w.side", (F.col("eval_us") + F.col("w.lo")).alias("lo"), (F.col("eval_us") + F.col("w.hi")).alias("hi"))
 
 
 def box_coverage(boxes: DataFrame, members: DataFrame, group: list[str], pad: float = 0.15) -> DataFrame:
@@ -57,16 +55,22 @@ def box_coverage(boxes: DataFrame, members: DataFrame, group: list[str], pad: fl
             .agg(F.count("*").alias("n_cov")))
 
 
-def spread(df: DataFrame, r_lo: int, r_hi: int) -> DataFrame:
-    """Copy each pixel to its neighbours at offsets r_lo..r_hi in both axes."""
-    off = F.sequence(F.lit(r_lo), F.lit(r_hi))
-    return (df.withColumn("dy", F.explode(off)).withColumn("dx", F.explode(off))
-            .withColumn("y", F.col("y") + F.col("dy")).withColumn("x", F.col("x") + F.col("dx")).drop("dx", "dy"))
+def spread(df: DataFrame, axis: str, lo: int, hi: int) -> DataFrame:
+    """Copy each pixel to its neighbours at offsets lo..hi along one axis. Squares are done axis by axis: 2 (2r + 1) copies, not (2r + 1)^2."""
+    return df.withColumn(axis, F.explode(F.sequence(F.col(axis) + lo, F.col(axis) + hi)))
+
+
+def dilate(mask: DataFrame, keys: list[str], r: int) -> DataFrame:
+    """Pixels within the (2r+1)-square around a pixel of the mask."""
+    rows = spread(mask.select(*keys, "y", "x"), "x", -r, r).distinct()
+    return spread(rows, "y", -r, r).distinct()
 
 
 def local_range(gray: DataFrame, keys: list[str], r: int = 2) -> DataFrame:
     """Max and min over the (2r+1)-square around each pixel of the image; partial aggregates combine map-side."""
-    near = spread(gray, -r, r).groupBy(*keys, "y", "x").agg(F.max("gray").alias("hi"), F.min("gray").alias("lo"))
+    near = gray.select(*keys, "y", "x", F.col("gray").alias("hi"), F.col("gray").alias("lo"))
+    for axis in ("x", "y"):
+        near = spread(near, axis, -r, r).groupBy(*keys, "y", "x").agg(F.max("hi").alias("hi"), F.min("lo").alias("lo"))
     return near.join(gray.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
 
 
@@ -75,34 +79,56 @@ def erode(mask: DataFrame, keys: list[str], r: int = 1) -> DataFrame:
 
     ``mask`` needs the image size in ``width`` and ``height``.
     """
-    n = spread(mask, -r, r).groupBy(*keys, "width", "height", "y", "x").agg(F.count("*").alias("n"))
-    side = lambda c, m: (F.least(F.col(c) + r, F.col(m) - 1) - F.greatest(F.col(c) - r, F.lit(0)) + 1)
-    full = side("x", "width") * side("y", "height")
-    inside = (F.col("x") >= 0) & (F.col("y") >= 0) & (F.col("x") < F.col("width")) & (F.col("y") < F.col("height"))
-    return n.filter(inside & (F.col("n") == full)).select(*keys, "width", "height", "y", "x")
+    for axis, most in (("x", "width"), ("y", "height")):
+        inside = (F.col(axis) >= 0) & (F.col(axis) < F.col(most))
+        full = F.least(F.col(axis) + r, F.col(most) - 1) - F.greatest(F.col(axis) - r, F.lit(0)) + 1
+        n = spread(mask, axis, -r, r).filter(inside).groupBy(*keys, "width", "height", "y", "x").agg(F.count("*").alias("n"))
+        mask = n.filter(F.col("n") == full).drop("n")
+    return mask
 
 
 def open2(mask: DataFrame, keys: list[str]) -> DataFrame:
     """2x2 opening: pixels belonging to at least one full 2x2 square of the mask."""
-    corner = spread(mask.select(*keys, "y", "x"), 0, 1).groupBy(*keys, "y", "x").agg(F.count("*").alias("n"))
+    corner = spread(spread(mask.select(*keys, "y", "x"), "x", 0, 1), "y", 0, 1).groupBy(*keys, "y", "x").agg(F.count("*").alias("n"))
     # a square is named by its lower right pixel; at the border it is completed from outside the image
     full = corner.filter((F.col("n") == 4)
                          | ((F.col("x") == 0) & (F.col("y") == 0) & (F.col("n") == 1))
                          | ((F.col("x") == 0) & (F.col("y") > 0) & (F.col("n") == 2))
                          | ((F.col("y") == 0) & (F.col("x") > 0) & (F.col("n") == 2)))
-    back = spread(full.select(*keys, "y", "x"), -1, 0).select(*keys, "y", "x").distinct()
+    back = spread(spread(full.select(*keys, "y", "x"), "x", -1, 0), "y", -1, 0).distinct()
     return back.join(mask.select(*keys, "y", "x"), [*keys, "y", "x"], "left_semi")
 
 
-def shift_by_drift(cur: DataFrame, drift: DataFrame | None, p: Obstacle = Obstacle()) -> DataFrame:
-    """Undo a measured view drift (video_id, eval_us, dx, dy, response) by whole pixels when it is small and sure."""
+def shift_by_drift(cur: DataFrame, drift: DataFrame | None, size: DataFrame, p: Obstacle = Obstacle()) -> DataFrame:
+    """Undo a measured view drift (video_id, eval_us, dx, dy, response) when it is small and sure.
+
+    A pixel takes the grey level at (x + dx, y + dy), linear between the four pixels around, in steps of 1/32 pixel; beyond the image
+    (``size``: video_id, width, height) the border goes on. Where not all four are at hand, the ones there are weigh alone.
+    """
     if drift is None:
         return cur
+    key = ["video_id", "eval_us"]
     ok = (F.col("response") >= p.min_response) & (F.hypot("dx", "dy") <= p.max_drift)
-    d = drift.filter(ok).select("video_id", "eval_us", F.bround("dx", 0).cast("int").alias("sx"), F.bround("dy", 0).cast("int").alias("sy"))
-    return (cur.join(d, ["video_id", "eval_us"], "left")
-            .withColumn("x", F.col("x") - F.coalesce("sx", F.lit(0))).withColumn("y", F.col("y") - F.coalesce("sy", F.lit(0)))
-            .drop("sx", "sy"))
+    steps = drift.filter(ok).join(size, "video_id").select(*key, "width", "height", *(F.floor(F.col(f"d{a}") * 32 + 0.5).alias(f"q{a}") for a in "xy"))
+    still = cur.join(steps.select(*key), key, "left_anti")
+    moved = cur.join(steps, key).withColumn("w", F.lit(1.0))
+    for axis, most in (("x", "width"), ("y", "height")):
+        whole, part = F.floor(F.col(f"q{axis}") / 32), F.pmod(F.col(f"q{axis}"), F.lit(32)) / 32.0
+
+        def targets(by):
+            # pixels that look here; the border's pixels are also seen from beyond
+            to = F.col(axis) - whole - by
+            first = F.when(F.col(axis) == 0, F.lit(0)).otherwise(to)
+            last = F.when(F.col(axis) == F.col(most) - 1, F.col(most) - 1).otherwise(to)
+            return F.transform(F.when(first <= last, F.sequence(first.cast("int"), last.cast("int"))).otherwise(F.array().cast("array<int>")),
+                               lambda i: F.struct(i.alias("i"), (part if by else 1.0 - part).alias("part")))
+
+        moved = (moved.withColumn("_to", F.explode(F.concat(targets(0), targets(1))))
+                 .filter((F.col("_to.part") > 0) & (F.col("_to.i") >= 0) & (F.col("_to.i") < F.col(most)))
+                 .withColumn(axis, F.col("_to.i")).withColumn("w", F.col("w") * F.col("_to.part")).drop("_to"))
+        moved = (moved.groupBy(*key, "width", "height", "qx", "qy", "y", "x").agg(F.sum(F.col("w") * F.col("gray")).alias("gray"), F.sum("w").alias("w"))
+                 .withColumn("gray", F.col("gray") / F.col("w")))
+    return still.select(*key, "y", "x", "gray").unionByName(moved.select(*key, "y", "x", "gray"))
 
 
 def change_mask(past: DataFrame, future: DataFrame, road: DataFrame, cov_past: DataFrame, cov_future: DataFrame,
@@ -114,7 +140,7 @@ def change_mask(past: DataFrame, future: DataFrame, road: DataFrame, cov_past: D
     """
     key = ["video_id", "eval_us"]
     rng = local_range(past, key)
-    cur = shift_by_drift(future, drift, p)
+    cur = shift_by_drift(future, drift, road.select("video_id", "width", "height").distinct(), p)
     moved = (cur.join(rng, [*key, "y", "x"])
              .filter((F.col("gray") > F.col("hi") + p.diff) | (F.col("gray") < F.col("lo") - p.diff)).select(*key, "y", "x"))
     inner = erode(road, ["video_id"]).select("video_id", "y", "x")
