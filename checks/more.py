@@ -2,7 +2,7 @@
 from pyspark.sql import functions as F
 
 from checks import standins as S
-from checks.basic import rd
+from checks.basic import rd, recursive
 from checks.motion import ZONE, sd
 from checks.registry import SQL, define, query, r, with_steps
 from lanewise.constants import Fire, Obstacle
@@ -332,9 +332,33 @@ def flame_flags(spark, sf):
     return C.flame_flags(_largest(spark, sf), _cues(spark, sf), size, 20.0, 0.05, 0.3, 0.1).select("video_id", "cue_idx")
 
 
+# blobs by spreading from every pixel to later ones; a blob's first pixel names it
+SPREAD = """px AS MATERIALIZED (SELECT video_id, cue_idx, t_us, y, x, y * 8 + x AS k FROM s_pixels WHERE gray > 150),
+reach AS (SELECT video_id, cue_idx, k AS root, k, y, x FROM px UNION SELECT p.video_id, p.cue_idx, a.root, p.k, p.y, p.x FROM reach a JOIN px p ON p.video_id = a.video_id AND p.cue_idx = a.cue_idx
+AND ABS(p.y - a.y) <= 1 AND ABS(p.x - a.x) <= 1 AND p.k > a.root),
+rooted AS MATERIALIZED (SELECT video_id, cue_idx, k, MIN(root) AS root FROM reach GROUP BY ALL),
+blobs AS MATERIALIZED (SELECT *, ROW_NUMBER() OVER (PARTITION BY video_id, cue_idx ORDER BY root) AS blob FROM (SELECT video_id, cue_idx, MIN(t_us) AS t_us, root, COUNT(*) AS area,
+MIN(x) AS x1, MIN(y) AS y1, MAX(x) AS x2, MAX(y) AS y2, AVG(x) AS cx, AVG(y) AS cy FROM px JOIN rooted USING (video_id, cue_idx, k) GROUP BY video_id, cue_idx, root) z)"""
+SQL["label_blobs"] = recursive(SPREAD + f"""
+SELECT video_id, cue_idx, CAST(blob AS INT) AS blob, area, x1, y1, x2, y2, {r('cx')} AS cx, {r('cy')} AS cy FROM blobs""", "s_pixels")
+
+
 @query("label_blobs")
 def label_blobs(spark, sf):
-    return C.label_blobs(S.pixels(spark, sf).filter("gray > 150").select("video_id", "cue_idx", "y", "x"), ["video_id", "cue_idx"])
+    return rd(C.label_blobs(S.pixels(spark, sf).filter("gray > 150").select("video_id", "cue_idx", "y", "x"), ["video_id", "cue_idx"]), "cx", "cy")
+
+
+# one hit after the other joins the first place near it that is not too old, or opens one
+SQL["persistent_objects"] = recursive(SPREAD + """,
+hits AS MATERIALIZED (SELECT video_id, t_us, cx, cy, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY t_us, blob) AS n FROM blobs
+WHERE area / 64e2 BETWEEN 6e-4 AND 6e-3 AND CAST(area AS DOUBLE) / ((x2 - x1 + 1) * (y2 - y1 + 1)) >= 35e-2 AND GREATEST(x2 - x1, y2 - y1) + 1 <= 4 * (LEAST(x2 - x1, y2 - y1) + 1)),
+fold AS (SELECT video_id, CAST(0 AS BIGINT) AS n, CAST([] AS STRUCT(x DOUBLE, y DOUBLE, a BIGINT, b BIGINT)[]) AS places FROM (SELECT DISTINCT video_id FROM hits) v
+UNION ALL SELECT video_id, n, CASE WHEN pos IS NULL OR pos = 0 THEN list_append(places, {'x': cx, 'y': cy, 'a': t_us, 'b': t_us})
+ELSE list_concat(places[:pos - 1], [{'x': places[pos].x, 'y': places[pos].y, 'a': places[pos].a, 'b': t_us}], places[pos + 1:]) END
+FROM (SELECT h.*, places, list_position(list_transform(places, lambda g: h.t_us - g.b <= 8000000 AND (g.x - h.cx) * (g.x - h.cx) + (g.y - h.cy) * (g.y - h.cy) < 16e-1 * 16e-1), true) AS pos
+FROM fold f JOIN hits h ON h.video_id = f.video_id AND h.n = f.n + 1) z)
+SELECT video_id, g.a + 4000000 AS start_us, g.b + 4000000 AS end_us FROM (SELECT video_id, UNNEST(places) AS g FROM (SELECT video_id, places, ROW_NUMBER() OVER (PARTITION BY video_id ORDER BY n DESC) AS k FROM fold) y WHERE k = 1) x
+WHERE g.b - g.a >= 8000000""", "s_pixels")
 
 
 @query("persistent_objects")
