@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..constants import Obstacle
 from ..functions.motion import fire_pixel
-from .intervals import US
+from .intervals import US, time_parts
 from .ordered import ordered_scan
 
 PIX = ["video_id", "y", "x"]
@@ -253,7 +253,10 @@ def persistent_objects(blobs: DataFrame, size: DataFrame, p: Obstacle = Obstacle
             .filter((area >= p.area[0]) & (area <= p.area[1]) & (F.col("area") / (w * h) >= p.min_fill)
                     & (F.greatest(w, h) <= p.max_aspect * F.least(w, h)))
             .select("video_id", "eval_us", "blob", "cx", "cy", (0.02 * F.col("width")).alias("radius")))
-    return ordered_scan(hits, ["video_id"], ["eval_us", "blob"], _Places,
+    # after two periods without a hit no place is open: blocks of stretches are scanned by themselves
+    hits = hits.withColumn("until", F.col("eval_us") + int(2 * p.eval_period * US))
+    parts = time_parts(hits, ["video_id"], "eval_us", "until", ["blob"], "part", 600.0 * US).drop("until")
+    return ordered_scan(parts, ["video_id", "part"], ["eval_us", "blob"], _Places,
                         "video_id string, start_us long, end_us long", p)
 
 

@@ -80,6 +80,11 @@ def time_components(df: DataFrame, keys: list[str], start: str, end: str, order:
     return joined.withColumn(name, F.when(F.col(name) <= F.col("_base"), F.col("_open")).otherwise(F.col(name))).drop("_blk", "_base", "_open")
 
 
+def time_parts(df: DataFrame, keys: list[str], start: str, end: str, order: list[str], name: str, block: float = 600.0) -> DataFrame:
+    """``df`` with ``name``: a block of whole stretches, for scans whose state says nothing across a hole in time."""
+    return time_components(df, keys, start, end, order, name, block).withColumn(name, F.floor(F.col(name) / block))
+
+
 def class_param(params: dict, default: float) -> Column:
     m = F.create_map(*[F.lit(v) for v in chain.from_iterable(params.items())])
     return F.coalesce(m[F.col("label")], F.lit(default))
@@ -117,13 +122,15 @@ def clean_events(events: DataFrame, videos: DataFrame, classes: list[str]) -> Da
         "video_id", "pos", F.coalesce(F.bround("_s", 3), "_s").alias("start_sec"),
         F.coalesce(F.bround("_e", 3), "_e").alias("end_sec"), "label", "problem")
     valid = rows.filter("problem is null").drop("problem")
-    kept = ordered_scan(valid, ["video_id", "label"], ["start_sec", "pos"], _KeepFirst,
-                        "video_id string, pos long, start_sec double, end_sec double, label string, problem string")
+    # segments of different stretches of time never overlap: blocks of stretches are scanned by themselves
+    parts = time_parts(valid, ["video_id", "label"], "start_sec", "end_sec", ["pos"], "part")
+    kept = ordered_scan(parts, ["video_id", "label", "part"], ["start_sec", "pos"], _KeepFirst,
+                        "video_id string, label string, pos long, start_sec double, end_sec double, part long, problem string").drop("part")
     return kept.unionByName(rows.filter("problem is not null"))
 
 
 class _KeepFirst:
-    """State of one (video, class): the end of the last kept segment."""
+    """State of a block of stretches of a (video, class): the end of the last kept segment."""
 
     def __init__(self):
         self.last = -1.0

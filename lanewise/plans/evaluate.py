@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..constants import (ALARM_GAP, ALARM_WINDOW, CLASSES, HORIZON, THETA, TIOU_THRESHOLDS, W_AP, W_F1, W_MTTA,
                          WEIGHT_A, WEIGHT_B)
-from ..operators.intervals import merge_segments, overlapping, points_in, time_components
+from ..operators.intervals import merge_segments, overlapping, points_in, time_components, time_parts
 from ..operators.ordered import ordered_scan
 from ..operators.slices import lag_in_slices, prefix_in_slices
 from ..session import materialise
@@ -235,8 +235,10 @@ def match_alarms(truth: DataFrame, alarms: DataFrame, window: float = ALARM_WIND
     """Seconds of warning per accident (0 = none): video_id, t, tta."""
     acc = truth.filter("label = 'accident'").select("video_id", F.col("start_sec").alias("t"), F.lit(0).alias("kind"), F.col("end_sec").alias("e"))
     rows = acc.unionByName(alarms.select("video_id", "t", F.lit(1).alias("kind"), F.lit(0.0).alias("e")))
-    out = ordered_scan(rows, ["video_id"], ["t", "kind", "e"], _MatchAlarms,
-                       "video_id string, t double, kind int, e double, tta double", window)
+    # an alarm reaches window seconds ahead: what lies beyond a hole of that length can't compete
+    parts = time_parts(rows.withColumn("until", F.col("t") + (window + 1e-6)), ["video_id"], "t", "until", ["kind", "e"], "part").drop("until")
+    out = ordered_scan(parts, ["video_id", "part"], ["t", "kind", "e"], _MatchAlarms,
+                       "video_id string, t double, kind int, e double, part long, tta double", window)
     return out.filter("kind = 0").select("video_id", "t", "tta")
 
 
