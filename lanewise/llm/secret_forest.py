@@ -116,21 +116,26 @@ def featured(found: DataFrame, words: DataFrame) -> DataFrame:
 
 def labelled_findings(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(before, value, after, secret): made credentials and decoys in passages of sampled documents, and long words of theirs."""
-    sample = sample_of(docs, id_col, text_col)
-    seed = sample.select("id", F.explode(F.sequence(F.lit(0), F.lit(19))).alias("kind"), F.left("text", F.lit(4000)).alias("t")).withColumn(
+    sample = saved(sample_of(docs, id_col, text_col))  # else the search for its candidates runs before the draw, over all texts
+    seed = sample.select("id", F.explode(F.sequence(F.lit(0), F.lit(27))).alias("kind"), F.left("text", F.lit(4000)).alias("t")).withColumn(
         "h", F.sha2(F.concat_ws("/", F.col("id").cast("string"), F.col("kind").cast("string")), 256))
     at = F.pmod(F.xxhash64("h"), F.greatest(F.char_length("t") - 100, F.lit(1))).cast("int") + 1
     mixed = F.regexp_replace(F.concat(F.base64(F.unhex("h")), F.base64(F.unhex(F.reverse("h")))), "[+/=]", "k")
     cut = lambda c, n: F.left(c, F.lit(n))
-    lower, upper = F.col("h"), F.upper(mixed)
+    lower, upper, digit = F.col("h"), F.upper(mixed), F.right(F.translate("h", "abcdef", "123456"), F.lit(1))
     word = F.coalesce(F.nullif(F.regexp_extract(F.substr("t", at), r"\b([A-Za-z]{4,12})\b", 1), F.lit("")), F.lit("word"))
     # (text before, value, secret?)
     kinds = [("", F.concat(F.lit("AKIA"), cut(upper, 16)), 1), ("key ", F.concat(F.lit("AKIA"), cut(upper, 16)), 1),
              ("token = \"", cut(lower, 40), 1), ("token: ", cut(mixed, 32), 1), ("password=", cut(lower, 18), 1), ("password: ", cut(mixed, 12), 1),
              ("", F.concat(F.lit("ghp_"), cut(mixed, 36)), 1), ("api_key = '", cut(mixed, 40), 1), ("Bearer ", F.concat(F.lit("eyJ"), cut(mixed, 60)), 1),
              ("secret=", cut(mixed, 24), 1),
+             ("DB_PASSWORD=", F.concat(cut(F.lower(word), 6), digit, F.lit("!"), cut(lower, 2)), 1),
+             ("password: ", F.concat(cut(F.initcap(word), 5), F.lit("#"), cut(lower, 4)), 1),
+             ("client_secret: '", F.concat(cut(mixed, 4), F.lit("$$"), cut(lower, 4)), 1), ("passwd=", F.concat(cut(mixed, 5), F.lit("@!"), digit), 1),
              ("commit ", cut(lower, 40), 0), ("md5: ", cut(lower, 32), 0), ("sha256 ", lower, 0),
              ("uuid ", F.regexp_replace(cut(lower, 32), "^(.{8})(.{4})(.{4})(.{4})", "$1-$2-$3-$4-"), 0),
+             ("password=", F.concat(F.lit("${"), F.upper(word), F.lit("}")), 0), ("password: ", F.concat(F.lower(word), F.lit("s.")), 0),
+             ("token = ", F.concat(F.lower(word), F.lit("();")), 0), ("secret: ", F.concat(word, F.lit(",")), 0),
              ("password=", F.concat(F.lit("changeme_"), word), 0), ("api_key = \"", F.concat(F.lit("your-api-key-"), word), 0),
              ("key ", F.concat(F.lit("AKIA"), cut(upper, 9), F.lit("EXAMPLE")), 0),
              ("https://www.", F.concat(word, F.lit("/"), F.reverse(word), F.lit("/"), word, F.lit("_page")), 0),
