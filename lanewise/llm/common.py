@@ -1,6 +1,8 @@
 """Shared folder, materialised tables and connected components of the training-data operators."""
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import gc
 import tempfile
 import uuid
@@ -37,12 +39,21 @@ def saved(df: DataFrame) -> DataFrame:
 _memory: dict[object, object] = {}
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: Python's, Arrow's pool and the C allocator's."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):  # not every C library can
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def remembered(owner: object, make: Callable[[], T]) -> T:
     """What a worker process keeps from task to task for one operator; the next operator's begins with the other's end."""
     if owner not in _memory:
         _memory.clear()
-        gc.collect()
+        give_back()
         _memory[owner] = make()
+        give_back()
     return _memory[owner]
 
 
