@@ -12,8 +12,15 @@ from lanewise.llm.common import saved
 from lanewise.llm.queries import TOKENIZER, language_model
 
 
+def few_at_once(spark: SparkSession) -> None:
+    """Documents are long: batches between Spark and its Python workers are bounded by bytes and by fewer rows than usual."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+
+
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null texts and texts without letters go."""
+    few_at_once(spark)
     model = language_model(docs)
     texts = docs.where("text IS NOT NULL")
     # a text has one language wherever it stands: rows are matched by their text, not by an id that may be null
@@ -23,9 +30,10 @@ def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id. Rows that repeat an id are one document; null ids stay."""
+    """One document of each group of near copies: the one with the smallest id. Rows that repeat id and text are one document; null ids stay."""
+    few_at_once(spark)
     kept = saved(order_minhash.near_duplicates(docs).where("kept AND doc_id IS NOT NULL").select("doc_id").distinct())
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
+    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id", "text"])
     return one.unionByName(docs.where("doc_id IS NULL")).select(*docs.columns)
 
 
@@ -39,6 +47,7 @@ def hide_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences of 1024 tokens."""
+    few_at_once(spark)
     return packing.pack(docs, TOKENIZER).select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens",
                                                 "sequence_id", "offset", "window")
 
