@@ -11,7 +11,10 @@ from __future__ import annotations
 
 import json
 import re
+import struct
+from collections import Counter
 from collections.abc import Iterable, Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -24,7 +27,9 @@ WORD = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N
 # a cut here never falls inside a word; its white space is that of WORD but for four separators
 CHUNK = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 SEPARATORS = re.compile("[\x1c-\x1f]")
-KEPT = 400_000  # chunks and pairs that a worker remembers
+KEPT = 400_000  # pairs that a worker remembers, times four
+ENTRY = 200  # bytes that a remembered chunk takes besides its text and ids
+KEPT_BYTES = 80_000_000  # memory of the chunks that a worker remembers, about
 
 
 def byte_of() -> dict[str, int]:
@@ -34,41 +39,67 @@ def byte_of() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+CODE = byte_of()
+
+
+def raw(shown: str) -> bytes:
+    return bytes(CODE[c] for c in shown)
+
+
 class Vocabulary:
-    """Tokens as bytes, merge ranks and special tokens of a tokenizer file."""
+    """Tokens as bytes, merge ranks and special tokens of a tokenizer file. Merges are read when something asks for them."""
 
     def __init__(self, path: str):
+        self.path = path
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
-        code = byte_of()
-        raw = lambda s: bytes(code[c] for c in s)
         self.ids = {raw(s): i for s, i in spec["model"]["vocab"].items()}
-        pairs = [m.split(" ") if isinstance(m, str) else m for m in spec["model"]["merges"]]
-        self.ranks = {(raw(a), raw(b)): i for i, (a, b) in enumerate(pairs)}
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
         special = {i: s.encode() for s, i in self.special.items()}
         self.tokens = {i: b for b, i in self.ids.items()} | special
-        self.longest = max(map(len, self.ids))
         self.split_special = re.compile("(" + "|".join(map(re.escape, self.special)) + ")") if self.special else None
 
+    @cached_property
+    def pairs(self) -> dict[tuple[int, int], int]:
+        """(token, token) -> rank of their merge."""
+        with open(self.path, encoding="utf-8") as f:
+            merges = json.load(f)["model"]["merges"]
+        split = (m.split(" ") if isinstance(m, str) else m for m in merges)
+        return {(self.ids[raw(a)], self.ids[raw(b)]): rank for rank, (a, b) in enumerate(split)}
+
+    @cached_property
+    def made(self) -> dict[int, tuple[int, int, int]]:
+        """Token -> rank of the merge that makes it, and its parts."""
+        return {self.ids[self.tokens[a] + self.tokens[b]]: (rank, a, b) for (a, b), rank in reversed(self.pairs.items())}
+
+    @cached_property
+    def unclear(self) -> set[int]:
+        """Tokens that several merges make, and what is made of them."""
+        counts = Counter(self.ids[self.tokens[a] + self.tokens[b]] for a, b in self.pairs)
+        out = {t for t, n in counts.items() if n > 1}
+        for token, (_, a, b) in sorted(self.made.items(), key=lambda x: x[1][0]) if out else ():
+            if a in out or b in out:
+                out.add(token)
+        return out
+
     def merged(self, data: bytes) -> list[int]:
         """Byte-pair merging as defined: the lowest-ranked pair first, from the left."""
-        parts = [data[i:i + 1] for i in range(len(data))]
+        parts = [self.ids[data[i:i + 1]] for i in range(len(data))]
         while len(parts) > 1:
-            ranked = [self.ranks.get(p, 1 << 60) for p in zip(parts, parts[1:])]
+            ranked = [self.pairs.get(p, 1 << 60) for p in zip(parts, parts[1:])]
             best = min(ranked)
             if best == 1 << 60:
                 break
             out, i = [], 0
             while i < len(parts):
                 if i < len(ranked) and ranked[i] == best:
-                    out.append(parts[i] + parts[i + 1])
+                    out.append(self.ids[self.tokens[parts[i]] + self.tokens[parts[i + 1]]])
                     i += 2
                 else:
                     out.append(parts[i])
                     i += 1
             parts = out
-        return [self.ids[p] for p in parts]
+        return parts
 
 
 class TrieEncoder:
@@ -78,6 +109,14 @@ class TrieEncoder:
         self.vocabulary = vocabulary
         self.apart: dict[int, bool] = {}
 
+    @cached_property
+    def tails(self) -> dict[bytes, int]:
+        """Every end of a token, with the token's id if it is a whole one: a walk back from a place stops where no token goes on."""
+        ids = self.vocabulary.ids
+        out = {t[i:]: -1 for t in ids for i in range(1, len(t))}
+        out.update(ids)
+        return out
+
     def stays_apart(self, left: int, right: int) -> bool:
         """Whether merging the bytes of both tokens yields just these two; ``left`` -1 stands for the word's start."""
         key = left << 32 | right
@@ -85,16 +124,42 @@ class TrieEncoder:
         if known is None:
             if len(self.apart) >= 4 * KEPT:
                 self.apart.clear()
-            tokens = self.vocabulary.tokens
-            whole = tokens[right] if left < 0 else tokens[left] + tokens[right]
-            known = self.apart[key] = self.vocabulary.merged(whole) == ([right] if left < 0 else [left, right])
+            v = self.vocabulary
+            if left < 0:
+                known = v.merged(v.tokens[right]) == [right]
+            elif not self.stays_apart(-1, right):
+                known = False
+            elif left in v.unclear or right in v.unclear:
+                known = v.merged(v.tokens[left] + v.tokens[right]) == [left, right]
+            else:
+                known = self.never_met(left, right)
+            self.apart[key] = known
         return known
 
+    def never_met(self, left: int, right: int) -> bool:
+        """Undoes merges from the last one back. The neighbours at the border would have been merged if their pair comes before the
+        merge undone last; of equal ranks the one further left comes first."""
+        pairs, made = self.vocabulary.pairs, self.vocabulary.made
+        limit, alone = 1 << 60, (-1, 0, 0)
+        while True:
+            if pairs.get((left, right), limit) < limit:
+                return False
+            a, b = made.get(left, alone), made.get(right, alone)
+            if a[0] > b[0]:
+                limit, left = a[0], a[2]
+            elif b[0] >= 0:
+                limit, right = b[0] + 1, b[1]
+            else:
+                return True
+
     def last_token(self, word: bytes, end: int, states: list[int]) -> int:
-        ids = self.vocabulary.ids
-        for start in range(max(0, end - self.vocabulary.longest), end):
-            token = ids.get(word[start:end])
-            if token is not None and self.stays_apart(states[start], token):
+        tails, found, start = self.tails, [], end - 1
+        while start >= 0 and (token := tails.get(word[start:end])) is not None:
+            if token >= 0:
+                found.append((start, token))
+            start -= 1
+        for start, token in reversed(found):
+            if self.stays_apart(states[start], token):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
@@ -129,6 +194,15 @@ class ChunkEncoder:
         self.vocabulary = Vocabulary(path)
         self.trie = TrieEncoder(self.vocabulary)
         self.known: dict[str, bytes] = {}
+        self.held = 0
+
+    @cached_property
+    def pool(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """All tokens' bytes on end, where each begins and how long it is."""
+        tokens = self.vocabulary.tokens
+        sizes = np.zeros(max(tokens) + 1, np.int64)
+        sizes[list(tokens)] = [len(b) for b in tokens.values()]
+        return np.frombuffer(b"".join(tokens[i] for i in sorted(tokens)), np.uint8), sizes.cumsum() - sizes, sizes
 
     def cut(self, text: str) -> list[str]:
         special = self.vocabulary.special
@@ -143,16 +217,19 @@ class ChunkEncoder:
     def learn(self, chunks: set[str]) -> None:
         words = {c: WORD.findall(c) for c in chunks}
         ids = self.trie.encode({w.encode() for ws in words.values() for w in ws})
-        blob = {w: np.array(i, "<u4").tobytes() for w, i in ids.items()}
+        blob = {w: struct.pack(f"<{len(i)}I", *i) for w, i in ids.items()}
         self.known.update((c, b"".join([blob[w.encode()] for w in ws])) for c, ws in words.items())
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self.cut(t) if t else [] for t in texts]
         rows = [list(map(self.known.get, c)) for c in cut]
-        gaps = [[i for i, x in enumerate(row) if x is None] for row in rows]
+        gaps = [[i for i, x in enumerate(row) if x is None] if None in row else [] for row in rows]
         missing = {c[i] for c, gap in zip(cut, gaps) for i in gap}
-        if len(self.known) + len(missing) > KEPT:
+        new = sum(map(len, missing)) * 4 + ENTRY * len(missing)
+        if self.held + new > KEPT_BYTES:
             self.known.clear()
+            self.held = 0
+        self.held += new
         special = self.vocabulary.special
         for s in missing & special.keys():
             self.known[s] = np.array([special[s]], "<u4").tobytes()
@@ -163,7 +240,13 @@ class ChunkEncoder:
         return [b"".join(row) for row in rows]
 
     def decode(self, ids: bytes) -> str:
-        return b"".join(map(self.vocabulary.tokens.__getitem__, np.frombuffer(ids, "<u4").tolist())).decode("utf-8", "replace")
+        pool, begin, size = self.pool
+        every, out = np.frombuffer(ids, "<u4"), []
+        for some in (every[i:i + 50_000] for i in range(0, len(every), 50_000)):
+            n = size[some]
+            ends = n.cumsum()
+            out.append(pool[np.repeat(begin[some] - ends + n, n) + np.arange(ends[-1])].tobytes())
+        return b"".join(out).decode("utf-8", "replace")
 
 
 def encoder(path: str, kind: type = ChunkEncoder) -> ChunkEncoder:

@@ -1,4 +1,6 @@
 """Encoding, decoding and packing against the tokenizer library."""
+import itertools
+import json
 import random
 import zlib
 
@@ -32,6 +34,7 @@ def test_trie_equals_library_on_edge_cases_and_random_texts():
 
 def test_forgetting_changes_nothing(monkeypatch):
     monkeypatch.setattr(byte_bpe, "KEPT", 3)
+    monkeypatch.setattr(byte_bpe, "KEPT_BYTES", 1000)
     enc = byte_bpe.ChunkEncoder(PATH)
     for _ in range(2):
         assert [np.frombuffer(x, "<u4").tolist() for x in enc.encode(TEXTS)] == [expected(t) for t in TEXTS]
@@ -97,3 +100,28 @@ def test_targets_hold_until_a_queue_is_dry(documents):
 
 def test_empty_table_packs_to_nothing(documents):
     assert packing.pack(documents((1, "x")).limit(0), PATH).count() == 0
+
+
+def test_neighbours_that_stay_apart():
+    """Undoing merges from the last one back says the same as merging anew."""
+    v = byte_bpe.Vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    trie, rng = byte_bpe.TrieEncoder(v), random.Random(3)
+    short = [i for i, t in v.tokens.items() if len(t) <= 3 and i in v.made]
+    apart = 0
+    for k in range(4000):
+        a, b = rng.choice(short), rng.choice(short if k % 3 else list(v.made))
+        want = v.merged(v.tokens[a] + v.tokens[b]) == [a, b]
+        assert trie.stays_apart(a, b) == want
+        apart += want
+    assert 0 < apart < 4000
+
+
+def test_a_vocabulary_with_two_ways_to_a_token(tmp_path):
+    """abc is made of a and bc, and of ab and c; the tables say so and merging itself decides."""
+    tokens = [*sorted(byte_bpe.byte_of(), key=byte_bpe.byte_of().get), "bc", "ab", "abc"]
+    spec = {"model": {"vocab": {t: i for i, t in enumerate(tokens)}, "merges": ["b c", "a bc", "a b", "ab c"]}, "added_tokens": []}
+    (tmp_path / "v.json").write_text(json.dumps(spec))
+    v = byte_bpe.Vocabulary(str(tmp_path / "v.json"))
+    words = {bytes(w, "ascii") for n in range(1, 7) for w in map("".join, itertools.product("abc", repeat=n))}
+    assert v.unclear == {v.ids[b"abc"]}
+    assert byte_bpe.TrieEncoder(v).encode(words) == {w: v.merged(w) for w in words}
