@@ -1,14 +1,18 @@
 """License scanning by conditional compression.
 
 A block of text is compressed alone and with each license template as the
-dictionary of zstandard. What a template saves, as a share of the block's own
-size, ranks the templates: text that repeats the template costs almost nothing.
-The best ones are confirmed by the exact difference of the wordings.
+dictionary of zstandard, in overlapping windows of a few templates' length, so
+that the dictionary stays in reach in a block of any size. What a template saves
+ranks the templates: text that repeats the template costs almost nothing. They
+are confirmed in that order by the exact difference of the wordings, wherever a
+run of words stands that no allowed difference can break up. Little saved alone
+rules nothing out: a short notice beside long lines saves little.
 """
 from __future__ import annotations
 
 import math
 import re
+from bisect import bisect_left, insort
 from collections.abc import Iterator
 from dataclasses import dataclass
 from difflib import SequenceMatcher
@@ -70,9 +74,9 @@ WORD = re.compile(r"\w+(?:[.\-]\w+)*")
 NAMING = re.compile(r"\d|\b(?:affero|lesser|noncommercial|sharealike|noderiv\w*|nc|sa|nd)\b")  # a difference in these is another license
 BESIDE = 4  # lines before and after one with a cue that belong to its block
 LINE = 200  # characters of a line that may go on a notice from the line beside it; longer ones are prose
-SAVED = 0.15  # of its own compressed size that a template has to save before wordings are compared
+WINDOW = 4  # of the longest template's words that are compressed together; windows overlap by one such length
 AGREE = 0.9  # of a template's words, in order, that a block has to hold
-KEPT = 100_000  # blocks that a worker remembers
+KEPT = 32_000_000  # characters of blocks that a worker remembers
 
 
 @dataclass(frozen=True)
@@ -89,6 +93,7 @@ class Template:
 _plain: list[zstandard.ZstdCompressor] = []
 _templates: dict[str, list[Template]] = {}
 _known: dict[str, list[tuple]] = {}
+_held = [0]  # characters of the blocks in _known
 
 
 def plain(text: str) -> str:
@@ -111,6 +116,7 @@ def templates(texts: dict[str, list[str]]) -> list[Template]:
     if key not in _templates:
         _templates.clear()
         _known.clear()
+        _held[0] = 0
         _plain[:] = [zstandard.ZstdCompressor(level=9)]
         made = []
         for name, variants in texts.items():
@@ -171,21 +177,53 @@ def confirmed(words: list[str], t: Template) -> tuple[float, int, int, list[str]
     return share, first, last, [w for i, w in enumerate(t.words) if i not in kept], [w for i, w in enumerate(words[first:last], first) if i not in used]
 
 
-def notices(words: list[str], t: Template) -> Iterator[tuple[float, int, int, list[str], list[str]]]:
+Place = tuple[int, int]  # where a run begins in the text and in the template
+
+
+def anchored(words: list[str], all_templates: list[Template]) -> dict[int, list[Place]]:
+    """For each template, by its number, where its runs stand in ``words``."""
+    out: dict[int, list[Place]] = {}
+    for run in {t.run for t in all_templates}:
+        begins: dict[tuple[str, ...], list[Place]] = {}
+        for i, t in enumerate(all_templates):
+            if t.run == run:
+                for key, at in t.runs.items():
+                    begins.setdefault(key, []).extend((i, a) for a in at)
+        first = {key[0] for key in begins}
+        for b, w in enumerate(words):
+            if w in first:
+                for i, a in begins.get(tuple(words[b:b + run]), ()):
+                    out.setdefault(i, []).append((b, a))
+    return out
+
+
+def notices(words: list[str], t: Template, places: list[Place]) -> Iterator[tuple[float, int, int, list[str], list[str]]]:
     """Every copy of the template in ``words``: each place where a run of it stands is confirmed by itself, in a window of one copy's length."""
     at, tried = 0, set()
-    for b in range(len(words) - t.run + 1):
-        for a in t.runs.get(tuple(words[b:b + t.run]), ()):
-            if b < at:
-                break  # part of the copy before
-            low = max(at, b - a - t.slack)
-            if (low, b - a) in tried:
-                continue
-            tried.add((low, b - a))
-            c = confirmed(words[low:b - a + len(t.words) + t.slack], t)
-            if c and len(c[4]) <= t.slack and not NAMING.search(" ".join(c[3] + c[4])):
-                yield c[0], low + c[1], low + c[2], c[3], c[4]
-                at = low + c[2]
+    for b, a in places:
+        if b < at:
+            continue  # part of the copy before
+        low = max(at, b - a - t.slack)
+        if (low, b - a) in tried:
+            continue
+        tried.add((low, b - a))
+        c = confirmed(words[low:b - a + len(t.words) + t.slack], t)
+        if c and len(c[4]) <= t.slack and not NAMING.search(" ".join(c[3] + c[4])):
+            yield c[0], low + c[1], low + c[2], c[3], c[4]
+            at = low + c[2]
+
+
+def savings(words: list[str], places: dict[int, list[Place]], all_templates: list[Template]) -> tuple[int, dict[int, list[tuple[int, int]]]]:
+    """The step between windows, and for each window in which a run stands what (each template saves, the window costs alone)."""
+    longest = max(len(t.words) + 2 * t.slack for t in all_templates)
+    step = (WINDOW - 1) * longest
+    last = max(0, -(-(len(words) - longest) // step) - 1)  # the window that reaches the end
+    out: dict[int, list[tuple[int, int]]] = {}
+    for at in sorted({min(b // step, last) for found in places.values() for b, _ in found}):
+        data = " ".join(words[at * step:at * step + WINDOW * longest]).encode()
+        alone = len(_plain[0].compress(data))
+        out[at] = [(alone - len(t.coder.compress(data)), alone) for t in all_templates]
+    return step, out
 
 
 def match(block: str, all_templates: list[Template]) -> list[tuple]:
@@ -193,26 +231,28 @@ def match(block: str, all_templates: list[Template]) -> list[tuple]:
     if block in _known:
         return _known[block]
     found: list[tuple] = [(m[1], m.start(), m.end(), 1.0, 1.0, [], []) for m in SPDX.finditer(block)]
-    places = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(block)]
-    words = [p[2] for p in places]
-    data = " ".join(words).encode()
-    alone = len(_plain[0].compress(data))
-    ranked = sorted(((alone - len(t.coder.compress(data))) / t.size, i) for i, t in enumerate(all_templates))
-    for gain, i in reversed(ranked):
+    spots = [(m.start(), m.end(), m[0].lower()) for m in WORD.finditer(block)]
+    words = [p[2] for p in spots]
+    places = anchored(words, all_templates)
+    step, saved = savings(words, places, all_templates) if places else (1, {})
+    best = {i: max(window[i][0] for window in saved.values()) / all_templates[i].size for i in places}
+    for i in sorted(places, key=lambda i: (-best[i], i)):
         t = all_templates[i]
-        if gain < SAVED:
-            break
-        saving = gain * t.size
-        for share, first, last, missing, added in notices(words, t):
-            found.append((t.license, places[first][0], places[last - 1][1], share, saving / alone, missing, added))
-    kept: list[tuple] = []
+        for share, first, last, missing, added in notices(words, t, places[i]):
+            saving, alone = max((saved[w][i] for w in (first // step - 1, first // step) if w in saved), key=lambda x: x[0] / x[1], default=(0, 1))
+            found.append((t.license, spots[first][0], spots[last - 1][1], share, saving / alone, missing, added))
+    kept: list[tuple] = []  # by place; they don't overlap
     for f in sorted(found, key=lambda f: (len(f[5]) + len(f[6]) > 0, -(f[2] - f[1]), len(f[5]) + len(f[6]), -f[4], f[0])):
-        if all(f[2] <= k[1] or f[1] >= k[2] for k in kept):
-            kept.append(f)
-    if len(_known) >= KEPT:
+        i = bisect_left(kept, f[1], key=lambda k: k[1])
+        if (i == 0 or kept[i - 1][2] <= f[1]) and (i == len(kept) or f[2] <= kept[i][1]):
+            insort(kept, f, key=lambda k: k[1])
+    _held[0] += len(block)
+    if _held[0] > KEPT:
         _known.clear()
-    _known[block] = sorted(kept, key=lambda f: f[1])
-    return _known[block]
+        _held[0] = len(block)
+    if len(block) <= KEPT:
+        _known[block] = kept
+    return kept
 
 
 def scan(docs: DataFrame, texts: dict[str, list[str]] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
