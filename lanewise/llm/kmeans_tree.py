@@ -23,7 +23,7 @@ SAMPLE = 16_384  # vectors that the tree is fitted on
 BRANCHES = 8
 LEAF = 128  # sample vectors below which a node isn't split
 PROBES = 256  # queries that calibrate the visits
-BLOCK = 4096  # vectors of a leaf, and queries to it, that one task compares
+BLOCK = 4096  # vectors of a leaf, and queries to it, that one group compares
 
 
 @dataclass
@@ -71,10 +71,10 @@ class Tree:
                 todo += [(child, rows[at == k]) for k, child in enumerate(node.children)]
         return out
 
-    def best_first(self, q: np.ndarray, most: int) -> list[int]:
-        """The first ``most`` leaves in the order of the queue."""
-        queue, order, count = [(-2.0, 0, self.root)], [], 0
-        while queue and len(order) < most:
+    def best_first(self, q: np.ndarray, most: int, holds: dict[int, int] | None = None, wanted: int = 0) -> list[int]:
+        """The first ``most`` leaves in the order of the queue, and as many more as hold ``wanted`` candidates together."""
+        queue, order, count, held = [(-2.0, 0, self.root)], [], 0, 0
+        while queue and (len(order) < most or held < wanted):
             _, _, node = heapq.heappop(queue)
             while node.leaf < 0:
                 near = node.centres @ q
@@ -85,6 +85,7 @@ class Tree:
                         heapq.heappush(queue, (-float(near[k]), count, child))
                 node = node.children[best]
             order.append(node.leaf)
+            held += holds.get(node.leaf, 0) if holds else 0
         return order
 
 
@@ -135,7 +136,7 @@ def search(table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97,
     """(query_id, rank, vec_id, score): for each row where ``is_query`` holds the ``k`` nearest other rows found.
 
     Score is the cosine in double precision, ties go to the smaller id. Null, zero, empty or non-finite vectors take no part,
-    as queries or candidates; with fewer than ``k`` candidates all are returned. Equal vectors are searched for
+    as queries or candidates; with fewer than ``k`` candidates all are returned, and a query whose leaves hold fewer goes on to others. Equal vectors are searched for
     once and found once, then stand for all their ids. A repeated id is a candidate to others once. Rows with a null id take no
     part, nor do vectors that haven't the most common length (of equals the smallest).
     """
@@ -157,26 +158,29 @@ def search(table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97,
     homes = saved(classes.mapInArrow(file, "v array<double>, ids array<bigint>, rep bigint, leaf int"))
     visits = calibrate(tree, homes, sample[:PROBES], k, recall) if len(sample) else 1
     # a leaf is split in blocks of about BLOCK vectors; at most one row for each leaf of the bounded tree
-    blocks = {r.leaf: -(-r["count"] // BLOCK) for r in homes.groupBy("leaf").count().collect()}
+    leaves = homes.groupBy("leaf").agg(F.count("*").alias("n"), F.sum(F.size("ids")).alias("ids")).collect()
+    holds = {r.leaf: r.ids for r in leaves}
     asked = saved(good.where("q").groupBy("v").agg(F.min("id").alias("asked")))
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for at in range(0, whole.num_rows, 256):
-                b = whole.slice(at, 256)
-                rows, leaves, parts = [], [], []
-                for i, q in enumerate(unit(matrix(b.column("v")))):
-                    for leaf in tree.best_first(q, visits):
-                        for part in range(blocks.get(leaf, 0)):
-                            rows.append(i), leaves.append(leaf), parts.append(part)
-                yield pa.RecordBatch.from_arrays(
-                    [*b.take(pa.array(rows, pa.int64())).columns, pa.array(leaves, pa.int32()), pa.array(parts, pa.int32())],
-                    names=["v", "asked", "leaf", "part"])
-
-    per_leaf = F.create_map(*[F.lit(x) for kv in blocks.items() for x in kv]) if blocks else F.create_map().cast("map<int,int>")
-    n = F.coalesce(per_leaf[F.col("leaf")], F.lit(1))
-    filed = homes.withColumn("part", F.pmod(F.xxhash64("rep"), n).cast("int")).select("leaf", "part", "v", "ids")
-    visiting = asked.mapInArrow(visit, "v array<double>, asked bigint, leaf int, part int")
+        for b in batches:
+            routes = [tree.best_first(q, visits, holds, k + 1) for q in unit(matrix(b.column("v")))] if b.num_rows else []
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(routes, pa.list_(pa.int32()))], names=["v", "asked", "leaves"])
+
+    routes = saved(asked.mapInArrow(visit, "v array<double>, asked bigint, leaves array<int>"))
+    calls = routes.select(F.explode("leaves").alias("leaf")).groupBy("leaf").agg(F.count("*").alias("n")).collect()
+
+    def blocks(counts: list) -> Column:
+        """Blocks of a leaf by its rows; 0 for one without."""
+        known = F.create_map(*[F.lit(x) for r in counts for x in (r.leaf, -(-r.n // BLOCK))]) if counts else F.create_map().cast("map<int,int>")
+        return F.coalesce(known[F.col("leaf")], F.lit(0))
+
+    # a group is one block of a leaf's vectors and one of the queries that visit it, so neither side grows with the table
+    filed = (homes.withColumn("part", F.pmod(F.xxhash64("rep"), F.greatest(blocks(leaves), F.lit(1))).cast("int")).withColumn("asking", blocks(calls))
+             .where("asking > 0").select("leaf", "part", F.explode(F.sequence(F.lit(0), F.col("asking") - 1)).alias("turn"), "v", "ids"))
+    visiting = (routes.select("v", "asked", F.explode("leaves").alias("leaf")).withColumn("parts", blocks(leaves)).where("parts > 0")
+                .withColumn("turn", F.pmod(F.xxhash64("asked"), F.greatest(blocks(calls), F.lit(1))).cast("int"))
+                .select("v", "asked", "leaf", "turn", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part")))
 
     def compare(queries: Iterator[pa.RecordBatch], vectors: pa.Table) -> Iterator[tuple]:
         v = matrix(vectors.column("v"))
@@ -189,14 +193,14 @@ def search(table: DataFrame, is_query: Column, k: int = 5, recall: float = 0.97,
                     yield asked_ids[i], names[at[j]], float(score[j])
 
     def both(left: pa.Table, right: pa.Table) -> pa.Table:
-        """Queries and vectors that meet in a block of a leaf; queries come in parts, so their number is no matter."""
+        """Queries and vectors that meet in a leaf, a block of each; the scores of 512 queries are in memory at a time."""
         fields = pa.schema([("asked", pa.int64()), ("ids", pa.list_(pa.int64())), ("score", pa.float64())])
         if not left.num_rows or not right.num_rows:
             return fields.empty_table()
         parts = ((matrix(p.column("v")), p.column("asked").to_pylist()) for p in left.to_batches(max_chunksize=512))
         return pa.Table.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*compare(parts, right)), fields)], schema=fields)
 
-    found = (visiting.groupBy("leaf", "part").cogroup(filed.groupBy("leaf", "part"))
+    found = (visiting.groupBy("leaf", "part", "turn").cogroup(filed.groupBy("leaf", "part", "turn"))
              .applyInArrow(both, "asked bigint, ids array<bigint>, score double"))
     # of one query's finds k + 1 ids remain, as one of them may be the query's own
     wide = found.select("asked", "score", F.explode("ids").alias("vec_id"))

@@ -55,6 +55,52 @@ def test_range_join_equals_all_pairs(spark, monkeypatch, small):
     assert metric_join.near_duplicates(table.limit(0)).count() == 0
 
 
+def test_groups_of_both_operators_stay_bounded(spark, monkeypatch):
+    """Vectors that pivots hardly separate, and leaves that every query visits: no side of a group grows with the table."""
+    monkeypatch.setattr(metric_join, "CELL", 40)
+    monkeypatch.setattr(metric_join, "BLOCK", 32)
+    monkeypatch.setattr(kmeans_tree, "BLOCK", 32)
+    rng = np.random.default_rng(5)
+    v = rng.standard_normal((600, 16)).astype(np.float32)
+    v[300:330] = v[0:30] + 0.01
+    rows = [(i, v[i].tolist(), 1) for i in range(600)]
+    table = spark.createDataFrame(rows, SCHEMA)
+    seen = spark.sparkContext.accumulator(0)
+    plain_link, plain_short = metric_join.link, kmeans_tree.shortlist
+
+    def link(left, right, similarity):
+        assert len(left) <= 3 * 32 and len(right) <= 3 * 32, (len(left), len(right))  # hashing isn't even
+        seen.add(1)
+        return plain_link(left, right, similarity)
+
+    def shortlist(q, w, k):
+        if k == 6 and len(w) != 256:  # not the calibration
+            assert len(w) <= 3 * 32 and len(q) <= 3 * 32, (len(q), len(w))
+            seen.add(1)
+        return plain_short(q, w, k)
+
+    monkeypatch.setattr(metric_join, "link", link)
+    got = {r.vec_id: (r.n_links, r.component_id) for r in metric_join.near_duplicates(table, 0.93).collect()}
+    assert got == all_pairs(rows, 0.93) and sum(x > 0 for x, _ in got.values()) >= 60
+    assert seen.value > 10
+    before = seen.value
+    monkeypatch.setattr(kmeans_tree, "calibrate", lambda *a: 10 ** 6)  # every query visits every leaf
+    monkeypatch.setattr(kmeans_tree, "shortlist", shortlist)
+    found = kmeans_tree.search(table, F.lit(True)).collect()
+    assert seen.value > before + 10
+    for query in (0, 300, 599):
+        assert [r.vec_id for r in sorted((r for r in found if r.query_id == query), key=lambda r: r.rank)] == [i for i, _ in nearest(rows, query, 5)]
+
+
+def test_leaves_with_few_candidates_are_not_the_end(spark, monkeypatch):
+    monkeypatch.setattr(kmeans_tree, "LEAF", 4)
+    monkeypatch.setattr(kmeans_tree, "BRANCHES", 4)
+    monkeypatch.setattr(kmeans_tree, "calibrate", lambda *a: 1)
+    rows = [(i, x.tolist(), 0) for i, x in enumerate(clustered(120))]
+    got = kmeans_tree.search(spark.createDataFrame(rows, SCHEMA), F.col("vec_id") % 50 == 0).collect()
+    assert sorted((r.query_id, r.rank) for r in got) == [(q, i) for q in (0, 50, 100) for i in range(1, 6)]
+
+
 def test_repeated_rows_of_an_id_are_all_kept(spark):
     table = spark.createDataFrame([(1, [1.0, 0.0], 1), (1, [1.0, 0.0], 1), (2, [1.0, 0.01], 1), (3, [0.0, 1.0], 1)], SCHEMA)
     rows = metric_join.near_duplicates(table).collect()
