@@ -23,7 +23,7 @@ from lanewise.llm.vectors import matrix, unit, usable
 SAMPLE = 4096  # vectors that pivots are chosen from
 CELL = 4096  # vectors to a cell that the number of pivots aims at
 PIVOTED = 200  # labels, the largest, that get pivots
-BLOCK = 2048  # vectors that a task compares with as many others
+BLOCK = 2048  # vectors of a cell that a group compares with as many of the copies in it
 SLACK = 1e-9
 
 
@@ -110,44 +110,41 @@ def near_duplicates(table: DataFrame, similarity: float = 0.93, id_col: str = "v
     kind = "key bigint, rep bigint, n bigint, v array<double>, cell int, away double"
     homes = saved(classes.select("key", "rep", "n", "v").mapInArrow(home, kind))
     held = homes.groupBy("key", "cell").agg(F.count("*").alias("size"), F.max("away").alias("reach"))
-    large = held.where(F.col("size") > BLOCK).collect()  # at most a row for every BLOCK vectors
     reach = {(r.key, r.cell): r.reach for r in held.where(F.col("key").isin(list(sizes))).collect()} if sizes else {}
-    blocks = {(r.key, r.cell): -(-r.size // BLOCK) for r in large}
 
-    def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Every vector once a home block as a partner, in all cells within reach; and once a partner block at home."""
+    def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The cells within reach of every vector, its own among them."""
         for b in batches:
-            keys, cells = b.column("key").to_pylist(), b.column("cell").to_pylist()
-            reps = b.column("rep").to_pylist()
-            near: list[list[int]] = [[c] for c in cells]
+            keys, own_cells = b.column("key").to_pylist(), b.column("cell").to_pylist()
+            near: list[list[int]] = [[c] for c in own_cells]
             for k in pivots.keys() & set(keys):
                 at = np.flatnonzero(np.array(keys) == k)
                 p = pivots[k]
                 d = distances(unit(matrix(b.column("v").take(pa.array(at)))), p)
-                mine = np.array(cells)[at]
+                mine = np.array(own_cells)[at]
                 own = d[np.arange(len(at)), mine][:, None]
                 between = distances(p, p)[mine]
                 plane = (d * d - own * own) / np.maximum(2 * between, 1e-300)
                 bound = np.maximum(np.maximum((d - own) / 2, np.where(between > 0, plane, 0)), d - np.array([reach.get((k, c), -9.0) for c in range(len(p))]))
                 for row, i in zip(bound <= radius + SLACK, at):
-                    near[i] = sorted({*np.flatnonzero(row).tolist(), cells[i]})
-            index, cell, hb, pb, side = [], [], [], [], []
-            for i, (k, c, rep) in enumerate(zip(keys, cells, reps)):
-                for x in near[i]:
-                    n = blocks.get((k, x), 1)
-                    mine = (rep * 2654435761 >> 8) % n
-                    for h in range(n):
-                        index.append(i), cell.append(x), hb.append(h), pb.append(mine), side.append(1)
-                        if x == c:
-                            index.append(i), cell.append(x), hb.append(mine), pb.append(h), side.append(0)
-                if len(index) > 50_000 or i == len(keys) - 1:
-                    part = pa.RecordBatch.from_pydict({c: b.column(c) for c in ("key", "rep", "n", "v")}).take(pa.array(index, pa.int64()))
-                    yield pa.RecordBatch.from_arrays(
-                        [*part.columns, *(pa.array(x, pa.int32()) for x in (cell, hb, pb, side))],
-                        names=["key", "rep", "n", "v", "cell", "hb", "pb", "side"])
-                    index, cell, hb, pb, side = [], [], [], [], []
-
-    dealt = homes.mapInArrow(copies, "key bigint, rep bigint, n bigint, v array<double>, cell int, hb int, pb int, side int")
+                    near[i] = sorted({*np.flatnonzero(row).tolist(), own_cells[i]})
+            yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("key", "rep", "n", "v", "cell")), pa.array(near, pa.list_(pa.int32()))],
+                                             names=["key", "rep", "n", "v", "home", "near"])
+
+    reaching = saved(homes.mapInArrow(cells, "key bigint, rep bigint, n bigint, v array<double>, home int, near array<int>"))
+    # vectors at home in a cell and copies in it, each cut in blocks of their own
+    split = lambda c: F.ceil(F.col(c) / BLOCK).cast("int")
+    crowds = (reaching.select("key", F.explode("near").alias("cell"), "home").groupBy("key", "cell")
+              .agg(F.count("*").alias("copies"), F.count_if(F.col("cell") == F.col("home")).alias("homes"))
+              .where("homes > 0").select("key", "cell", split("homes").alias("hbs"), split("copies").alias("pbs")))
+    crowds = saved(crowds)
+    at = lambda c: F.pmod(F.xxhash64("rep"), F.col(c)).cast("int")
+    each = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    row = ["key", "rep", "n", "v", "cell"]
+    met = reaching.select("key", "rep", "n", "v", "home", F.explode("near").alias("cell")).join(crowds, ["key", "cell"])
+    partners = met.select(*row, each("hbs").alias("hb"), at("pbs").alias("pb"), F.lit(1).alias("side"))
+    askers = met.where("cell = home").select(*row, at("hbs").alias("hb"), each("pbs").alias("pb"), F.lit(0).alias("side"))
+    dealt = partners.unionByName(askers)
 
     def join(t: pa.Table) -> pa.Table:
         side = np.array(t.column("side"))
