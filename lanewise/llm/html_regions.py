@@ -3,8 +3,9 @@
 Parser events become lines, one per block of text. A line's ratio is its text
 outside links over its tags; the ratios are smoothed with a Gaussian kernel and
 split in two clusters by a threshold. The lines above it vote for the region of
-the page that holds them, and that region is the result but for parts that are
-furniture by their element, role or class.
+the page that holds them. Parts that are furniture by their element, role or
+class stay out; where such a name may as well be the topic of the text, as in
+"share-price" or "related-work", the cluster of the part's lines decides.
 """
 from __future__ import annotations
 
@@ -36,18 +37,35 @@ commentlist consent cookie cookies copyright disqus footer gdpr masthead menu me
 notices notification outbrain pager pagination popup promo promos promotion recommended related replies reply respond share sharing
 sidebar sidebars signup skip social sponsor sponsored subscribe subscription taboola toolbar widget widgets""".split())
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
+HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
+PHRASES = set("p blockquote figcaption caption pre li dt dd td th".split())  # elements whose names often tell what the text is about
+NO, DOUBTFUL, YES = range(3)
 
 
-def named_furniture(attrs: dict[str, str | None], names: set[str]) -> bool:
+def marked(value: str | None, names: set[str]) -> int:
+    """What the names in a class or id say: YES where all parts of one are furniture, DOUBTFUL where its first or last part is."""
+    out = NO
+    for name in (value or "").split():
+        parts = [p.lower() for p in PART.findall(name) if not p.isdigit()]
+        if parts and (parts[0] in names or parts[-1] in names):
+            out = max(out, YES if all(p in names for p in parts) else DOUBTFUL)
+    return out
+
+
+def named_furniture(tag: str, attrs: dict[str, str | None], names: set[str], inside: bool) -> int:
     if (attrs.get("role") or "").strip().lower() in ROLES or "hidden" in attrs or (attrs.get("aria-hidden") or "").lower() == "true":
-        return True
+        return YES
     if re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", attrs.get("style") or "", re.I):
-        return True
-    for name in f"{attrs.get('class') or ''} {attrs.get('id') or ''}".split():
-        parts = [p.lower() for p in PART.findall(name)]
-        if parts and (parts[0] in names or parts[-1] in names):
-            return True
-    return False
+        return YES
+    by_class, by_id = marked(attrs.get("class"), names), marked(attrs.get("id"), names)
+    if tag in HEADINGS:  # ids are made from their words
+        return YES if by_class == YES else NO
+    if tag in PHRASES:
+        return max(by_class, min(by_id, DOUBTFUL))
+    if inside and tag in ("ul", "ol") and not by_id and set((attrs.get("class") or "").lower().split()) in ({"menu"}, {"menus"}):
+        return DOUBTFUL  # of links or of meals
+    # a class is given by the site, an id of a part of the article may be made from its heading
+    return max(YES if by_class else NO, by_id if inside else YES if by_id else NO)
 
 
 @dataclass
@@ -56,6 +74,7 @@ class Node:
     parent: "Node | None"
     furniture: bool
     depth: int
+    doubt: "Node | None" = None  # the outermost element around with a doubtful name
 
 
 @dataclass
@@ -122,10 +141,13 @@ class Lines(HTMLParser):
         inside = self.find({"article", "main"}) is not None
         given = dict(attrs)
         names = NAMES if inside else NAMES | {"header"}  # an article's own header holds its title
-        furniture = (self.node.furniture or tag in SKIPPED or tag in FURNITURE or tag == "header" and not inside
-                     or tag not in ("html", "body", "main") and (tag != "article" or inside) and named_furniture(given, names))
+        by_name = NO if tag in ("html", "body", "main") or tag == "article" and not inside else named_furniture(tag, given, names, inside)
+        quoted = tag == "aside" and inside and any("quote" in p for p in PART.findall((given.get("class") or "").lower()))  # a pull quote
+        furniture = self.node.furniture or tag in SKIPPED or tag in FURNITURE and not quoted or tag == "header" and not inside or by_name == YES
         self.tags = 1
-        self.node = Node(tag, self.node, furniture, self.node.depth + 1)
+        self.node = Node(tag, self.node, furniture, self.node.depth + 1, self.node.doubt)
+        if self.node.doubt is None and (by_name == DOUBTFUL or quoted):
+            self.node.doubt = self.node
 
     def handle_startendtag(self, tag: str, attrs: list) -> None:
         if tag in VOID:
@@ -178,6 +200,22 @@ def chain(node: Node) -> list[Node]:
     return out
 
 
+def cleared(lines: list[Line], ratio: np.ndarray, own: np.ndarray, cut: float) -> tuple[list[Line], np.ndarray]:
+    """The lines without the elements of a doubtful name whose text stands mostly in links or, but for lists, on average in the lower cluster.
+
+    Smoothing shall lift short lines between long ones, not lower a long one between links: the higher of both ratios counts.
+    """
+    sums: dict[int, np.ndarray] = {}
+    for x, r in zip(lines, np.maximum(ratio, own)):
+        if x.node.doubt is not None:
+            n = len(x.text)
+            low = n * (r - cut) if x.node.doubt.tag not in ("ul", "ol") else 0  # items of any list are short
+            sums[id(x.node.doubt)] = sums.get(id(x.node.doubt), 0) + np.array([n, low, x.linked])
+    out = {k for k, (n, low, linked) in sums.items() if low < 0 or 2 * linked > n}
+    stay = [x.node.doubt is None or id(x.node.doubt) not in out for x in lines]
+    return [x for x, s in zip(lines, stay) if s], ratio[stay]
+
+
 def main_text(html: str | None) -> str:
     """The blocks of the main text, one a line; empty for a null or empty page and for one without content."""
     parser = Lines()
@@ -187,17 +225,23 @@ def main_text(html: str | None) -> str:
     lines = parser.lines
     if not lines:
         return ""
-    ratio = smoothed(np.array([max(0, len(x.text) - x.linked) / x.tags for x in lines]))
-    cut = threshold(ratio)
+    own = np.array([max(0, len(x.text) - x.linked) / x.tags for x in lines])
+    ratio = smoothed(own)
+    cut = float(np.expm1(threshold(np.log1p(ratio))))  # by orders of size: long paragraphs shall not push shorter ones to the links
+    lines, ratio = cleared(lines, ratio, own, cut)
     voters = [x for x, r in zip(lines, ratio) if r >= cut] or lines
     # content elements that hold a voter, the outermost of each nest; else the deepest node with most of the votes
-    regions: set[int] = set()
+    votes: dict[int, list[int]] = {}  # per outermost element its votes in articles and beside them, in characters
+    places: dict[int, list[Node]] = {}
     for x in voters:
-        marked = [n for n in chain(x.node) if n.tag in ("article", "main")]
-        articles = [n for n in marked if n.tag == "article"]
-        if marked:
-            regions.add(id(articles[-1] if articles else marked[-1]))
-    if regions:
+        content = [n for n in chain(x.node) if n.tag in ("article", "main")]
+        if content:
+            articles = [n for n in content if n.tag == "article"]
+            votes.setdefault(id(content[-1]), [0, 0])[0 if articles else 1] += len(x.text)
+            places.setdefault(id(content[-1]), []).append(articles[-1] if articles else content[-1])
+    if votes:
+        # of a main element the articles are the content, unless more text stands beside them
+        regions = {n for k, (within, beside) in votes.items() for n in ([k] if beside > within else map(id, places[k]))}
         return "\n".join(x.text for x in lines if any(id(n) in regions for n in chain(x.node)))
     total, weight, seen = 0, {}, {}
     for x in voters:
