@@ -7,8 +7,8 @@ from ..constants import Conflict
 from ..functions import geometry as G
 from . import timeseries as ts
 from .sweep import frame_neighbours, ground_distance
-from .slices import SLICE_US, own_rows, slice_rows
-from .tracks import MAX_HOLE, pedestrians, vehicle_tracks
+from .slices import SLICE_US, lag_in_slices, own_rows, running_sums, slice_rows
+from .tracks import KEY, MAX_HOLE, pedestrians, vehicle_tracks
 
 PAIR = ["video_id", "a_id", "b_id"]
 
@@ -85,21 +85,20 @@ def unwrap_column(rows: DataFrame, heading: str, by: list[str], name: str) -> Da
     return rows.withColumn(name, F.col(heading) + total).drop("_p", "_fix")
 
 
-def unwrap_heading(samples: DataFrame, min_speed: float = 0.0, exclude=None, slice_us: int = SLICE_US,
-                   keep_slices: bool = False) -> DataFrame:
-    """Moving samples with their heading made continuous (``theta``)."""
+def unwrap_heading(samples: DataFrame, min_speed: float = 0.0, exclude=None, slice_us: int = SLICE_US) -> DataFrame:
+    """Moving samples with their heading made continuous (``theta``): whole turns are a running sum, so slices compose."""
     ok = F.col("heading").isNotNull() & (F.col("speed") >= min_speed)
     if exclude is not None:
         ok = ok & ~exclude
-    moving = samples.filter(ok)
-    return unwrap_column(moving, "heading", ["video_id", "track_id"], "theta")
+    moving = lag_in_slices(samples.filter(ok), KEY, {"_before": "heading"}, ["t_us"], slice_us=slice_us)
+    fix = ts.turn_fix(F.col("heading"), F.col("_before"))
+    turned = running_sums(moving, KEY, {"_turns": fix}, ["t_us"], F.floor(F.col("t_us") / slice_us))
+    return turned.withColumn("theta", F.col("heading") + F.col("_turns")).drop("_before", "_turns")
 
 
-def with_swerve(rows: DataFrame, who: str, by: list[str], all_rows: list[str]) -> DataFrame:
-    """|dθ/dt| of one member: missing headings take the mean over the common samples."""
-    h = f"{who}_heading"
-    fill = F.coalesce(F.col(h), F.avg(h).over(Window.partitionBy(*all_rows)), F.lit(0.0))
-    rows = rows.withColumn("_h", fill)
+def with_swerve(rows: DataFrame, who: str, by: list[str]) -> DataFrame:
+    """|dθ/dt| of one member: missing headings take ``<who>_mean``, its mean over the common samples."""
+    rows = rows.withColumn("_h", F.coalesce(F.col(f"{who}_heading"), F.col(f"{who}_mean"), F.lit(0.0)))
     rows = unwrap_column(rows, "_h", by, "_u")
     return rows.withColumn(f"{who}_rate", F.abs(ts.gradient(F.col("_u"), by))).drop("_h", "_u")
 

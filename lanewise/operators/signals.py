@@ -3,10 +3,12 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from ..constants import MIN_LIT_PX, SIGNAL_STATES
 from ..functions.motion import hsv
+from ..session import sized
 from .intervals import US, points_in
 from .slices import SLICE_US, own_rows, running_sums, slice_rows
 
 HEAD = ["video_id", "head"]
+GRID = 32         # pixels a cell
 
 
 def head_state(pixels: DataFrame, heads: DataFrame) -> DataFrame:
@@ -14,13 +16,17 @@ def head_state(pixels: DataFrame, heads: DataFrame) -> DataFrame:
 
     ``pixels``: video_id, frame_idx, x, y, r, g, b. A pixel belongs to a head
     when it lies in its box (floor of the near corner, ceiling of the far one).
+    Boxes are copied to the cells of ``GRID`` pixels they touch, so a pixel meets the heads of its cell only.
     """
     x1, y1 = (F.greatest(F.lit(0), F.floor(c).cast("int")) for c in ("x1", "y1"))
     box = heads.select("video_id", "head", "kind", x1.alias("bx1"), y1.alias("by1"),
                        F.ceil("x2").alias("bx2"), F.ceil("y2").alias("by2"))
+    cells = lambda lo, hi: F.explode(F.sequence(F.floor(F.col(lo) / GRID), F.floor((F.col(hi) - 1) / GRID)))
+    box = (box.filter("bx1 < bx2 AND by1 < by2").withColumn("_gx", cells("bx1", "bx2")).withColumn("_gy", cells("by1", "by2")))
     inside = (F.col("x") >= F.col("bx1")) & (F.col("x") < F.col("bx2")) & (F.col("y") >= F.col("by1")) & (F.col("y") < F.col("by2"))
     c = hsv(F.col("r"), F.col("g"), F.col("b"))
-    lit = pixels.withColumn("c", c).join(box, "video_id").filter(inside)
+    placed = pixels.withColumns({"_gx": F.floor(F.col("x") / GRID), "_gy": F.floor(F.col("y") / GRID)})
+    lit = placed.join(sized(box), ["video_id", "_gx", "_gy"]).filter(inside).withColumn("c", c)
     on = (F.col("c.v") >= 90) & (F.col("c.s") >= 120)
     h = F.col("c.h")
     n = (lit.groupBy("video_id", "frame_idx", "head", "kind").agg(

@@ -43,6 +43,27 @@ def lag_in_slices(df: DataFrame, keys: list[str], cols: dict[str, str], order: l
     return joined.select(*df.columns, *[prev[n].alias(n) for n in cols])
 
 
+def neighbours_in_slices(df: DataFrame, keys: list[str], cols: list[str], lows: list[str] = (),
+                         t: str = "t_us", slice_us: int = SLICE_US) -> DataFrame:
+    """``_prev`` and ``_next``: ``t`` and ``cols`` of the rows before and after over ``keys``, and ``_low_x``: the least ``x`` of all rows before.
+
+    Plain windows inside a slice; what lies beyond its borders comes from a table with a row per slice. ``t`` is unique per key.
+    """
+    sliced = df.withColumn("slice", F.floor(F.col(t) / slice_us))
+    w = Window.partitionBy(*keys, "slice").orderBy(t)
+    earlier = w.rowsBetween(Window.unboundedPreceding, -1)
+    row = F.struct(t, *cols)
+    body = sliced.withColumns({"_prev": F.lag(row).over(w), "_next": F.lead(row).over(w)} | {f"_low_{c}": F.min(c).over(earlier) for c in lows})
+    by_slice = Window.partitionBy(*keys).orderBy("slice")
+    before = by_slice.rowsBetween(Window.unboundedPreceding, -1)
+    ends = (sliced.groupBy(*keys, "slice").agg(F.min(row).alias("_head"), F.max(row).alias("_tail"), *[F.min(c).alias(f"_least_{c}") for c in lows])
+            .select(*keys, "slice", F.lag("_tail").over(by_slice).alias("_before"), F.lead("_head").over(by_slice).alias("_after"),
+                    *[F.min(f"_least_{c}").over(before).alias(f"_below_{c}") for c in lows]))
+    joined = body.join(ends, [*keys, "slice"])
+    return joined.select(*df.columns, F.coalesce("_prev", "_before").alias("_prev"), F.coalesce("_next", "_after").alias("_next"),
+                         *[F.least(f"_low_{c}", f"_below_{c}").alias(f"_low_{c}") for c in lows])
+
+
 def prefix_in_slices(df: DataFrame, keys: list[str], value: Column, how: str, order: list[str],
                      name: str, slice_expr: Column) -> DataFrame:
     """Inclusive running ``sum`` or ``max`` in two levels: inside a slice, plus the totals before it."""

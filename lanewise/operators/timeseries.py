@@ -57,8 +57,16 @@ def gradient(x: Column, by: list[str]) -> Column:
     """Second-order difference on uneven steps, one-sided at the ends."""
     w = win(by)
     t = F.col("t_us").cast("double") / US
-    hs, hd = t - F.lag(t).over(w), F.lead(t).over(w) - t
-    xp, xn = F.lag(x).over(w), F.lead(x).over(w)
+    return _slope(x, t - F.lag(t).over(w), F.lead(t).over(w) - t, F.lag(x).over(w), F.lead(x).over(w))
+
+
+def gradient_between(x: str) -> Column:
+    """``gradient`` of column ``x`` from the structs ``_prev`` and ``_next`` of its neighbours."""
+    t = F.col("t_us").cast("double") / US
+    return _slope(F.col(x), t - F.col("_prev.t_us") / US, F.col("_next.t_us") / US - t, F.col(f"_prev.{x}"), F.col(f"_next.{x}"))
+
+
+def _slope(x: Column, hs: Column, hd: Column, xp: Column, xn: Column) -> Column:
     mid = (hs * hs * xn + (hd * hd - hs * hs) * x - hd * hd * xp) / (hs * hd * (hd + hs))
     return (F.when(hs.isNull() & hd.isNull(), F.lit(0.0)).when(hs.isNull(), (xn - x) / hd)
             .when(hd.isNull(), (x - xp) / hs).otherwise(mid))
