@@ -94,9 +94,9 @@ def risk_hold(spark, sf):
     return RK.risk_hold(_score(spark, sf), S.videos(spark, sf)).withColumn("pos", F.col("pos").cast("long"))
 
 
-@query("risk_reset", """SELECT video_id, track_id, COUNT(*) AS n FROM (SELECT *, t_us - LAG(t_us) OVER (PARTITION BY video_id, track_id ORDER BY t_us) AS gap FROM s_tracks WHERE frame_idx % 97 > 60) WHERE gap IS NULL OR gap > 4000000 GROUP BY 1, 2""", "s_tracks")
+@query("risk_reset", """SELECT video_id, track_id, COUNT(*) AS n FROM (SELECT *, at_us - LAG(at_us) OVER (PARTITION BY video_id, track_id ORDER BY at_us) AS gap FROM (SELECT *, t_us + FLOOR(frame_idx / (20 + track_id % 80)) * 4000000 AS at_us FROM s_tracks)) WHERE gap IS NULL OR gap > 4000000 GROUP BY 1, 2""", "s_tracks")
 def risk_reset(spark, sf):
-    return RK.first_category(S.tracks(spark, sf).filter("frame_idx % 97 > 60")).groupBy("video_id", "track_id").agg(F.count("*").alias("n"))
+    return RK.first_category(S.tracks(spark, sf).withColumn("t_us", F.expr("CAST(t_us + FLOOR(frame_idx / (20 + track_id % 80)) * 4000000 AS BIGINT)"))).groupBy("video_id", "track_id").agg(F.count("*").alias("n"))
 
 
 # ---- EDA --------------------------------------------------------------------
@@ -176,11 +176,11 @@ def stop_line_offset(spark, sf):
 
 @query("annotate_frames", f"""SELECT f.video_id, CAST(f.frame_idx AS BIGINT) AS frame_idx, s.track_id, {r('s.px', 3)} AS px, s.trail_points FROM
 (SELECT g.video_id, g.frame_idx, COALESCE((SELECT MIN(k.t_us) FROM smp k WHERE k.video_id = g.video_id AND k.t_us >= g.t_us), (SELECT MAX(k.t_us) FROM smp k WHERE k.video_id = g.video_id)) AS near_us, g.t_us
-FROM (SELECT * FROM frames WHERE frame_idx % 3 = 1) g) f JOIN (SELECT *, COUNT(*) OVER (PARTITION BY video_id, track_id ORDER BY t_us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW) AS trail_points FROM smp) s
+FROM frames g) f JOIN (SELECT *, COUNT(*) OVER (PARTITION BY video_id, track_id ORDER BY t_us RANGE BETWEEN 2000000 PRECEDING AND CURRENT ROW) AS trail_points FROM smp) s
 ON s.video_id = f.video_id AND s.t_us = near_us WHERE ABS(near_us - f.t_us) <= 200000""", "smp", "frames")
 def annotate_frames(spark, sf):
     an = S.analysis(spark, sf)
-    out = eda.annotate_frames(an.frames.filter("frame_idx % 3 = 1"), an.samples)
+    out = eda.annotate_frames(an.frames, an.samples)
     return rd(out.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "track_id", "px", "trail_points"), "px", n=3)
 
 

@@ -168,13 +168,13 @@ def road_depth(spark, sf):
 
 
 @query("transform_points", f"""SELECT video_id, {r('2e0 * 900 + 1e-1 * 0 + 5', 4)} AS x, {r('-1e-1 * 900 + 2e0 * 0 + n', 4)} AS y, n >= 25 AS registered FROM (
-SELECT video_id, COUNT(*) AS n FROM s_tracks WHERE track_id < 20 AND frame_idx < 4 GROUP BY 1) WHERE n >= 25
-UNION ALL SELECT video_id, 18e2, 0e0, FALSE FROM (SELECT video_id, COUNT(*) AS n FROM s_tracks WHERE track_id < 20 AND frame_idx < 4 GROUP BY 1) WHERE n < 25""", "s_tracks")
+SELECT video_id, COUNT(*) % 50 AS n FROM s_tracks GROUP BY 1) WHERE n >= 25
+UNION ALL SELECT video_id, 18e2, 0e0, FALSE FROM (SELECT video_id, COUNT(*) % 50 AS n FROM s_tracks GROUP BY 1) WHERE n < 25""", "s_tracks")
 def transform_points(spark, sf):
     import json
     lay = layout_from_text(spark.createDataFrame([("flat", json.dumps(S.LAYOUT))], "scene_id string, doc string"), "doc")
     v = S.videos(spark, sf).withColumn("width", F.lit(3324)).withColumn("height", F.lit(1848))
-    n = S.tracks(spark, sf).filter("track_id < 20 AND frame_idx < 4").groupBy("video_id").agg(F.count("*").alias("inliers"))
+    n = S.tracks(spark, sf).groupBy("video_id").agg((F.count("*") % 50).alias("inliers"))
     views = n.selectExpr("video_id", "2e0 AS m00", "1e-1 AS m01", "5e0 AS m02", "-1e-1 AS m10", "2e0 AS m11", "cast(inliers as double) AS m12", "cast(inliers as int) AS inliers")
     s = load_scene(lay, v.join(n.select("video_id"), "video_id", "left_semi"), views)
     e = F.col("crosswalks")[0]["edges"][0]
@@ -276,7 +276,7 @@ def signal_readable(spark, sf):
     return rd(SG.signal_readable(S.signal(spark, sf).withColumn("code", SG.code_of())), "known", n=6)
 
 
-PROBE = "SELECT video_id, 'h0' AS head, CAST(track_id AS BIGINT) AS track_id, CAST(t_us + 13000 + track_id AS BIGINT) AS t_us FROM {t} WHERE track_id % 4 < 3"
+PROBE = "SELECT video_id, 'h0' AS head, CAST(track_id AS BIGINT) AS track_id, CAST(t_us + 13000 + track_id AS BIGINT) AS t_us FROM {t}"
 
 
 @query("signal_at", """SELECT q.video_id, q.track_id, q.t_us, CAST(COALESCE((SELECT ARG_MIN(code, t.t_us) FROM tl t WHERE t.video_id = q.video_id AND t.head = q.head AND t.t_us >= q.t_us),
@@ -309,9 +309,9 @@ define("frames", "SELECT video_id, CAST(f AS INT) AS frame_idx, CAST(f * 80000 A
 
 
 @query("moving_average", f"""SELECT video_id, CAST(frame_idx AS BIGINT) AS frame_idx, {r('s / 25e0', 6)} AS n FROM (SELECT video_id, frame_idx, SUM(n) OVER (PARTITION BY video_id ORDER BY frame_idx ROWS BETWEEN 12 PRECEDING AND 12 FOLLOWING) AS s
-FROM (SELECT f.video_id, f.frame_idx, COUNT(s.track_id) AS n FROM frames f LEFT JOIN s_tracks s ON s.video_id = f.video_id AND s.frame_idx = f.frame_idx AND s.track_id % 3 = 0 GROUP BY 1, 2)) WHERE s > 0""", "frames", "s_tracks")
+FROM (SELECT f.video_id, f.frame_idx, COUNT(s.track_id) AS n FROM frames f LEFT JOIN s_tracks s ON s.video_id = f.video_id AND s.frame_idx = f.frame_idx GROUP BY 1, 2)) WHERE s > 0""", "frames", "s_tracks")
 def moving_average(spark, sf):
-    per = S.tracks(spark, sf).filter("track_id % 3 = 0").groupBy("video_id", "frame_idx").agg(F.count("*").alias("n"))
+    per = S.tracks(spark, sf).groupBy("video_id", "frame_idx").agg(F.count("*").alias("n"))
     out = J.moving_average(per, ["video_id"], ["n"], T.frame_grid(S.videos(spark, sf), 12.5))
     return rd(out.select("video_id", F.col("frame_idx").cast("long").alias("frame_idx"), "n"), "n", n=6)
 
