@@ -267,14 +267,15 @@ def shift_by_drift(spark, sf):
     return rd(out.select("video_id", "eval_us", F.col("y").cast("int").alias("y"), F.col("x").cast("int").alias("x"), "gray"), "gray", n=6)
 
 
-BOXES = "SELECT CONCAT('v', CAST(vec_id % 4 AS VARCHAR(9))) AS video_id, CAST(vec_id AS BIGINT) AS cue_idx, 0e0 + vec_id % 5 AS x1, 0e0 + vec_id % 3 AS y1, 2e0 + vec_id % 5 AS x2, 2e0 + vec_id % 3 AS y2 FROM {e} WHERE vec_id % 60 < 3"
+# a box on every cue image, over a view of which the pixels show the left end
+BOXES = "SELECT CONCAT('v', CAST(vec_id % 4 AS VARCHAR(9))) AS video_id, CAST(vec_id AS BIGINT) AS cue_idx, 2e0 * (vec_id % 60) AS x1, 0e0 + vec_id % 3 AS y1, 2e0 + 2e0 * (vec_id % 60) AS x2, 2e0 + vec_id % 3 AS y2 FROM {e}"
 
 
 def _boxes(spark, sf):
     return spark.sql(BOXES, e=S.tables(spark, sf)("embeddings"))
 
 
-define("cov", """SELECT DISTINCT video_id, cue_idx, y, x FROM (""" + BOXES.format(e="embeddings") + """) b, range(-1, 9) gy(y), range(-1, 9) gx(x) WHERE x BETWEEN TRUNC(x1 - 15e-2 * (x2 - x1)) AND TRUNC(x2 + 15e-2 * (x2 - x1)) AND y BETWEEN TRUNC(y1 - 15e-2 * (y2 - y1)) AND TRUNC(y2 + 15e-2 * (y2 - y1))""")
+define("cov", """SELECT DISTINCT video_id, cue_idx, y, x FROM (""" + BOXES.format(e="embeddings") + """) b, range(-1, 9) gy(y), range(-1, 124) gx(x) WHERE x BETWEEN TRUNC(x1 - 15e-2 * (x2 - x1)) AND TRUNC(x2 + 15e-2 * (x2 - x1)) AND y BETWEEN TRUNC(y1 - 15e-2 * (y2 - y1)) AND TRUNC(y2 + 15e-2 * (y2 - y1))""")
 define("covp", "SELECT e.video_id, eval_us, y, x, COUNT(*) AS n_cov FROM evs e JOIN cues c ON c.video_id = e.video_id AND c.t_us BETWEEN eval_us - 40000000 AND eval_us - 15000000 JOIN cov v ON v.video_id = c.video_id AND v.cue_idx = c.cue_idx GROUP BY ALL", "evs", "cues", "cov")
 define("covf", "SELECT e.video_id, eval_us, y, x, COUNT(*) AS n_cov FROM evs e JOIN cues c ON c.video_id = e.video_id AND c.t_us BETWEEN eval_us AND eval_us + 8000000 JOIN cov v ON v.video_id = c.video_id AND v.cue_idx = c.cue_idx GROUP BY ALL", "evs", "cues", "cov")
 
