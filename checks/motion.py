@@ -181,6 +181,30 @@ def transform_points(spark, sf):
     return s.select("video_id", F.round(e["ax"], 4).alias("x"), F.round(e["ay"], 4).alias("y"), "registered")
 
 
+def _corners() -> str:
+    """Every corner of the layout's areas as SQL rows."""
+    rows = [(kind, name, n, x, y) for kind in ("road", "islands", "crosswalks") for name, poly in S.LAYOUT[kind].items() for n, (x, y) in enumerate(poly)]
+    rows += [("box", name, n, x, y) for name, a in S.LAYOUT["approaches"].items() for n, (x, y) in enumerate(a["box_zone"])]
+    return ", ".join(f"('{k}', '{m}', {n}, {x}e0, {y}e0)" for k, m, n, x, y in rows)
+
+
+# views of two sizes that depend on the data
+@query("read_scene", f"""SELECT video_id, kind, name, CAST(corner AS BIGINT) AS corner, {r('x * k')} AS x, {r('y * k')} AS y
+FROM (SELECT video_id, 1 + COUNT(*) % 3 AS k FROM s_tracks GROUP BY 1), (VALUES {_corners()}) c(kind, name, corner, x, y)""", "s_tracks")
+def read_scene(spark, sf):
+    import json
+    lay = layout_from_text(spark.createDataFrame([("flat", json.dumps(S.LAYOUT))], "scene_id string, doc string"), "doc")
+    k = S.tracks(spark, sf).groupBy("video_id").agg((1 + F.count("*") % 3).alias("k"))
+    v = S.videos(spark, sf).join(k, "video_id").withColumn("width", (S.W * F.col("k")).cast("int")).withColumn("height", (S.H * F.col("k")).cast("int"))
+    s = load_scene(lay, v)
+    areas = [s.select("video_id", F.lit(kind).alias("kind"), F.explode(c).alias("z")) for kind, c in (("road", "roads"), ("islands", "islands"), ("crosswalks", "crosswalks"))]
+    out = s.select("video_id", F.lit("box").alias("kind"), F.explode(F.transform("approaches", lambda a: a["box"])).alias("z"))
+    for a in areas:
+        out = out.unionByName(a)
+    out = out.select("video_id", "kind", "z.name", F.posexplode("z.edges").alias("corner", "e"))
+    return rd(out.select("video_id", "kind", "name", F.col("corner").cast("long").alias("corner"), F.col("e.ax").alias("x"), F.col("e.ay").alias("y")), "x", "y")
+
+
 @query("accept_transform", """SELECT track_id, COUNT(*) >= 25 AND COUNT(*) / 272e0 * 11e-1 > 7e-1 AND COUNT(*) / 272e0 * 11e-1 < 14e-1 AS registered FROM s_tracks
 WHERE (frame_idx * 3 + track_id) % 100 < 100 - track_id % 60 GROUP BY 1""", "s_tracks")
 def accept(spark, sf):

@@ -309,6 +309,26 @@ def report_row(r: Report) -> DataFrame:
     return r.scores.join(cls).join(mic).join(agn).join(b).join(n)
 
 
+def class_means(per_class: DataFrame) -> DataFrame:
+    """Mean F1 of a class over the IoU thresholds: label, f1_mean."""
+    return per_class.groupBy("label").agg(F.avg("f1").alias("f1_mean"))
+
+
+def report_lines(r: Report) -> DataFrame:
+    """The whole report as rows (section, body as JSON): scores, classes with their mean F1, sums, alarms, every video, and the names of missing
+    and extra videos. Nothing is gathered, so it may list any number of videos; ``.write.partitionBy("section").text(path)`` stores it."""
+    def section(name, rows):
+        return rows.select(F.lit(name).alias("section"), F.to_json(F.struct(*rows.columns), {"ignoreNullFields": "false"}).alias("body"))
+    parts = [section("scores", r.scores), section("per_class", r.per_class.join(class_means(r.per_class), "label")), section("micro", r.micro),
+             section("class_agnostic", r.agnostic), section("part_b", r.alarms), section("per_video", r.per_video),
+             section("missing_videos", r.diff.filter("status = 'missing'").select("video_id")),
+             section("extra_videos", r.diff.filter("status = 'extra'").select("video_id"))]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def _number(v: str) -> Column:
     return F.coalesce(F.expr(f"schema_of_variant({v}) rlike '^(BIGINT|DOUBLE|FLOAT|DECIMAL)'"), F.lit(False))
 
@@ -322,13 +342,18 @@ def _array_of(n: int) -> Column:
 
 
 def validate_predictions(entries: DataFrame, events: DataFrame, risk: DataFrame, videos: DataFrame | None = None,
-                         classes=CLASSES) -> DataFrame:
+                         classes=CLASSES, files: DataFrame | None = None) -> DataFrame:
     """Format problems: level, video_id, pos, problem.
 
-    ``entries``: video_id, ok (has an event list); ``events`` and ``risk``:
-    video_id, pos, item VARIANT, one row per list element, so numbers, strings
-    and booleans stay apart. Only the first bad point of a risk curve counts.
+    ``entries``: video_id, ok (has an event list), risk_ok (its risk is a list or
+    missing; optional); ``events`` and ``risk``: video_id, pos, item VARIANT, one
+    row per list element, so numbers, strings and booleans stay apart. Only the
+    first bad point of a risk curve counts. ``files``: has_team, ok (an object with
+    videos), one row per document; its problems have no video.
     """
+    if "risk_ok" not in entries.columns:
+        entries = entries.withColumn("risk_ok", F.lit(True))
+
     def out(df, level, problem, pos="pos"):
         return df.select(F.lit(level).alias("level"), "video_id", (F.col(pos) if pos else F.lit(None)).cast("long").alias("pos"),
                          F.lit(problem).alias("problem") if isinstance(problem, str) else problem.alias("problem"))
@@ -358,7 +383,12 @@ def validate_predictions(entries: DataFrame, events: DataFrame, risk: DataFrame,
     rows.append(out(first, "error", F.col("problem")))
     rows.append(out(entries.filter(F.col("video_id").rlike(r"[/\\]")), "error", "path_key", None))
     rows.append(out(entries.filter(~F.col("ok")), "error", "bad_entry", None))
-    rows.append(out(entries.filter("ok").join(risk.select("video_id").distinct(), "video_id", "left_anti"), "warning", "no_risk", None))
+    rows.append(out(entries.filter("ok AND NOT risk_ok"), "error", "bad_risk", None))
+    rows.append(out(entries.filter("ok AND risk_ok").join(risk.select("video_id").distinct(), "video_id", "left_anti"), "warning", "no_risk", None))
+    if files is not None:
+        of_file = files.withColumn("video_id", F.lit(None).cast("string"))
+        rows.append(out(of_file.filter("NOT ok"), "error", "bad_top_level", None))
+        rows.append(out(of_file.filter("ok AND NOT has_team"), "warning", "no_team", None))
     if videos is not None:
         late = labelled.join(videos.select("video_id", "duration"), "video_id").filter(F.col("e") > F.col("duration") + 0.5)
         rows.append(out(late, "error", "past_end"))

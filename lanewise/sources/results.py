@@ -82,10 +82,11 @@ def raw_items(docs: DataFrame, col: str = "value") -> tuple[DataFrame, DataFrame
     top = docs.select(F.from_json(col, "team variant, videos map<string,variant>").alias("d"))
     files = top.select(F.col("d.team").isNotNull().alias("has_team"), F.col("d.videos").isNotNull().alias("ok"))
     entries = top.select(F.explode("d.videos").alias("video_id", "entry"))
-    lists = entries.select("video_id", F.expr("try_variant_get(entry, '$.events', 'array<variant>')").alias("ev"),
+    lists = entries.select("video_id", "entry", F.expr("try_variant_get(entry, '$.events', 'array<variant>')").alias("ev"),
                            F.expr("try_variant_get(entry, '$.risk', 'array<variant>')").alias("rk"))
     item = lambda c: lists.select("video_id", F.posexplode(c).alias("pos", "item")).withColumn("pos", F.col("pos").cast("long"))
-    return files, lists.select("video_id", F.col("ev").isNotNull().alias("ok")), item("ev"), item("rk")
+    risk_ok = F.col("rk").isNotNull() | F.expr("try_variant_get(entry, '$.risk', 'variant') IS NULL")
+    return files, lists.select("video_id", F.col("ev").isNotNull().alias("ok"), risk_ok.alias("risk_ok")), item("ev"), item("rk")
 
 
 def upsert_labels(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -84,6 +84,13 @@ def test_perfect_predictions_score_one(spark):
     s = rep.scores.collect()[0]
     assert s.score_a == 1.0 and s.score_b == pytest.approx(0.4 + 0.4 + 0.2 * 0.5)
     assert s.model_score == pytest.approx(0.7 + 0.3 * s.score_b)
+    lines = [(r.section, json.loads(r.body)) for r in E.report_lines(rep).collect()]
+    assert {b["video_id"] for s, b in lines if s == "missing_videos"} == {r.video_id for r in rep.diff.filter("status = 'missing'").collect()}
+    assert {b["video_id"] for s, b in lines if s == "extra_videos"} == {r.video_id for r in rep.diff.filter("status = 'extra'").collect()}
+    assert sum(s == "per_video" for s, _ in lines) == rep.per_video.count()
+    for label in {b["label"] for s, b in lines if s == "per_class"}:
+        f1 = [b["f1"] for s, b in lines if s == "per_class" and b["label"] == label]
+        assert all(b["f1_mean"] == pytest.approx(sum(f1) / len(f1)) for s, b in lines if s == "per_class" and b["label"] == label)
     assert json.loads(E.report_row(rep).select(F.to_json(F.struct("*"))).first()[0])["part_b"]["n_matched"] == 1
 
 
@@ -149,3 +156,12 @@ def test_format_check_names_each_problem(spark, tmp_path):
             ("a.mp4", "bad_event", 6), ("a.mp4", "past_end", 7), ("a.mp4", "score_range", 1), ("x/y.mp4", "path_key", None), ("c.mp4", "bad_entry", None),
             ("z.mp4", "missing_video", None), ("x/y.mp4", "extra_video", None), ("x/y.mp4", "no_risk", None)} <= got
     assert not any(p == "time_order" for _, p, _ in got)   # only the first bad point counts
+
+
+def test_format_check_of_documents_and_risk_lists(spark):
+    docs = spark.createDataFrame([('{"team": "t", "videos": {"a": {"events": [], "risk": "x"}, "b": {"events": [], "risk": null}, "c": {"events": []}, "d": {"events": [], "risk": []}}}',),
+                                  ('{"videos": {}}',), ('{"team": "t", "videos": [1]}',), ("[1, 2]",)], "value string")
+    files, entries, ev, rk = R.raw_items(docs)
+    got = [(r.level, r.video_id, r.problem) for r in E.validate_predictions(entries, ev, rk, files=files).collect()]
+    assert sorted(got, key=str) == sorted([("error", "a", "bad_risk"), ("error", "b", "bad_risk"), ("warning", "c", "no_risk"), ("warning", "d", "no_risk"),
+                                           ("error", None, "bad_top_level"), ("error", None, "bad_top_level"), ("warning", None, "no_team")], key=str)
