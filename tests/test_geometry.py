@@ -1,8 +1,8 @@
-"""Places on the border of a zone."""
+"""Places on the border of a zone, meetings at a limit."""
 import pytest
 from pyspark.sql import functions as F
 
-from lanewise.functions import geometry as G
+from lanewise.functions import geometry as G, motion as M
 
 
 def _ring(spark, points, px, py):
@@ -23,3 +23,11 @@ def test_distances_inside_outside_and_at_corners(spark):
     rows = _ring(spark, [(0, 0), (10, 0), (10, 10), (0, 10)], [5.0, 13.0, 3.0, -3.0, 10.0], [4.0, 14.0, 12.0, -4.0, 10.0])
     got = [r.d for r in rows.select(G.polygon_distance(F.col("edges"), F.col("px"), F.col("py")).alias("d")).collect()]
     assert got == pytest.approx([4.0, -5.0, -2.0, -5.0, 0.0])
+
+
+def test_rounding_does_not_decide_who_meets_at_a_limit(spark):
+    # (rx, vx): meets in 4 s and a few ulps, in 0 s and an ulp, at a relative speed of just 0.2
+    rows = spark.createDataFrame([(-4.0 - 1e-14, 1.0), (-4.0 + 1e-14, 1.0), (-1e-17, 1.0), (1e-17, 1.0), (-0.4, 0.2 - 1e-16)], "rx double, vx double")
+    c = M.closest_approach(F.col("rx"), F.lit(0.0), F.col("vx"), F.lit(0.0))
+    got = [r.t for r in rows.select(c["t_cpa"].alias("t")).collect()]
+    assert got[:2] == pytest.approx([4.0, 4.0]) and got[2:4] == [None, None] and got[4] == pytest.approx(2.0)
