@@ -8,16 +8,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lanewise.llm import byte_gru, order_minhash, packing, secret_forest
-from lanewise.llm.common import saved
+from lanewise.llm.common import few_at_once, saved
 from lanewise.llm.queries import TOKENIZER, language_model
 
 
-def few_at_once(spark: SparkSession) -> None:
-    """Documents are long: batches between Spark and its Python workers are bounded by bytes and by fewer rows than usual."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-
-
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a language; null texts and texts without letters go."""
     few_at_once(spark)

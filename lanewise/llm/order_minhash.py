@@ -11,6 +11,7 @@ Jaccard index if their order agrees, and less if it doesn't.
 """
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -20,7 +21,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from lanewise.llm.common import components, remembered, saved, slices_of
+from lanewise.llm.common import components, few_at_once, remembered, saved, slices_of
 from lanewise.session import sized
 
 WORDS = re.compile(r"\w+")
@@ -29,7 +30,7 @@ SIMILARITY = 0.8
 SKETCHES, PICKED = 32, 5  # at similarity 0.8 a pair shares no sketch with a chance of about (1 - 0.8 ** 5) ** 32 = 3e-6
 SHORT, SHORT_SKETCHES = 20, 12  # below so many shingles a sketch is one shingle; 0.2 ** 12 = 4e-9
 BLOCK = 512  # members of a bucket that one group compares with as many others
-LARGE = 4096  # members above which a bucket is divided by a further sketch
+LARGE = 4096  # members above which a bucket is dealt by length first, as lengths too different rule a link out
 COLUMNS = 8192  # distinct shingles counted at a time
 KNOWN = 300_000  # word hashes that a worker remembers
 
@@ -211,16 +212,34 @@ def shared_counts(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray
     return out
 
 
+def dealt(members: DataFrame) -> DataFrame:
+    """Members with their block ``x`` of the bucket, once for every block ``y`` of it."""
+    n = F.ceil(F.col("size") / BLOCK)
+    return (members.withColumn("x", F.pmod(F.xxhash64("id"), n)).withColumn("y", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)))
+            .select("key", "id", "component", "x", "y"))
+
+
+def dealt_by_length(members: DataFrame, least: float) -> DataFrame:
+    """The same with blocks of one class of lengths each. A class spans a factor of ``least``, so similar documents are of the same
+    or of neighbouring classes and blocks of other classes needn't meet."""
+    length = F.floor(F.log("n") / math.log(1 / least) + 1e-9)
+    classed = members.select("key", "id", "component", length.alias("c"))
+    blocks = classed.groupBy("key", "c").agg(F.ceil(F.count("*") / BLOCK).alias("n"))
+    place = lambda c, k: c * F.lit(1 << 32) + k
+    other = blocks.select("key", F.explode(F.array(F.col("c") - 1, F.col("c"), F.col("c") + 1)).alias("c"), F.col("c").alias("d"), F.col("n").alias("m"))
+    mine = classed.join(blocks, ["key", "c"]).withColumn("x", place(F.col("c"), F.pmod(F.xxhash64("id"), F.col("n"))))
+    met = mine.join(other, ["key", "c"]).withColumn("k", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("m") - 1)))
+    return met.select("key", "id", "component", "x", place(F.col("d"), F.col("k")).alias("y"))
+
+
 def linked_in_blocks(members: DataFrame, seqs: DataFrame, least: float) -> DataFrame:
     """Edges (a, b) between members of different components in a bucket; as many as connect them, not all.
 
-    A bucket is dealt in blocks, and every two blocks meet in a group of their own. The numbers of shared shingles bound the
-    similarity of all pairs of a group at once; only pairs within the bound that aren't connected yet are aligned.
+    A bucket is dealt in blocks, and every two blocks that may hold a link meet in a group of their own. The numbers of shared shingles
+    bound the similarity of all pairs of a group at once; only pairs within the bound that aren't connected yet are aligned.
     """
-    n = F.ceil(F.col("size") / BLOCK).cast("int")
-    mine = F.pmod(F.xxhash64("id"), n).cast("int")
-    dealt = (members.withColumn("x", mine).withColumn("y", F.explode(F.sequence(F.lit(0), n - 1)))
-             .select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "component").join(seqs, "id"))
+    met = dealt(members.where(F.col("size") <= LARGE)).unionByName(dealt_by_length(members.where(F.col("size") > LARGE), least))
+    met = met.select("key", F.least("x", "y").alias("i"), F.greatest("x", "y").alias("j"), "x", "id", "component").join(seqs, "id")
 
     def compare(t: pa.Table) -> pa.Table:
         ids, component, x = (np.array(t.column(c)) for c in ("id", "component", "x"))
@@ -249,7 +268,7 @@ def linked_in_blocks(members: DataFrame, seqs: DataFrame, least: float) -> DataF
                     edges.append((int(ids[p]), int(ids[q])))
         return pa.table({"a": pa.array([e[0] for e in edges], pa.int64()), "b": pa.array([e[1] for e in edges], pa.int64())})
 
-    return dealt.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
+    return met.groupBy("key", "i", "j").applyInArrow(compare, "a bigint, b bigint")
 
 
 def led(members: DataFrame, turn: int) -> DataFrame:
@@ -274,9 +293,9 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
 
     No pair of candidates is dropped. First a leader of each bucket meets its members, and what that links becomes one component; buckets
     of a single component, as groups of copies mostly are, are done. In the others all members of different components are
-    compared, block by block. Buckets of many documents that share a passage but little else are divided by a further
-    sketch before that (two documents at 0.8 share fewer than two sketches with a chance of 8e-5).
+    compared, block by block; in large buckets only blocks whose lengths allow a link meet.
     """
+    few_at_once(docs.sparkSession)
     d = docs.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("string").alias("text"))
     sketch = saved(sketched(d.where("id IS NOT NULL")))
     classes = saved(sketch.where("digest IS NOT NULL").groupBy("digest").agg(F.min(F.struct("id", "n", "keys")).alias("m"))
@@ -291,11 +310,6 @@ def near_duplicates(docs: DataFrame, least: float = SIMILARITY, id_col: str = "d
     labels = components(edges)
     rest = members.select("key", "id", "n").join(labels, "id", "left").select("key", "id", "n", F.coalesce("component", "id").alias("component"))
     rest = saved(led(rest, 1))
-    large = rest.where(F.col("size") > LARGE)
-    if not large.isEmpty():
-        parted = (large.join(classes.select("id", "keys"), "id").select("id", "n", "component", "key", F.explode("keys").alias("more")).where("more <> key")
-                  .select("id", "n", "component", F.xxhash64(F.least("key", "more"), F.greatest("key", "more")).alias("key")).distinct())
-        rest = rest.where(F.col("size") <= LARGE).unionByName(led(parted, 1))
     more = saved(linked_in_blocks(rest, seqs, least))
     if not more.isEmpty():
         labels = components(edges.unionByName(more))

@@ -106,6 +106,21 @@ def test_components_equal_all_pairs(spark, monkeypatch, block, large):
         assert got[i].class_id == first.setdefault(key, i)
 
 
+def test_a_large_bucket_loses_no_link_of_one_shared_sketch(spark, monkeypatch):
+    # every document has one key in common and else none, so only a comparison of the whole bucket finds the links
+    monkeypatch.setattr(om, "LARGE", 4)
+    monkeypatch.setattr(om, "BLOCK", 3)
+    monkeypatch.setattr(om, "sketches", lambda s: np.array([1, int(s.view(np.int64)[0]) | 1], np.int64) if len(s) else np.zeros(0, np.int64))
+    rng = random.Random(8)
+    rows = []
+    for k in range(9):
+        words = [f"w{k}x{n}" for n in range(rng.randrange(30, 200))]
+        rows += [(10 * k, " ".join(words)), (10 * k + 1, " ".join(["other", *words[1:]])), (10 * k + 2, " ".join(["another", *words[1:-1]]))]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    got = {r.doc_id: r.component_id for r in om.near_duplicates(docs).collect()}
+    assert got == {i: i - i % 10 for i, _ in rows}
+
+
 def test_null_ids_repeated_rows_and_empty_table(spark):
     docs = spark.createDataFrame([(None, "same text here"), (None, "same text here"), (5, "same text here"), (5, "same text here"), (6, "same text here")],
                                  "doc_id bigint, text string")
