@@ -46,6 +46,26 @@ def test_greedy_matching_in_components(spark, component, block):
     assert E.match_segments(t.limit(0), p, ["video_id", "label"]).count() == 0
 
 
+def test_dense_matching_without_a_table_of_pairs(spark):
+    """Tiles of time decide nearly all before pairs become rows, however many segments share a time; the matches are those of the pairs."""
+    rng = np.random.default_rng(5)
+    truth, pred = ([("v", "a", int(k), float(s), float(s + n / 2)) for k, s, n in zip(rng.permutation(m), rng.integers(0, 300, m), rng.integers(1, 13, m))]
+                   for m in (700, 900))
+    t, p = spark.createDataFrame(truth, EV), spark.createDataFrame(pred, EV)
+    rows, plain = [], E.match_candidates
+
+    def counted(*args):
+        out = plain(*args)
+        rows.append(out.count())
+        return out
+
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(E, "match_candidates", counted)
+        got = {(r.i, r.j, r.iou) for r in E.match_segments(t, p, ["video_id", "label"]).collect()}
+    assert sum(rows) < 100 < 5_000 < plain(t, p, ["video_id", "label"], 0.3).count()
+    assert got == {(r.i, r.j, r.iou) for r in E.match_segments(t, p, ["video_id", "label"], tiles=()).collect()}
+
+
 def test_stretches_of_time(spark):
     rng = np.random.default_rng(4)
     rows = [("v" if k % 5 else "w", k, float(s), float(s + n)) for k, (s, n) in enumerate(zip(rng.integers(0, 900, 300), rng.choice([0, 1, 2, 3, 80], 300, p=[.2, .3, .3, .18, .02])))]
