@@ -178,6 +178,16 @@ def test_format_check_names_each_problem(spark, tmp_path):
     assert not any(p == "time_order" for _, p, _ in got)   # only the first bad point counts
 
 
+def test_items_are_taken_apart_once(spark):
+    """The problems are read from plain columns; no branch takes a VARIANT apart again."""
+    doc = json.dumps({"team": "t", "videos": {"v": {"events": [[0, 1, "accident"], [0.5, "x", "accident"], [2, 1, "no"]], "risk": [[0, 0.5], [1, 7]]}}})
+    _, entries, ev, rk = R.raw_items(spark.createDataFrame([(doc,)], "value string"))
+    got = E.validate_predictions(entries.select("video_id", "ok"), ev, rk)
+    taken = [line for line in got._jdf.queryExecution().optimizedPlan().toString().splitlines() if "schema_of_variant" in line]
+    assert taken == []
+    assert sorted((r.problem, r.pos) for r in got.collect()) == [("bad_label", 2), ("bad_times", 2), ("not_numeric", 1), ("score_range", 1)]
+
+
 def test_format_check_of_documents_and_risk_lists(spark):
     docs = spark.createDataFrame([('{"team": "t", "videos": {"a": {"events": [], "risk": "x"}, "b": {"events": [], "risk": null}, "c": {"events": []}, "d": {"events": [], "risk": []}}}',),
                                   ('{"videos": {}}',), ('{"team": "t", "videos": [1]}',), ("[1, 2]",)], "value string")
