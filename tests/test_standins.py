@@ -47,3 +47,18 @@ def test_average_precision_rounds_halves_as_its_sql(spark, tmp_path):
     want = dict(zip([d[0] for d in cur.description], cur.fetchone()))
     got = QUERIES["average_precision"](spark, str(tmp_path)).first().asDict()
     assert got == want and got["positive_rate"] == 0.064063 and got["n_frames"] == 640
+
+
+def test_average_precision_without_a_frame_to_score_as_its_sql(spark, tmp_path):
+    """Every frame lies inside an accident: SQL's sums over no row are NULL."""
+    duckdb = pytest.importorskip("duckdb")
+    spark.range(5).selectExpr("id AS event_id", "0L AS user_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' + make_dt_interval(0, 97) AS ts",
+                              "'view' AS event_type", "50e0 AS value").coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    spark.sql("SELECT 0L AS o_orderkey, 0L AS o_custkey, DATE '1992-04-07' AS o_orderdate").write.parquet(f"{tmp_path}/orders.parquet")
+    con = duckdb.connect()
+    for t in ("events", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    cur = con.execute(SQL["average_precision"])
+    want = dict(zip([d[0] for d in cur.description], cur.fetchone()))
+    got = QUERIES["average_precision"](spark, str(tmp_path)).first().asDict()
+    assert got == want and got["n_frames"] is None and got["ap"] == 0.0
